@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -93,26 +94,25 @@ class Vocabulary:
     def merged(self, word: bytes) -> list[int]:
         """Merges the adjacent pair of lowest rank, leftmost first, until none is left."""
         n, get = len(word), self.ranks.get
-        heap = [(r, i) for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
+        heap = [r * n + i for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
         heapify(heap)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part is word[i : after[i]]; 0: gone
+        after, before = list(range(1, n + 2)), list(range(-1, n))  # a part is word[i : after[i]]; 0: gone
         while heap:
-            r, i = heappop(heap)
+            r, i = divmod(heappop(heap), n)
             j = after[i]
-            if not j or j >= n or get(word[i : after[j]]) != r:
+            if not j or j >= n or get(word[i : (k := after[j])]) != r:
                 continue  # one of the two parts has changed since
-            k = after[i] = after[j]
-            after[j] = 0
+            after[i], after[j] = k, 0
             if k < n:
                 before[k] = i
                 if (r := get(word[i : after[k]])) is not None:
-                    heappush(heap, (r, i))
+                    heappush(heap, r * n + i)
             if (p := before[i]) >= 0 and (r := get(word[p:k])) is not None:
-                heappush(heap, (r, p))
+                heappush(heap, r * n + p)
         out, i = [], 0
         while i < n:
-            out.append(self.ranks[word[i : after[i]]])
-            i = after[i]
+            out.append(self.ranks[word[i : (k := after[i])]])
+            i = k
         return out
 
 
@@ -123,11 +123,17 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}, pattern)
 
 
+#: A lone space between characters that aren't white space: pre-tokens never reach across its left edge.
+EDGE = re.compile(r"(?<=\S) (?=\S)")
+
+
 class Encoder:
-    """Encodes texts one after another; each distinct pre-token is resolved once while the memo lasts."""
+    """Encodes texts one after another; while the memo lasts, each distinct run between lone spaces is resolved once."""
 
-    def __init__(self, words: Vocabulary, most: int = 300_000) -> None:
+    def __init__(self, words: Vocabulary, most: int = 500_000) -> None:
         self.words, self.most, self.split = words, most, compiled(words.pattern).findall
+        self.token = np.empty(max(words.token, default=0) + 1, object)
+        self.token[list(words.token)] = list(words.token.values())
         self.clear()
 
     def clear(self) -> None:
@@ -135,41 +141,57 @@ class Encoder:
         new = self.new
 
         class Places(dict):
-            def __missing__(self, word: str) -> int:
-                self[word] = place = len(self)
-                new.append(word)
+            def __missing__(self, run: str) -> int:
+                self[run] = place = len(self)
+                new.append(run)
                 return place
 
         self.place = Places()
+        self.parts: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1, np.int64)
+        self.ends, self.resolved = np.zeros(1 << 12, np.int64), 0
+
+    def known(self, words: list[str]) -> None:
+        """Resolves pre-tokens: those of the vocabulary by the perfect hash, the others by merges."""
+        raw = [w.encode() for w in words]
+        slots = self.words.whole.find(raw)
+        for word, raw_word, slot, rank in zip(words, raw, slots.tolist(), self.words.rank_in_slot[slots].tolist()):
+            self.parts[word] = [rank] if slot >= 0 else self.words.merged(raw_word)
 
     def resolve(self) -> None:
-        words = [w.encode() for w in self.new]
-        slots = self.words.whole.find(words)
-        found = [[x] if s >= 0 else self.words.merged(w) for s, x, w in zip(slots.tolist(), self.words.rank_in_slot[slots].tolist(), words)]
+        """Ids of the new runs, each with the space before it."""
+        split = [self.split(" " + run) for run in self.new]
+        self.known(list({w for ws in split for w in ws}.difference(self.parts)))
+        found = [[x for w in ws for x in self.parts[w]] for ws in split]
         self.new.clear()
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        start = self.ends[-1]
-        self.ends = np.concatenate([self.ends, start + np.cumsum(sizes)])
-        while len(self.ids) < self.ends[-1]:
+        flat = [x for f in found for x in f]
+        start, n = int(self.ends[self.resolved]), self.resolved + len(found)
+        while len(self.ends) <= n:
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while len(self.ids) < start + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[start : self.ends[-1]] = [x for f in found for x in f]
+        self.ends[self.resolved + 1 : n + 1] = start + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        self.ids[start : start + len(flat)] = flat
+        self.resolved = n
 
     def __call__(self, text: str) -> np.ndarray:
-        if len(self.place) > self.most:
-            self.clear()
-        words = self.split(text)
-        places = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        first, *runs = EDGE.split(text)
+        head = self.split(first)
+        self.known([w for w in dict.fromkeys(head) if w not in self.parts])
+        head = np.array([x for w in head for x in self.parts[w]], np.uint32)
+        places = np.fromiter(map(self.place.__getitem__, runs), np.int64, len(runs))
         if self.new:
             self.resolve()
         starts = self.ends[places]
         sizes = self.ends[places + 1] - starts
         total = np.cumsum(sizes)
-        return self.ids[np.repeat(starts - total + sizes, sizes) + np.arange(total[-1] if len(total) else 0)]
+        out = np.concatenate([head, self.ids[np.repeat(starts - total + sizes, sizes) + np.arange(total[-1] if len(total) else 0)]])
+        if len(self.place) > self.most:
+            self.clear()
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.words.token.__getitem__, ids.tolist()))
+        return b"".join(self.token[ids].tolist())
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
