@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, html, sketch, urls
+from . import bpe, html, simhash, sketch, urls
 from .common import read
 
 #: Host, path and verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -27,5 +31,5 @@ def op9_url_filters(spark, sf_dir):
     return urls.judge(read(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op6_fingerprints, op7_html_text, op9_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op6_fingerprints, op7_html_text, op9_url_filters)}
 ORACLES = {"op9_url_filters": urls.sql(URL_RULES)}
