@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, simhash, sketch, urls
+from . import bpe, html, langid, simhash, sketch, urls, vectors
 from .common import read
 
 #: Host, path and verdict.
@@ -19,6 +19,14 @@ def op2_byte_bpe(spark, sf_dir):
     return bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_embeddings(spark, sf_dir):
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op5_language_id(spark, sf_dir):
+    return langid.with_held_out(read(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark, sf_dir):
     return sketch.edited(read(spark, sf_dir, "documents"))
 
@@ -31,5 +39,5 @@ def op9_url_filters(spark, sf_dir):
     return urls.judge(read(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op6_fingerprints, op7_html_text, op9_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op4_embeddings, op5_language_id, op6_fingerprints, op7_html_text, op9_url_filters)}
 ORACLES = {"op9_url_filters": urls.sql(URL_RULES)}
