@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, simhash, sketch, urls, vectors
+from . import bpe, html, langid, simhash, sketch, substrings, urls, vectors
 from .common import read
 
 #: Host, path and verdict.
@@ -19,6 +19,10 @@ def op2_byte_bpe(spark, sf_dir):
     return bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_substrings(spark, sf_dir):
+    return substrings.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_embeddings(spark, sf_dir):
     return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -39,5 +43,5 @@ def op9_url_filters(spark, sf_dir):
     return urls.judge(read(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op4_embeddings, op5_language_id, op6_fingerprints, op7_html_text, op9_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op3_substrings, op4_embeddings, op5_language_id, op6_fingerprints, op7_html_text, op9_url_filters)}
 ORACLES = {"op9_url_filters": urls.sql(URL_RULES)}
