@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, simhash, sketch, substrings, urls, vectors
+from . import bpe, html, langid, quality, simhash, sketch, substrings, urls, vectors
 from .common import read
 
 #: Host, path and verdict.
@@ -39,9 +39,14 @@ def op7_html_text(spark, sf_dir):
     return html.extract(read(spark, sf_dir, "pages"))
 
 
+def op8_quality(spark, sf_dir):
+    found = quality.classify(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "quality_votes", "quality_posterior", "quality_score", "quality_kept")
+
+
 def op9_url_filters(spark, sf_dir):
     return urls.judge(read(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op3_substrings, op4_embeddings, op5_language_id, op6_fingerprints, op7_html_text, op9_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op3_substrings, op4_embeddings, op5_language_id, op6_fingerprints, op7_html_text, op8_quality, op9_url_filters)}
 ORACLES = {"op9_url_filters": urls.sql(URL_RULES)}
