@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, quality, simhash, sketch, substrings, urls, vectors
+from . import bpe, html, langid, mixing, quality, simhash, sketch, substrings, urls, vectors
 from .common import read
 
 #: Host, path and verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
+#: Shares of words that the mix aims at, by language.
+MIX = {"en": 0.60, "de": 0.15, "fr": 0.15, "es": 0.10}
+
 
 def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -48,5 +51,9 @@ def op9_url_filters(spark, sf_dir):
     return urls.judge(read(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op3_substrings, op4_embeddings, op5_language_id, op6_fingerprints, op7_html_text, op8_quality, op9_url_filters)}
+def op10_mixing(spark, sf_dir):
+    return mixing.rates(read(spark, sf_dir, "documents"), MIX)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op3_substrings, op4_embeddings, op5_language_id, op6_fingerprints, op7_html_text, op8_quality, op9_url_filters, op10_mixing)}
 ORACLES = {"op9_url_filters": urls.sql(URL_RULES)}
