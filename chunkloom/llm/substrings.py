@@ -251,10 +251,10 @@ def dedup(docs: DataFrame, window: int = 35, text: str = "text", replace: bool =
     facts = [docs[c].cast("string") for c in names if c != text]
     base = docs.select(F.xxhash64(body, *facts).alias("dk"), F.xxhash64(F.lit("second"), F.concat_ws("\x00", *facts), body).alias("d2"), row.alias("row"), docs[text].cast("string").alias("body"))
 
-    # dealt once, read twice: all columns are named in both branches, so that Spark reuses the exchange
+    # dealt once, read twice: both branches need all columns, so that Spark reuses the exchange
     found = _prefixes(base.select("dk", F.coalesce("body", F.lit("")).alias("body")), plan).repartition("spread")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    totals = found.groupBy("spread").agg(F.sum("n").alias("total"), F.max("h").alias("h"), F.max("dk").alias("dk")).filter(F.col("total") > GROUP)
+    totals = found.groupBy("spread").agg(F.sum("n").alias("total"), F.coalesce(F.max("h"), F.max("dk")).alias("some")).filter((F.col("total") > GROUP) & F.col("some").isNotNull())
     # beyond the k most common prefixes, none has more than 1/k of all suffixes: k rows bound every group
     common = totals.orderBy(F.desc("total"), "spread").limit(4 * parts).select(F.col("spread").alias("h"), F.lit(True).alias("common"))
     marks = found.withColumn("total", F.sum("n").over(Window.partitionBy("spread"))).filter("dk is not null and (n = 0 or total > 1)")
