@@ -207,19 +207,21 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
         encoder = Encoder(shared.value)
 
         def work(part: pa.RecordBatch):
-            tokens, texts = [], []
-            digests = []
+            found, backs, digests = [], [], []
             for body in part.column(1).fill_null("").to_pylist():
-                ids = encoder(body)
+                ids = encoder(body).astype("<u4")
                 back = encoder.decode(ids)
-                tokens.append(len(ids))
-                digests.append((hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
+                found.append(ids if with_ids else len(ids))
+                digests.append((hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
                 if with_ids:
-                    texts.append((ids.tolist(), back))
-            out = {"doc_key": part.column(0), "n_tokens": tokens, "ids_sha256": [a for a, _ in digests], "decoded_sha256": [b for _, b in digests]}
-            yield out | ({"ids": [a for a, _ in texts], "decoded": [b for _, b in texts]} if with_ids else {})
+                    backs.append(back)
+            sizes = list(map(len, found)) if with_ids else found
+            out = {"doc_key": part.column(0), "n_tokens": sizes, "ids_sha256": [a for a, _ in digests], "decoded_sha256": [b for _, b in digests]}
+            if with_ids:
+                out |= {"ids": pa.ListArray.from_arrays(np.cumsum([0, *sizes], dtype=np.int32), np.concatenate(found).astype(np.int32)), "decoded": backs}
+            yield out
 
         return work
 
-    schema = f"doc_key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded binary" * with_ids
+    schema = f"doc_key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
     return batches(docs.select(docs[key].alias("doc_key"), docs[text].cast("string").alias("doc_text")), schema, make).withColumnRenamed("doc_key", key)

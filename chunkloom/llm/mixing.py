@@ -171,6 +171,7 @@ def mixed(docs: DataFrame, targets: dict[str, float], text: str = "text", domain
         for slope in steps[start : start + NESTED]:
             rate = _step(rate, slope, most)
         found = found.withColumn("rate", rate)
-    taken = found.withColumn("times", copies(F.col("rate"), F.col("row_key"), F.xxhash64("body")))
-    taken = taken.filter("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return taken.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])
+    # an outer explode: the optimiser would copy the whole expression of a plain one's count, or of a filter on it, below the projections
+    times = copies(F.col("rate"), F.col("row_key"), F.xxhash64("body"))
+    taken = found.select("whole", times.alias("times")).select(F.explode_outer(F.array_repeat("whole", F.col("times").cast("int"))).alias("row")).filter("row is not null")
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -162,6 +162,12 @@ def links(prints: DataFrame, most: int = 4) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _roots(prints: DataFrame, most: int) -> DataFrame:
+    """(print, root) of distinct fingerprints; a root names a component, by one of its fingerprints."""
+    roots = components(links(prints.select("print"), most))
+    return prints.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, most: int = 4) -> DataFrame:
     """(key, fingerprint, component_id) of every row; component_id is the smallest key reachable over links.
 
@@ -171,8 +177,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     """
     rows = checkpoint(fingerprints(docs, text, key, shingle))
     own = checkpoint(rows.groupBy("print").agg(F.min(key).alias("least")))
-    roots = components(links(own.select("print"), most))
-    named = own.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    named = _roots(own, most)
     first = checkpoint(named.groupBy("root").agg(F.min("least").alias("component_id")))
     found = checkpoint(named.join(first, "root").select("print", "component_id"))
     return rows.join(found, "print").select(key, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, most: int = 4) -> DataFrame:
+    """The rows of ``docs``, one of each component of near copies: that of the smallest key (null keys last, ties by a hash of the row).
+
+    Null and empty texts are copies of each other. Repeated rows leave one; rows that share a key but not a component each stay.
+    """
+    ident = F.xxhash64(*docs.columns)
+    rows = docs.select(ident.alias("ident"), docs[key].alias("own_key"), docs[text].alias("body"))
+    of = fingerprints(rows.select(F.struct("ident", "own_key").alias("who"), "body"), "body", "who", shingle)
+    of = checkpoint(of.select(F.struct(F.col("who.own_key").isNull().alias("blank"), "who.own_key", "who.ident").alias("who"), "print"))
+    own = checkpoint(of.groupBy("print").agg(F.min("who").alias("who")))
+    kept = checkpoint(_roots(own, most).groupBy("root").agg(F.min("who").alias("who")).select(F.col("who.ident").alias("ident")))
+    left = docs.select(F.struct(*docs.columns).alias("row"), ident.alias("ident")).join(kept, "ident", "left_semi")
+    return left.dropDuplicates(["ident"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
