@@ -1,4 +1,662 @@
-"""The registered queries and their DuckDB counterparts."""
+"""The registered queries and their DuckDB counterparts.
+
+Documents of the ``documents`` table have one page, a block a line and no titles; queries that need pages or titles make them from lines.
+Doubles are rounded to six places on both sides. Queries without SQL are those of sequential splitters, parsers and models.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.vectors import HashingEmbedder
+from ..operators import coref, metrics, postprocess, rag, reports, retrieval, select
+from ..operators import splitters as S
+from ..session import table
+from ..sources import parsers, readers
+from . import pipeline
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+SENTENCES = S.SentenceSplitter("regex", 5)
+#: Chunks of a fixed number of characters, as a splitter.
+WIDTH = 500
+
+
+class FixedWidth:
+    def spans(self, text: str) -> list[S.Span]:
+        return [(a, min(a + WIDTH, len(text))) for a in range(0, len(text), WIDTH)]
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.from_table(table(spark, sf_dir, "documents"))
+
+
+def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line, start, end, body) by DataFrame functions; a line's end includes its line break."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "(?<=\n)")).alias("line", "body")).filter("body <> ''")
+    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("body")).over(before), F.lit(0)).cast("int"))
+    return rows.withColumn("end", (F.col("start") + F.length("body")).cast("int"))
+
+
+LINES = """
+l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, len(string_split(text, chr(10))) AS n FROM documents),
+l1 AS (SELECT doc_id, line, CASE WHEN line < n - 1 THEN raw || chr(10) ELSE raw END AS body FROM l0),
+lines AS (SELECT doc_id, line, body, CAST(coalesce(sum(length(body)) OVER w, 0) AS INTEGER) AS a, CAST(coalesce(sum(length(body)) OVER w, 0) + length(body) AS INTEGER) AS b
+          FROM l1 WHERE body <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+WORDS = lambda x: f"len(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> ''))"
+SENTENCE_ROWS = """
+s0 AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?…]["'')\\]»”’]*\\s+)', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+s1 AS (SELECT doc_id, unnest(parts) AS body, generate_subscripts(parts, 1) - 1 AS i FROM s0),
+sentences AS (SELECT doc_id, i // 5 AS k, string_agg(body, '' ORDER BY i) AS body FROM s1 WHERE body <> '' GROUP BY doc_id, i // 5)"""
+#: Chunks of three methods with start, end and length in words.
+CHUNKS = f"""{LINES},{SENTENCE_ROWS},
+c0 AS (SELECT doc_id, 'lines' AS method, CAST(line AS BIGINT) AS k, body FROM lines
+       UNION ALL SELECT doc_id, 'sentences', CAST(k AS BIGINT), body FROM sentences
+       UNION ALL SELECT doc_id, 'fixed', CAST(i AS BIGINT), substring(text, CAST(i * {WIDTH} + 1 AS BIGINT), {WIDTH}) FROM (SELECT doc_id, text, unnest(range(0, (length(text) + {WIDTH - 1}) // {WIDTH})) AS i FROM documents)),
+chunks AS (SELECT CAST(doc_id AS VARCHAR) AS doc_name, method, k, body, {WORDS('body')} AS n, CAST(coalesce(sum(length(body)) OVER w, 0) AS INTEGER) AS a, CAST(coalesce(sum(length(body)) OVER w, 0) + length(body) AS INTEGER) AS b
+           FROM c0 WINDOW w AS (PARTITION BY doc_id, method ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.split_documents(docs_of(spark, sf_dir), {"lines": S.SentenceSplitter("lines"), "sentences": SENTENCES, "fixed": FixedWidth()})
+
+
+# scans and scalar functions
+
+
+@query(f"SELECT doc_id, CAST({WORDS('text')} AS INTEGER) AS n_words FROM documents")
+def token_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.n_words(F.col("text")).alias("n_words"))
+
+
+@query("SELECT lang, count(*) AS documents, round(avg(length(text)), 6) AS mean_chars, round(stddev_pop(length(text)), 6) AS std_chars, max(length(text)) AS max_chars, min(length(text)) AS min_chars FROM documents GROUP BY lang")
+def doc_stats_by_lang(spark, sf_dir):
+    n = F.length("text").cast("long")
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("documents"), r6(F.avg(n)).alias("mean_chars"), r6(F.stddev_pop(n)).alias("std_chars"), F.max(n).alias("max_chars"), F.min(n).alias("min_chars"))
+
+
+@query(f"""WITH t AS (SELECT source, {WORDS('text')} AS n FROM documents)
+SELECT source AS domain, count(*) AS documents, round(avg(n), 6) AS mean_tokens, round(stddev_samp(n), 6) AS std_tokens, CAST(max(n) AS INTEGER) AS max_tokens, CAST(min(n) AS INTEGER) AS min_tokens,
+       1.0::DOUBLE AS pages_per_document, round(avg(n), 6) AS mean_page_tokens, round(stddev_samp(n), 6) AS std_page_tokens FROM t GROUP BY source""")
+def corpus_statistics(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("_", "source", "doc_id").alias("doc_id"), "text")
+    out = reports.corpus_statistics(readers.from_table(docs), T.n_words)
+    return out.select("domain", "documents", *[r6(c).alias(c) for c in ("mean_tokens", "std_tokens")], "max_tokens", "min_tokens", *[r6(c).alias(c) for c in ("pages_per_document", "mean_page_tokens", "std_page_tokens")])
+
+
+@query("SELECT source, count(*) AS kept FROM documents WHERE lang = 'en' GROUP BY source")
+def language_gate(spark, sf_dir):
+    guesses = F.array(F.struct(F.col("lang"), F.lit(0.99).alias("prob")), F.struct(F.lit("en").alias("lang"), F.lit(0.01).alias("prob")))
+    return table(spark, sf_dir, "documents").filter(~T.is_confidently_foreign(guesses)).groupBy("source").agg(F.count("*").alias("kept"))
+
+
+@query("SELECT split_part(source || '_' || doc_id, '_', 1) AS domain, count(*) AS n FROM documents GROUP BY 1")
+def domain_prefix(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(T.domain_of(F.concat_ws("_", "source", "doc_id")).alias("domain")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT metric, shown FROM (VALUES ('a', '12.35%'), ('b', 'N/A'), ('c', '2'), ('d', '0.125 s'), ('e', '50.00 ± 12.50')) AS t(metric, shown)")
+def formatted_values(spark, sf_dir):
+    rows = spark.sql("select * from values ('a', 0.12345D), ('b', cast(null as double)), ('c', 2.5D), ('d', 0.125D), ('e', 0.5D) as t(metric, v)")
+    v = F.col("v")
+    return rows.select("metric", F.when(F.col("metric").isin("a", "b"), T.shown(v, "%")).when(F.col("metric") == "c", T.shown(v, "int")).when(F.col("metric") == "d", T.shown(v, "s")).otherwise(T.plus_minus(v, F.lit(0.125))).alias("shown"))
+
+
+# splitters
+
+
+@query(f"WITH {CHUNKS} SELECT doc_name, k AS chunk_index, a AS start, b AS \"end\", CAST(n AS BIGINT) AS chunk_len, md5(body) AS digest FROM chunks WHERE method = 'lines'")
+def line_chunks(spark, sf_dir):
+    found = pipeline.split_documents(docs_of(spark, sf_dir), {"lines": S.SentenceSplitter("lines")})
+    return found.select("doc_name", "chunk_index", "start", "end", "chunk_len", F.md5("chunk_text").alias("digest"))
+
+
+@query(f"WITH {CHUNKS} SELECT doc_name, k AS chunk_index, a AS start, b AS \"end\", CAST(n AS BIGINT) AS chunk_len, md5(body) AS digest FROM chunks WHERE method = 'sentences'")
+def sentence_groups(spark, sf_dir):
+    found = pipeline.split_documents(docs_of(spark, sf_dir), {"sentences": SENTENCES})
+    return found.select("doc_name", "chunk_index", "start", "end", "chunk_len", F.md5("chunk_text").alias("digest"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_name, CAST(generate_subscripts(string_split(text, '. '), 1) - 1 AS BIGINT) AS chunk_index, md5(CASE WHEN generate_subscripts(string_split(text, '. '), 1) > 1 THEN '. ' ELSE '' END || unnest(string_split(text, '. '))) AS digest FROM documents")
+def regex_chunks(spark, sf_dir):
+    found = pipeline.split_documents(docs_of(spark, sf_dir), {"regex": S.RegexSplitter(r"\. ", short=0)})
+    return found.select("doc_name", "chunk_index", F.md5("chunk_text").alias("digest"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_name, CAST(0 AS BIGINT) AS chunk_index, md5(text) AS digest, '1' AS pages FROM documents")
+def page_chunks(spark, sf_dir):
+    found = pipeline.split_documents(docs_of(spark, sf_dir), {"page": None})
+    return found.select("doc_name", "chunk_index", F.md5("chunk_text").alias("digest"), F.array_join(F.col("chunk_pages").cast("array<string>"), ",").alias("pages"))
+
+
+@query(f"""WITH {LINES},
+g AS (SELECT doc_id, line // 4 AS g, string_agg(body, '' ORDER BY line) AS body, string_agg(body, '' ORDER BY line) FILTER (WHERE line % 4 >= 2) AS tail FROM lines GROUP BY doc_id, line // 4)
+SELECT doc_id, CAST(g AS INTEGER) AS page, md5(coalesce(lag(tail) OVER (PARTITION BY doc_id ORDER BY g), '') || body) AS digest FROM g""")
+def group_pages_prefix(spark, sf_dir):
+    """Groups of four lines, after the last two lines of the group before, by DataFrame functions."""
+    rows = lines_of(spark, sf_dir).withColumn("page", F.floor(F.col("line") / 4).cast("int"))
+    groups = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line", "body"))).alias("all"))
+    joined = lambda a: F.array_join(F.transform(a, lambda x: x["body"]), "")
+    tail = F.lag(joined(F.filter("all", lambda x: x["line"] % 4 >= 2))).over(Window.partitionBy("doc_id").orderBy("page"))
+    return groups.select("doc_id", "page", F.md5(F.concat(F.coalesce(tail, F.lit("")), joined(F.col("all")))).alias("digest"))
+
+
+@query(f"""WITH {LINES}, r AS (SELECT doc_id, line, body, sum({WORDS('body')}) OVER (PARTITION BY doc_id ORDER BY line) AS total FROM lines)
+SELECT CAST(d.doc_id AS VARCHAR) AS doc_name, md5(coalesce(string_agg(r.body, '' ORDER BY r.line), '')) AS digest FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND r.total <= 200 GROUP BY d.doc_id""")
+def combine_blocks_prefix(spark, sf_dir):
+    return rag.with_context(docs_of(spark, sf_dir).select("doc_name", "full_text"), 200).select("doc_name", F.md5("context").alias("digest"))
+
+
+@query()
+def recursive_split_600(spark, sf_dir):
+    found = pipeline.split_documents(docs_of(spark, sf_dir), {"our_recursive_600": S.OUR_600})
+    return found.select("doc_name", "chunk_index", "start", "end", "chunk_len", "chunk_pages", "titles_context")
+
+
+@query()
+def recursive_split_overlap(spark, sf_dir):
+    splitter = S.RecursiveSplitter(300, 50, regex=True, separators=S.PAPER_SEPARATORS)
+    return pipeline.split_documents(docs_of(spark, sf_dir), {"overlap": splitter}).select("doc_name", "chunk_index", "start", "end", "chunk_len")
+
+
+@query()
+def semantic_split(spark, sf_dir):
+    found = pipeline.split_documents(docs_of(spark, sf_dir), {"semantic": S.SemanticSplitter(), "long_context": S.LongContextSplitter(max_chunk_tokens=400)})
+    return found.select("doc_name", "method", "chunk_index", "start", "end", "chunk_len")
+
+
+@query()
+def llm_regex_split(spark, sf_dir):
+    splitter = S.LlmRegexSplitter(lambda prompt: r"<regex>\n(?=[A-ZÀ-Þ])</regex>", "{document}", 200)
+    return pipeline.split_documents(docs_of(spark, sf_dir), {"llm_regex": splitter}).select("doc_name", "chunk_index", "start", "end", "chunk_len")
+
+
+@query()
+def postprocessed_chunks(spark, sf_dir):
+    chunks = chunks_of(spark, sf_dir)
+    found = pipeline.postprocess_chunks(chunks, docs_of(spark, sf_dir), postprocess.Postprocessor(most=300, least=40, most_merged=350), ["lines", "fixed"])
+    return found.select("doc_name", "method", "type", "chunk_index", "start", "end", "chunk_len")
+
+
+@query()
+def parsed_pages(spark, sf_dir):
+    return parsers.parse_pages(table(spark, sf_dir, "pages"))
+
+
+# spans
+
+
+def _spans(spark, sf_dir, drop: bool) -> DataFrame:
+    rows = lines_of(spark, sf_dir)
+    keep = rows.filter("line % 3 <> 1") if drop else rows
+    found = keep.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return rows.groupBy("doc_id").agg(F.max("end").alias("size")).join(found, "doc_id")
+
+
+@query(f"WITH {LINES} SELECT doc_id, true AS whole, count(*) < 2 AS thinned FROM lines GROUP BY doc_id")
+def chunk_gap_check(spark, sf_dir):
+    ok = postprocess.gap_free(F.col("spans"), F.col("size"))
+    return _spans(spark, sf_dir, False).select("doc_id", ok.alias("whole")).join(_spans(spark, sf_dir, True).select("doc_id", ok.alias("thinned")), "doc_id")
+
+
+@query(f"""WITH {LINES}, size AS (SELECT doc_id, max(b) AS size FROM lines GROUP BY doc_id),
+k AS (SELECT doc_id, a, b, coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS back FROM lines WHERE line % 3 <> 1)
+SELECT doc_id, CAST(least(a, reach) AS INTEGER) AS start, CAST(CASE WHEN back = 1 THEN size ELSE b END AS INTEGER) AS "end" FROM k JOIN size USING (doc_id)""")
+def gap_repair(spark, sf_dir):
+    fixed = postprocess.without_gaps(F.col("spans"), F.col("size"))
+    return _spans(spark, sf_dir, True).select("doc_id", F.explode(fixed).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+
+
+def _paged(spark, sf_dir) -> DataFrame:
+    """Documents with pages of four lines, and titles at every fifth line, of level one and two in turn."""
+    rows = lines_of(spark, sf_dir)
+    pages = rows.groupBy("doc_id", F.floor(F.col("line") / 4).alias("p")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), "").alias("text"))
+    pages = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((F.col("p") + 1).cast("int").alias("page"), "text"))).alias("pages"))
+    marks = rows.filter("line % 5 = 0").select("doc_id", "start", (F.floor(F.col("line") / 5) % 2 + 1).cast("int").alias("level"), F.trim(F.substring("body", 1, 12)).alias("title"))
+    later = Window.partitionBy("doc_id").orderBy("start").rowsBetween(1, Window.unboundedFollowing)
+    sizes = rows.groupBy("doc_id").agg(F.max("end").alias("size"))
+    first = F.min(F.when(F.col("level") == 1, F.col("start"))).over(later)
+    ended = marks.withColumn("end", F.when(F.col("level") == 1, first).otherwise(F.lead("start").over(Window.partitionBy("doc_id").orderBy("start")))).join(sizes, "doc_id")
+    titles = ended.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("title", "start", F.coalesce("end", "size").alias("end"), "level"))).alias("titles"))
+    groups = rows.groupBy("doc_id", F.floor(F.col("line") / 3).cast("int").alias("chunk_index")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return groups.join(pages, "doc_id").join(titles, "doc_id").join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("full_text")), "doc_id")
+
+
+GROUPS = f"""{LINES}, c AS (SELECT doc_id, line // 3 AS k, min(a) AS a, max(b) AS b, string_agg(body, '' ORDER BY line) AS body FROM lines GROUP BY doc_id, line // 3),
+p AS (SELECT doc_id, line // 4 + 1 AS page, min(a) AS pa, max(b) AS pb FROM lines GROUP BY doc_id, line // 4)"""
+
+
+@query(f"WITH {GROUPS} SELECT c.doc_id, CAST(k AS INTEGER) AS chunk_index, string_agg(page, ',' ORDER BY page) AS pages FROM c JOIN p ON c.doc_id = p.doc_id AND NOT (b <= pa OR a >= pb) GROUP BY c.doc_id, k")
+def chunk_page_overlap(spark, sf_dir):
+    found = postprocess.annotated(_paged(spark, sf_dir))
+    return found.select("doc_id", "chunk_index", F.array_join(F.col("chunk_pages").cast("array<string>"), ",").alias("pages"))
+
+
+@query(f"""WITH {GROUPS}, t0 AS (SELECT doc_id, a, line // 5 % 2 + 1 AS level, trim(substring(body, 1, 12), ' ') AS title FROM lines WHERE line % 5 = 0),
+t AS (SELECT t0.*, coalesce((SELECT min(x.a) FROM t0 x WHERE x.doc_id = t0.doc_id AND x.a > t0.a AND x.level <= t0.level), (SELECT max(b) FROM lines l WHERE l.doc_id = t0.doc_id)) AS e FROM t0)
+SELECT c.doc_id, CAST(c.k AS INTEGER) AS chunk_index, coalesce(string_agg(t.title, chr(10) ORDER BY t.level, t.a), '') AS titles FROM c LEFT JOIN t ON c.doc_id = t.doc_id AND t.a <= c.a AND c.a < t.e AND NOT contains(c.body, t.title) GROUP BY c.doc_id, c.k""")
+def chunk_title_context(spark, sf_dir):
+    return postprocess.annotated(_paged(spark, sf_dir)).select("doc_id", "chunk_index", F.col("titles_context").alias("titles"))
+
+
+# metrics
+
+
+@query(f"WITH {CHUNKS} SELECT doc_name, method, round(avg(CASE WHEN n BETWEEN 20 AND 120 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS score FROM chunks GROUP BY ALL")
+def size_compliance(spark, sf_dir):
+    return metrics.size_compliance(chunks_of(spark, sf_dir), 120, 20).withColumn("score", r6("score"))
+
+
+@query(f"WITH {CHUNKS} SELECT doc_name, method, count(*) AS num_chunks, round(avg(n), 6) AS avg_chunk_tokens, round(stddev_pop(n), 6) AS stddev_chunk_tokens, CAST(max(n) AS BIGINT) AS max_chunk_tokens, CAST(min(n) AS BIGINT) AS min_chunk_tokens FROM chunks GROUP BY ALL")
+def chunk_stats(spark, sf_dir):
+    out = metrics.chunk_stats(chunks_of(spark, sf_dir))
+    return out.withColumn("avg_chunk_tokens", r6("avg_chunk_tokens")).withColumn("stddev_chunk_tokens", r6("stddev_chunk_tokens"))
+
+
+INTEGRITY = f"""{CHUNKS}, blocks AS (SELECT CAST(doc_id AS VARCHAR) AS doc_name, line, a AS l, b AS r FROM lines),
+bad AS (SELECT c.doc_name, c.method, count(DISTINCT line) AS broken FROM chunks c JOIN blocks USING (doc_name) WHERE c.k > 0 AND c.a - l > 5 AND r - c.a > 5 GROUP BY ALL),
+total AS (SELECT doc_name, count(*) AS blocks FROM blocks GROUP BY doc_name),
+integrity AS (SELECT m.doc_name, m.method, 1 - coalesce(broken, 0) / blocks AS score FROM (SELECT DISTINCT doc_name, method FROM chunks) m JOIN total USING (doc_name) LEFT JOIN bad USING (doc_name, method))"""
+
+
+@query(f"WITH {INTEGRITY} SELECT doc_name, method, round(score, 6) AS score FROM integrity")
+def block_integrity(spark, sf_dir):
+    return metrics.block_integrity(chunks_of(spark, sf_dir), docs_of(spark, sf_dir)).withColumn("score", r6("score"))
+
+
+def _words(spark, sf_dir) -> DataFrame:
+    """(doc_name, start, end, word) of pieces between single spaces and line breaks; ends are inclusive."""
+    pieces = F.split("text", "[ \n]")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_name"), F.posexplode(pieces).alias("i", "word"))
+    before = Window.partitionBy("doc_name").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).cast("int"))
+    return rows.filter("word <> ''").select("doc_name", "start", (F.col("start") + F.length("word") - 1).alias("end"), "word")
+
+
+WORD_ROWS = """
+w0 AS (SELECT CAST(doc_id AS VARCHAR) AS doc_name, unnest(string_split_regex(text, '[ \\n]')) AS word, generate_subscripts(string_split_regex(text, '[ \\n]'), 1) AS i FROM documents),
+w1 AS (SELECT doc_name, i, word, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS a FROM w0),
+words AS (SELECT doc_name, word, a, CAST(a + length(word) - 1 AS INTEGER) AS e FROM w1 WHERE word <> '')"""
+PRONOUN = "lower(word) IN (" + ", ".join(f"'{p}'" for p in coref.PRONOUNS) + ")"
+PAIRS = f"""{WORD_ROWS},
+p0 AS (SELECT doc_name, word, a, e, max(CASE WHEN NOT {PRONOUN} AND regexp_matches(word, '^\\p{{Lu}}') THEN a END) OVER (PARTITION BY doc_name ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ea FROM words),
+pairs AS (SELECT p.doc_name, w.a AS ea, w.e AS ee, p.a AS pa, p.e AS pe FROM p0 p JOIN words w ON w.doc_name = p.doc_name AND w.a = p.ea WHERE lower(p.word) IN ({", ".join(f"'{p}'" for p in coref.PRONOUNS)}))"""
+BOUNDS = """
+b0 AS (SELECT doc_name, method, a, b, row_number() OVER (PARTITION BY doc_name, method ORDER BY k) AS i, count(*) OVER (PARTITION BY doc_name, method) AS n FROM chunks WHERE b > a),
+bounds AS (SELECT doc_name, method, a AS x FROM b0 WHERE i > 1 UNION SELECT doc_name, method, b FROM b0 WHERE i < n)"""
+
+
+@query(f"WITH {PAIRS} SELECT doc_name, ea AS entity_start, ee AS entity_end, pa AS pronoun_start, pe AS pronoun_end FROM pairs")
+def entity_pairs(spark, sf_dir):
+    return coref.lexicon_pairs(_words(spark, sf_dir))
+
+
+COMPLETE = f"""{CHUNKS},{PAIRS},{BOUNDS},
+cut AS (SELECT DISTINCT p.doc_name, method, pa FROM pairs p JOIN bounds b ON p.doc_name = b.doc_name AND ea < x AND x <= pe),
+complete AS (SELECT m.doc_name, m.method, CASE WHEN t.n > 0 THEN 1 - coalesce(c.n, 0) / t.n END AS score FROM (SELECT DISTINCT doc_name, method FROM chunks) m
+             LEFT JOIN (SELECT doc_name, count(*) AS n FROM pairs GROUP BY 1) t USING (doc_name) LEFT JOIN (SELECT doc_name, method, count(*) AS n FROM cut GROUP BY ALL) c USING (doc_name, method))"""
+
+
+@query(f"WITH {COMPLETE} SELECT doc_name, method, round(score, 6) AS score FROM complete")
+def references_completeness(spark, sf_dir):
+    return metrics.references_completeness(chunks_of(spark, sf_dir), coref.lexicon_pairs(_words(spark, sf_dir))).withColumn("score", r6("score"))
+
+
+@query(f"""WITH {CHUNKS},{WORD_ROWS},{BOUNDS},
+m AS (SELECT doc_name, lower(word) AS cluster, a, e FROM words WHERE regexp_matches(word, '^\\p{{Lu}}')),
+s AS (SELECT doc_name, a, lead(e) OVER (PARTITION BY doc_name, cluster ORDER BY a) AS ne FROM m),
+x AS (SELECT s.doc_name, method, count(*) AS n FROM s JOIN bounds b ON s.doc_name = b.doc_name AND s.a < b.x AND b.x <= ne WHERE ne IS NOT NULL GROUP BY ALL)
+SELECT k.doc_name, k.method, round(coalesce(x.n, 0) / t.n, 6) AS score FROM (SELECT DISTINCT doc_name, method FROM chunks) k JOIN (SELECT doc_name, count(*) AS n FROM m GROUP BY 1) t USING (doc_name) LEFT JOIN x USING (doc_name, method)""")
+def missing_references(spark, sf_dir):
+    mentions = _words(spark, sf_dir).filter(F.col("word").rlike(r"^\p{Lu}")).select("doc_name", F.lower("word").alias("cluster"), F.col("start").alias("mention_start"), F.col("end").alias("mention_end"))
+    return metrics.missing_references(chunks_of(spark, sf_dir), mentions).withColumn("score", r6("score"))
+
+
+@query()
+def mention_clusters(spark, sf_dir):
+    return coref.find_mentions(docs_of(spark, sf_dir).select("doc_name", "full_text"))
+
+
+@query()
+def embedded_metrics(spark, sf_dir):
+    chunks = chunks_of(spark, sf_dir).filter("method = 'fixed'")
+    return metrics.embedded_scores(chunks, docs_of(spark, sf_dir), HashingEmbedder)
+
+
+VECTORS = "v AS (SELECT vec_id, label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS i, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL)"
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    """(label, i, vector, chunk_len): vectors of a label in order of their ids."""
+    rows = table(spark, sf_dir, "embeddings").filter("label is not null")
+    i = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
+    return rows.select("vec_id", "label", i.alias("i"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+@query(f"""WITH {VECTORS}, c AS (SELECT a.label, a.i // 5 AS k, avg(list_dot_product(a.x, b.x)) AS s, count(*) AS n FROM v a JOIN v b ON a.label = b.label AND b.i = a.i // 5 * 5 GROUP BY ALL)
+SELECT label, round(greatest(0, least(1, avg(s))), 6) AS score FROM c WHERE n > 1 GROUP BY label""")
+def cohesion_by_label(spark, sf_dir):
+    v = _vectors(spark, sf_dir).withColumn("chunk", F.floor(F.col("i") / 5))
+    heads = v.filter("i % 5 = 0").select("label", "chunk", F.col("vector").alias("chunk_vector"))
+    return metrics.cohesion(v.withColumnRenamed("vector", "piece_vector").join(heads, ["label", "chunk"]), ["label"]).withColumn("score", r6("score"))
+
+
+@query(f"""WITH {VECTORS}, c AS (SELECT *, 50 + i % 200 AS n FROM v),
+p AS (SELECT a.label, sum(a.n * b.n * list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x)))) / sum(a.n * b.n) AS s FROM c a JOIN c b ON a.label = b.label AND b.i - a.i BETWEEN 1 AND 5 GROUP BY a.label)
+SELECT label, round(greatest(0, least(1, 1 - s - f)), 6) AS score FROM (SELECT label, avg(CASE WHEN n < 100 THEN 1.0::DOUBLE ELSE 0.0 END) AS f FROM c GROUP BY label) LEFT JOIN p USING (label)""")
+def semantic_dissimilarity(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select("label", F.col("i").alias("chunk_index"), (50 + F.col("i") % 200).alias("chunk_len"), "vector")
+    return metrics.neighbour_dissimilarity(v, ["label"]).withColumn("score", r6("score"))
+
+
+@query(f"""WITH {VECTORS}, s AS (SELECT a.label, a.i // 5 AS k, avg(list_dot_product(a.x, b.x)) AS s FROM v a JOIN v b ON a.label = b.label AND a.i // 5 = b.i // 5 AND a.i <> b.i GROUP BY ALL),
+w AS (SELECT a.label, avg(list_dot_product(a.x, b.x)) AS s FROM v a JOIN v b ON a.label = b.label AND a.i <> b.i GROUP BY a.label)
+SELECT label, round(greatest(0, (avg(s.s) - any_value(w.s)) / (1 - any_value(w.s))), 4) AS score FROM s JOIN w USING (label) GROUP BY label""")
+def normalized_similarity(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select("label", F.floor(F.col("i") / 5).alias("chunk_index"), "vector")
+    return metrics.normalized_likeness(v, ["label"], 64).withColumn("score", F.round("score", 4))
+
+
+TERMS = lambda x: f"list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')"
+
+
+@query(f"""WITH {LINES}, c AS (SELECT doc_id, line AS i, body, length(body) AS n FROM lines),
+t AS (SELECT doc_id, i, term, count(*) AS tf FROM (SELECT doc_id, i, unnest({TERMS('body')}) AS term FROM c) WHERE length(term) > 1 GROUP BY ALL),
+d AS (SELECT doc_id, count(*) AS chunks FROM c GROUP BY doc_id),
+f AS (SELECT t.doc_id, term, count(*) AS df, any_value(chunks) AS chunks FROM t JOIN d ON d.doc_id = t.doc_id GROUP BY t.doc_id, term),
+w0 AS (SELECT t.doc_id, i, term, tf * (ln((1.0::DOUBLE + chunks) / (1.0::DOUBLE + df)) + 1) AS w FROM t JOIN f USING (doc_id, term) WHERE df <= greatest(1.0::DOUBLE, 0.95::DOUBLE * chunks)),
+w AS (SELECT doc_id, i, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, i)) AS w FROM w0),
+like_ AS (SELECT a.doc_id, a.i, b.i AS j, sum(a.w * b.w) AS s FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.term = b.term AND b.i - a.i BETWEEN 1 AND 5 GROUP BY ALL),
+p AS (SELECT a.doc_id, sum(a.n * b.n * coalesce(s, 0)) / sum(a.n * b.n) AS s FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i - a.i BETWEEN 1 AND 5 LEFT JOIN like_ l ON l.doc_id = a.doc_id AND l.i = a.i AND l.j = b.i GROUP BY a.doc_id)
+SELECT doc_id, round(CASE WHEN s IS NOT NULL THEN greatest(0, least(1, 1 - s - few)) END, 6) AS score FROM (SELECT doc_id, avg(CASE WHEN n < 100 THEN 1.0::DOUBLE ELSE 0.0 END) AS few FROM c GROUP BY doc_id) LEFT JOIN p USING (doc_id)""")
+def lexical_dissimilarity(spark, sf_dir):
+    chunks = lines_of(spark, sf_dir).select("doc_id", F.col("line").alias("chunk_index"), F.col("body").alias("chunk_text"), F.length("body").cast("long").alias("chunk_len"))
+    return metrics.lexical_dissimilarity(chunks, ["doc_id"]).withColumn("score", r6("score"))
+
+
+# selection and reports
+
+
+SCORES = f"""{INTEGRITY},
+eav AS (SELECT doc_name, method, 'size_compliance' AS metric, avg(CASE WHEN n BETWEEN 20 AND 120 THEN 1.0::DOUBLE ELSE 0.0 END) AS score FROM chunks GROUP BY ALL
+        UNION ALL SELECT doc_name, method, 'block_integrity', CASE WHEN doc_name LIKE '%7' AND method = 'fixed' THEN NULL ELSE score END FROM integrity),
+weighted AS (SELECT doc_name, method, sum(CASE WHEN score IS NOT NULL THEN w * score END) / sum(CASE WHEN score IS NOT NULL THEN w END) AS score FROM eav JOIN (VALUES ('size_compliance', 0.25::DOUBLE), ('block_integrity', 0.75::DOUBLE)) AS t(metric, w) USING (metric) GROUP BY ALL),
+best AS (SELECT doc_name, method, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_name ORDER BY round(score, 9) DESC, method) AS rank FROM weighted WHERE score IS NOT NULL) WHERE rank = 1)"""
+TWO = {"size_compliance": 0.25, "block_integrity": 0.75}
+
+
+def scores_of(spark, sf_dir, chunks: DataFrame) -> DataFrame:
+    """Two metrics of three methods in long form; some scores of one method are null."""
+    docs = docs_of(spark, sf_dir)
+    size = metrics.size_compliance(chunks, 120, 20).withColumn("metric_name", F.lit("size_compliance"))
+    whole = metrics.block_integrity(chunks, docs).withColumn("metric_name", F.lit("block_integrity"))
+    whole = whole.withColumn("score", F.when(~(F.col("doc_name").endswith("7") & (F.col("method") == "fixed")), F.col("score")))
+    return size.unionByName(whole).select("doc_name", F.col("method").alias("chunking_method"), "metric_name", "score")
+
+
+@query(f"WITH {SCORES} SELECT doc_name, method, round(score, 6) AS score FROM best")
+def best_method(spark, sf_dir):
+    return select.best_methods(scores_of(spark, sf_dir, chunks_of(spark, sf_dir)), TWO).withColumn("score", r6("score"))
+
+
+@query(f"WITH {SCORES} SELECT doc_name, method, count(*) AS chunks, md5(string_agg(trim(body, ' '), chr(1) ORDER BY k)) AS digest FROM chunks JOIN best USING (doc_name, method) GROUP BY doc_name, method")
+def best_chunks(spark, sf_dir):
+    chunks = chunks_of(spark, sf_dir)
+    found = select.best_chunks(chunks, scores_of(spark, sf_dir, chunks), TWO)
+    return found.select("doc_name", "method", F.size("chunks").cast("long").alias("chunks"), F.md5(F.array_join(F.transform("chunks", lambda c: c["chunk_text"]), "\u0001")).alias("digest"))
+
+
+@query(f"""WITH {SCORES}, r AS (SELECT method, n FROM chunks UNION ALL SELECT 'best', n FROM chunks JOIN best USING (doc_name, method))
+SELECT method, round(avg(n), 6) AS mean, CAST(max(n) AS BIGINT) AS max, CAST(min(n) AS BIGINT) AS min, round(stddev_pop(n), 6) AS std, count(*) AS count FROM r GROUP BY method""")
+def metametrics(spark, sf_dir):
+    chunks = chunks_of(spark, sf_dir)
+    return reports.metametrics(chunks, scores_of(spark, sf_dir, chunks), TWO).withColumn("mean", r6("mean")).withColumn("std", r6("std"))
+
+
+@query(f"""WITH {SCORES}, r AS (SELECT method, metric, score FROM eav UNION ALL SELECT 'best', metric, e.score FROM eav e JOIN best USING (doc_name, method)),
+m AS (SELECT metric AS metric_name, method, avg(score) AS mean, stddev_samp(score) AS std FROM r GROUP BY ALL)
+SELECT metric_name, method, round(mean, 6) AS mean, round(std, 6) AS std FROM m
+UNION ALL SELECT 'weighted_score', method, round(sum(mean * CASE metric_name WHEN 'size_compliance' THEN 0.25::DOUBLE ELSE 0.75 END), 6), NULL FROM m GROUP BY method""")
+def weighted_report(spark, sf_dir):
+    found = reports.overall_report(scores_of(spark, sf_dir, chunks_of(spark, sf_dir)), TWO)
+    return found.withColumn("mean", r6("mean")).withColumn("std", r6("std"))
+
+
+@query(f"""WITH {SCORES} SELECT doc_name, method, round(max(score) FILTER (WHERE metric = 'size_compliance'), 6) AS size_compliance, round(max(score) FILTER (WHERE metric = 'block_integrity'), 6) AS block_integrity,
+round(any_value(w.score), 6) AS weighted_score FROM eav LEFT JOIN weighted w USING (doc_name, method) GROUP BY doc_name, method""".replace("max(score)", "max(eav.score)"))
+def pivot_scores(spark, sf_dir):
+    found = reports.per_document(scores_of(spark, sf_dir, chunks_of(spark, sf_dir)), TWO)
+    return found.select("doc_name", "method", *[r6(c).alias(c) for c in ("size_compliance", "block_integrity", "weighted_score")])
+
+
+@query(f"""WITH {SCORES}, p AS (SELECT doc_name, method, max(score) FILTER (WHERE metric = 'size_compliance') AS x, max(score) FILTER (WHERE metric = 'block_integrity') AS y FROM eav GROUP BY ALL),
+q AS (SELECT x, y, avg(ix) OVER (PARTITION BY x) AS rx, avg(iy) OVER (PARTITION BY y) AS ry FROM (SELECT x, y, row_number() OVER (ORDER BY x) AS ix, row_number() OVER (ORDER BY y) AS iy FROM p WHERE x IS NOT NULL AND y IS NOT NULL))
+SELECT 'size_compliance' AS metric_a, 'block_integrity' AS metric_b, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM q""")
+def correlations(spark, sf_dir):
+    found = reports.correlations(scores_of(spark, sf_dir, chunks_of(spark, sf_dir)), list(TWO), kendall=False)
+    return found.withColumn("pearson", r6("pearson")).withColumn("spearman", r6("spearman"))
+
+
+@query(f"""WITH {SCORES}, p AS (SELECT doc_name, method, round(max(score) FILTER (WHERE metric = 'size_compliance'), 3) AS x, round(max(score) FILTER (WHERE metric = 'block_integrity'), 3) AS y FROM eav GROUP BY ALL),
+g AS (SELECT x, y, CAST(count(*) AS DOUBLE) AS n FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
+s AS (SELECT sum(sign(b.y - a.y) * a.n * b.n) AS s FROM g a JOIN g b ON a.x < b.x),
+fx AS (SELECT sum(n) * (sum(n) - 1) / 2 - sum(n * (n - 1) / 2) AS f FROM (SELECT x, sum(n) AS n FROM g GROUP BY x)), fy AS (SELECT sum(n) * (sum(n) - 1) / 2 - sum(n * (n - 1) / 2) AS f FROM (SELECT y, sum(n) AS n FROM g GROUP BY y))
+SELECT round(s / sqrt(fx.f * fy.f), 6) AS kendall FROM s, fx, fy""")
+def rank_correlation(spark, sf_dir):
+    return reports.correlations(scores_of(spark, sf_dir, chunks_of(spark, sf_dir)), list(TWO)).select(r6("kendall").alias("kendall"))
+
+
+@query("SELECT coalesce(event_type, 'TOTAL') AS metric, round(sum(value), 4) AS time FROM events GROUP BY ROLLUP (event_type)")
+def time_rollup(spark, sf_dir):
+    times = table(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), F.col("value").alias("time"))
+    return reports.metric_times(times).withColumn("time", F.round("time", 4))
+
+
+@query("SELECT event_type AS method, round(CASE WHEN event_type = 'click' THEN max(value) ELSE sum(value) END, 4) AS time FROM events GROUP BY event_type")
+def chunking_times(spark, sf_dir):
+    times = table(spark, sf_dir, "events").select(F.col("event_type").alias("method"), F.col("value").alias("time"))
+    return reports.chunking_times(times, ["click"]).withColumn("time", F.round("time", 4))
+
+
+@query("""WITH e AS (SELECT min(n_chars)::DOUBLE AS low, max(n_chars)::DOUBLE AS high FROM documents),
+h AS (SELECT least(19, floor((n_chars - low) / ((high - low) / 20)))::INTEGER AS bin, count(*) AS n FROM documents, e GROUP BY 1)
+SELECT CAST(b AS INTEGER) AS bin, round(low + b * (high - low) / 20, 4) AS low, round(low + (b + 1) * (high - low) / 20, 4) AS high, coalesce(n, 0) AS count FROM (SELECT unnest(range(20)) AS b), e LEFT JOIN h ON h.bin = b""")
+def length_histogram(spark, sf_dir):
+    found = reports.length_histogram(table(spark, sf_dir, "documents").select(F.col("n_chars").alias("chunk_len")), 20)
+    return found.withColumn("low", F.round("low", 4)).withColumn("high", F.round("high", 4))
+
+
+@query(f"""WITH {SCORES}, m AS (SELECT method, metric AS metric_name, avg(score) AS mean FROM eav GROUP BY ALL)
+SELECT method, metric_name, published, round(mean, 6) AS mean, round(mean - published, 6) AS delta FROM (VALUES ('lines', 'size_compliance', 0.5::DOUBLE), ('fixed', 'block_integrity', 0.9::DOUBLE), ('absent', 'size_compliance', 0.7::DOUBLE)) AS p(method, metric_name, published) LEFT JOIN m USING (method, metric_name)""")
+def published_table(spark, sf_dir):
+    local = reports.overall_report(scores_of(spark, sf_dir, chunks_of(spark, sf_dir)), TWO)
+    published = spark.sql("select * from values ('lines', 'size_compliance', 0.5D), ('fixed', 'block_integrity', 0.9D), ('absent', 'size_compliance', 0.7D) as t(method, metric_name, published)")
+    return reports.against_published(local, published).select("method", "metric_name", "published", r6("mean").alias("mean"), r6("delta").alias("delta"))
+
+
+@query()
+def adaptive_best_method(spark, sf_dir):
+    _, _, best = pipeline.adaptive(docs_of(spark, sf_dir), {"sentence": S.SentenceSplitter(per_chunk=5), "our_recursive_600": S.OUR_600, "page": None})
+    return best
+
+
+# retrieval and answers
+
+
+def _queries(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _texts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+BM25 = f"""q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TERMS('text')}) AS term FROM benchmark) GROUP BY ALL),
+d AS (SELECT doc_id, {TERMS('text')} AS terms FROM documents), z AS (SELECT count(*)::DOUBLE AS n, avg(len(terms)) AS mean FROM d),
+tf AS (SELECT doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+sc AS (SELECT query_id, doc_id AS chunk_id, round(sum(qtf * ln(1 + (z.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * tf.n / z.mean)))), 9) AS score FROM tf JOIN df USING (term) JOIN q USING (term), z GROUP BY ALL),
+bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc)"""
+
+
+@query(f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM bm WHERE rank <= 10")
+def bm25_topk(spark, sf_dir):
+    return retrieval.bm25(_queries(spark, sf_dir), _texts(spark, sf_dir), 10).select("query_id", "chunk_id", r6("score").alias("score"), "rank")
+
+
+DENSE = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ds AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.x, b.x), 9) AS score FROM v a, v b WHERE a.vec_id % 20 = 0),
+dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds)"""
+
+
+def _dense_inputs(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return rows.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), rows
+
+
+@query(f"WITH {DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM dn WHERE rank <= 10")
+def vector_topk(spark, sf_dir):
+    return retrieval.dense(*_dense_inputs(spark, sf_dir), 10).select("query_id", "chunk_id", r6("score").alias("score"), "rank")
+
+
+@query(f"WITH {DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM dn WHERE rank <= 5")
+def vector_topk_native(spark, sf_dir):
+    return retrieval.dense_native(*_dense_inputs(spark, sf_dir), 5).select("query_id", "chunk_id", r6("score").alias("score"), "rank")
+
+
+@query(f"""WITH {BM25}, o AS (SELECT bm.query_id, bm.chunk_id, len(list_intersect(list_distinct({TERMS('b.text')}), {TERMS('t.text')})) / len(list_distinct({TERMS('b.text')})) AS score FROM bm JOIN benchmark b ON b.item_id = bm.query_id JOIN documents t ON t.doc_id = bm.chunk_id WHERE rank <= 20)
+SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM o) WHERE rank <= 5""")
+def rerank_topk(spark, sf_dir):
+    q, c = _queries(spark, sf_dir), _texts(spark, sf_dir)
+    return retrieval.rerank(retrieval.bm25(q, c, 20), q, c, 5).withColumn("score", r6("score"))
+
+
+@query(f"""WITH {DENSE}, r AS (SELECT query_id, chunk_id, rank FROM dn WHERE rank <= 8 UNION ALL SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY abs(chunk_id - query_id), chunk_id) AS rank FROM (SELECT query_id, chunk_id FROM dn)) WHERE rank <= 8)
+SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM r GROUP BY ALL""")
+def fused_candidates(spark, sf_dir):
+    q, c = _dense_inputs(spark, sf_dir)
+    near = q.select("query_id", F.explode(F.sequence(F.col("query_id") - 8, F.col("query_id") + 8)).alias("chunk_id")).join(c.select("chunk_id"), "chunk_id").withColumn("score", -F.abs(F.col("chunk_id") - F.col("query_id")).cast("double"))
+    return retrieval.fused(retrieval.dense(q, c, 8), retrieval.top(near, 8, ["query_id"])).withColumn("score", r6("score"))
+
+
+@query()
+def hybrid_retrieval(spark, sf_dir):
+    return retrieval.retrieve(_queries(spark, sf_dir), _texts(spark, sf_dir), HashingEmbedder)
+
+
+@query()
+def retrieval_records(spark, sf_dir):
+    q, c = _queries(spark, sf_dir), _texts(spark, sf_dir)
+    asked = q.withColumn("reference_answer", F.col("text")).withColumn("reference_answer_doc_name", F.lit(None).cast("string"))
+    full = c.withColumn("doc_name", F.col("chunk_id").cast("string")).withColumn("method", F.lit("page")).withColumn("chunk_pages", F.array(F.lit(1)))
+    return retrieval.records(retrieval.bm25(q, c, 3), asked, full)
+
+
+def _judge(name: str, prompt: str) -> str:
+    return json.dumps({"level": len(prompt) % 3, "score": len(prompt) % 5 / 4, "reason": "offline"})
+
+
+@query()
+def judged_answers(spark, sf_dir):
+    found = rag.generate(retrieval_records(spark, sf_dir), lambda: lambda prompt: rag.REFUSAL if len(prompt) % 4 == 0 else prompt[-80:])
+    return rag.evaluate(found, lambda: _judge).select("query_id", "generated_output", "metrics", "success")
+
+
+@query('SELECT "group", count(*) AS n, min(item_id) AS first, max(item_id) AS last FROM (SELECT item_id, CAST((row_number() OVER (ORDER BY item_id) - 1) // 5 AS BIGINT) AS "group" FROM benchmark) GROUP BY "group"')
+def query_groups(spark, sf_dir):
+    groups = rag.in_groups(_queries(spark, sf_dir).withColumnRenamed("text", "query_text"))
+    ids = F.transform("queries", lambda q: q["query_id"])
+    return groups.select("group", F.size("queries").cast("long").alias("n"), F.array_min(ids).alias("first"), F.array_max(ids).alias("last"))
+
+
+@query("""SELECT item_id AS query_id, item_id % 2 = 0 AS relevant, 'because' AS justification, md5(text) AS digest, false AS generated FROM benchmark
+UNION ALL SELECT (SELECT max(item_id) FROM benchmark) + i, true, NULL, md5(q), true FROM (VALUES (1, 'What is it?'), (2, 'Why so?')) AS t(i, q)""")
+def combined_queries(spark, sf_dir):
+    real = _queries(spark, sf_dir).select("query_id", (F.col("query_id") % 2 == 0).alias("relevant"), F.lit("because").alias("justification"), F.col("text").alias("query_text"))
+    return rag.combined_queries(real, "What is it?\n\nWhy so?\n").select("query_id", "relevant", "justification", F.md5("query_text").alias("digest"), "generated")
+
+
+@query("SELECT count(*) FILTER (WHERE NOT contains(text, 'the')) AS answered, count(*) AS total, CAST(floor(count(*) FILTER (WHERE NOT contains(text, 'the')) * 100 / count(*)) AS BIGINT) AS percent FROM conversations WHERE role = 'assistant'")
+def answered_rate(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select(F.col("text").alias("generated_output"))
+    return reports.answered_rate(said, "the")
+
+
+EVALS = """e AS (SELECT doc_id AS query_id, 's' || (doc_id % 3) AS system, m AS name, CASE WHEN (doc_id + length(m)) % 4 = 0 THEN NULL ELSE (quality + toxic + doc_id % 7) / 9 END AS score
+      FROM labels, (VALUES ('Retrieval Completeness'), ('Answer Correctness'), ('Contextual Relevancy')) AS t(m) WHERE doc_id % 11 <> 0
+      UNION ALL SELECT doc_id, 's' || ((doc_id + 1) % 3), 'Contextual Relevancy', NULL FROM labels)"""
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    names = F.explode(F.array(*map(F.lit, (rag.COMPLETENESS, rag.CORRECTNESS, rag.RELEVANCY))))
+    own = labels.filter("doc_id % 11 <> 0").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("s"), F.col("doc_id") % 3).alias("system"), names.alias("name"), "quality", "toxic")
+    score = F.when((F.col("query_id") + F.length("name")) % 4 != 0, (F.col("quality") + F.col("toxic") + F.col("query_id") % 7) / 9)
+    other = labels.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("s"), (F.col("doc_id") + 1) % 3).alias("system"), F.lit(rag.RELEVANCY).alias("name"), F.lit(None).cast("double").alias("score"))
+    return own.select("query_id", "system", "name", score.alias("score")).unionByName(other)
+
+
+SPREAD = "round(avg(score), 6) AS mean, round(CASE WHEN count(score) > 1 THEN stddev_samp(score) WHEN count(score) = 1 THEN 0 END, 6) AS std, count(score) AS n"
+
+
+@query(f"""WITH {EVALS}, k AS (SELECT *, max(score IS NOT NULL) OVER (PARTITION BY query_id) AS any_, max(score IS NOT NULL) OVER (PARTITION BY query_id, name) AS known FROM e),
+r AS (SELECT system, name, CASE WHEN name = 'Contextual Relevancy' AND known THEN coalesce(score, 0) ELSE score END AS score FROM k WHERE any_)
+SELECT system, name, {SPREAD} FROM r GROUP BY ALL UNION ALL SELECT system, 'Final', {SPREAD} FROM r GROUP BY system""")
+def union_report(spark, sf_dir):
+    return rag.union_report(_scores(spark, sf_dir)).withColumn("mean", r6("mean")).withColumn("std", r6("std"))
+
+
+@query(f"WITH {EVALS}, s AS (SELECT system, count(DISTINCT query_id) AS evaluated FROM e WHERE score IS NOT NULL GROUP BY 1) SELECT e.system, name, {SPREAD}, coalesce(any_value(evaluated), 0) AS evaluated FROM e LEFT JOIN s USING (system) GROUP BY e.system, name")
+def skip_null_report(spark, sf_dir):
+    return rag.skip_null_report(_scores(spark, sf_dir)).withColumn("mean", r6("mean")).withColumn("std", r6("std"))
+
+
+@query(f"""WITH {EVALS} SELECT system, count(DISTINCT query_id) AS total, round(avg(score) FILTER (WHERE name LIKE 'Retrieval%'), 6) AS completeness, round(stddev_samp(score) FILTER (WHERE name LIKE 'Retrieval%'), 6) AS completeness_std,
+round(avg(score) FILTER (WHERE name LIKE 'Answer%'), 6) AS correctness, round(stddev_samp(score) FILTER (WHERE name LIKE 'Answer%'), 6) AS correctness_std, count(score) FILTER (WHERE name LIKE 'Answer%') AS answered FROM e GROUP BY system""")
+def generated_report(spark, sf_dir):
+    scores = _scores(spark, sf_dir)
+    found = rag.generated_report(scores, scores.groupBy("system").agg(F.countDistinct("query_id").alias("total")))
+    return found.select("system", "total", *[r6(c).alias(c) for c in ("completeness", "completeness_std", "correctness", "correctness_std")], "answered")
+
+
+# incremental output
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_left_anti(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT source AS method, count(*) AS n, sum(CASE WHEN source IN ('src1', 'src2') THEN 2 ELSE 1 END)::BIGINT AS version FROM documents GROUP BY source")
+def replace_methods(spark, sf_dir):
+    old = table(spark, sf_dir, "documents").select(F.col("source").alias("method"), F.lit(1).alias("version"))
+    new = old.filter(F.col("method").isin("src1", "src2")).withColumn("version", F.lit(2))
+    return old.filter(~F.col("method").isin("src1", "src2")).unionByName(new).groupBy("method").agg(F.count("*").alias("n"), F.sum("version").alias("version"))
+
+
+@query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    from ..streaming.stream import event_counts
+
+    return event_counts(table(spark, sf_dir, "events")).withColumn("value", F.round("value", 4))
