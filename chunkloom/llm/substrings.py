@@ -19,7 +19,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,35 +135,42 @@ class Pieces:
                 yield dk, len(run), dk, d2, int(run[0]), None, 3
 
 
-def repeated_windows(segments: list[list[bytes]], window: int) -> list[np.ndarray]:
-    """Starts of the windows of each segment that occur at least twice among all segments.
+def repeated_windows(segments: list[bytes], window: int) -> list[np.ndarray]:
+    """Starts of the windows of each segment (words joined by one space) that occur at least twice among all segments.
 
-    Builds the tree by depth: the name of a node is the pair of names of its halves, so equal names mean equal words.
+    Builds the tree by depth: the name of a node is that of its three parts, so equal names mean equal words.
     """
-    sizes = np.fromiter(map(len, segments), np.int64, len(segments))
-    place: dict[bytes, int] = {}
-    name = np.fromiter((place.setdefault(x, len(place)) for s in segments for x in s), np.int64, int(sizes.sum()))
-    ends = np.repeat(np.cumsum(sizes), sizes)
+    if not segments:
+        return []
+    words = pc.split_pattern(pa.array(segments, pa.large_binary()), " ")
+    start = words.offsets.to_numpy()[:-1]
+    found = words.values.dictionary_encode()
+    name, kinds = found.indices.to_numpy().astype(np.int64), len(found.dictionary)
+    ends = np.repeat(words.offsets.to_numpy()[1:], np.diff(words.offsets.to_numpy()))
     at = np.arange(len(name))
     depth = 1
 
-    def deeper(names: np.ndarray, step: int, total: int) -> np.ndarray:
-        out = np.full(len(names), -1, np.int64)
+    def deeper(steps: tuple[int, ...], total: int) -> None:
+        nonlocal name, kinds, depth
         fit = np.flatnonzero(at + total <= ends)
-        if len(fit):
-            out[fit] = np.unique(names[fit] * (int(names.max()) + 1) + names[fit + step], return_inverse=True)[1]
-        return out
-
-    while depth * 2 <= window:
-        name, depth = deeper(name, depth, depth * 2), depth * 2
-    if depth < window:
-        name = deeper(name, window - depth, window)
-    start = np.cumsum(sizes) - sizes
+        key = name[fit]
+        for step in steps:
+            key = key * kinds + name[fit + step]
+        codes, known = pd.factorize(key)
+        name = np.full(len(name), -1, np.int64)
+        name[fit] = codes
+        kinds, depth = max(1, len(known)), total
+
+    while depth < window:
+        if depth * 3 <= window and kinds**3 < 1 << 63:
+            deeper((depth, depth * 2), depth * 3)
+        elif depth * 2 <= window:
+            deeper((depth,), depth * 2)
+        else:
+            deeper((window - depth,), window)
     leaves = np.bincount(name[name >= 0], minlength=1)
-    deep = (name >= 0) & (leaves[np.maximum(name, 0)] > 1)
-    hits = np.flatnonzero(deep)
-    owner = np.searchsorted(start, hits, "right") - 1
-    return [h - s for h, s in zip(np.split(hits, np.searchsorted(owner, np.arange(1, len(segments)))), start.tolist())] if len(segments) else []
+    hits = np.flatnonzero((name >= 0) & (leaves[np.maximum(name, 0)] > 1))
+    return [h - s for h, s in zip(np.split(hits, np.searchsorted(hits, start[1:])), start.tolist())]
 
 
 def _spans(dealt: DataFrame, window: int) -> DataFrame:
@@ -195,8 +204,8 @@ def _spans(dealt: DataFrame, window: int) -> DataFrame:
                         flush()
                         n_words = 0
                 if count == 0:
-                    held.append((dk, d2, start, words := words.split()))
-                    n_words += len(words)
+                    held.append((dk, d2, start, words))
+                    n_words += words.count(b" ") + 1
                 elif count == 3:
                     out.append((dk, d2, start, start + g2 - 1 + window))
                 elif lone is None:
