@@ -145,9 +145,9 @@ class LayoutParser:
                 out.append({"role": "figure", "content": caption, "page": page, "depth": depth})
 
         inner = {int(m[1]) for s in sections for ref in s.get("elements", ()) if (m := re.fullmatch(r"/sections/(\d+)", ref))}
-        for i in range(len(sections)):
-            if i not in inner:
-                emit("sections", i, 1)
+        # sections that refer to each other in a circle have no root: the first one is
+        for i in [i for i in range(len(sections)) if i not in inner] or range(min(1, len(sections))):
+            emit("sections", i, 1)
         for i, p in enumerate(raw.get("paragraphs") or ()):
             if p.get("role") in self.RANK:
                 emit("paragraphs", i, 0)
