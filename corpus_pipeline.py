@@ -23,7 +23,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles."""
+    """One document of each group of near copies stays: five-word shingles, a likeness of 0.8 or more."""
     return simhash.first_of_groups(docs)
 
 
