@@ -49,7 +49,7 @@ NAMED = re.compile(
     re.I,
 )
 #: A comment, a declaration, or a tag with its attributes, whose quoted values may hold angle brackets.
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-label)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
 
@@ -88,12 +88,14 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             continue
         if name == "a":
             in_link = 0 if m[1] else 1
-        if name in BLOCK or name in HIDDEN:
+        if name in BLOCK:
             flush()
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    flush()
+                    # the end of an inline element goes on with the same block, unless it closes blocks or boilerplate
+                    if any(x[0] in BLOCK or x[0] in HIDDEN for x in stack[k:]) or stack[-1][1] != (stack[k - 1][1] if k else 0):
+                        flush()
                     del stack[k:]
                     break
                 if name not in BLOCK and stack[k][0] in BLOCK:
