@@ -46,31 +46,34 @@ def clipped(x: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, made once each; starts anew when it holds many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return h
+
+
 class HashingEmbedder:
     """The offline default: signed hashes of lower-case words and word pairs, L2-normalised. Deterministic."""
 
     def __init__(self, size: int = 64) -> None:
-        self.size = size
-        self.memo: dict[str, tuple[int, float]] = {}
+        self.size, self.memo = size, _Hashes()
 
     def __getstate__(self):
-        return {"size": self.size, "memo": {}}
+        return {"size": self.size, "memo": _Hashes()}
 
-    def _place(self, term: str) -> tuple[int, float]:
-        if term not in self.memo:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            h = int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "little")
-            self.memo[term] = h % self.size, 1.0 if h >> 63 else -1.0
-        return self.memo[term]
+    def _one(self, text: str) -> np.ndarray:
+        words = text.lower().split()
+        h = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
+        pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93)
+        every = np.concatenate([h, pairs ^ (pairs >> np.uint64(32))])
+        return np.bincount((every % np.uint64(self.size)).astype(np.int64), np.where(every >> np.uint64(63), 1.0, -1.0), self.size)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.size))
-        for row, text in zip(out, texts):
-            words = text.lower().split()
-            for term in [*words, *map(" ".join, zip(words, words[1:]))]:
-                place, sign = self._place(term)
-                row[place] += sign
+        out = np.array([self._one(t) for t in texts]).reshape(len(texts), self.size)
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(size > 0, size, 1)
 

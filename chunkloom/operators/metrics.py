@@ -107,7 +107,10 @@ def embedded_scores(chunks: DataFrame, docs: DataFrame, make_embedder: Callable[
     windows of chunks to each of their chunks. One row a document and method; a chunk is embedded once for both.
     """
     spans = F.array_sort(F.collect_list(F.struct("chunk_index", "start", "end")))
-    rows = chunks.groupBy(*KEYS).agg(spans.alias("spans")).join(docs.select("doc_name", "full_text", "split_points"), "doc_name")
+    # both sides are dealt by document once: grouping and join need no other exchange, and the stated number keeps the costly worker parallel
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.select(*KEYS, "chunk_index", "start", "end").repartition(n, "doc_name")
+    rows = dealt.groupBy(*KEYS).agg(spans.alias("spans")).join(docs.select("doc_name", "full_text", "split_points").repartition(n, "doc_name"), "doc_name")
 
     def make():
         embed = make_embedder()
@@ -158,30 +161,44 @@ def neighbour_dissimilarity(chunks: DataFrame, keys: list[str], reach: int = 5,
     return few.join(like, keys, "left").select(*keys, clipped(1 - F.col("like") - weight * F.col("few")).alias("score"))
 
 
+def _raw_tfidf(chunks: DataFrame, keys: list[str], stop_words: list[str] | None, most_share: float) -> DataFrame:
+    """(keys, chunk_index, term, w): weights before normalisation, dealt by keys and term."""
+    words = F.filter(F.split(F.lower("chunk_text"), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 1) & ~w.isin(stop_words or []))
+    tf = chunks.select(*keys, "chunk_index", F.explode(words).alias("term")).groupBy(*keys, "chunk_index", "term").agg(F.count("*").alias("tf"))
+    # documents' chunk counts and terms' document counts are windows over the dealing that the neighbours need as well
+    n = chunks.groupBy(*keys).agg(F.count("*").alias("n"))
+    df = F.count("*").over(Window.partitionBy(*keys, "term"))
+    raw = tf.withColumn("df", df).join(n, keys).filter(F.col("df") <= F.greatest(F.lit(1.0), most_share * F.col("n")))
+    return raw.select(*keys, "chunk_index", "term", (F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1)).alias("w"))
+
+
 def tfidf(chunks: DataFrame, keys: list[str], stop_words: list[str] | None = None, most_share: float = 0.95) -> DataFrame:
-    """Adds ``terms`` (map of term to L2-normalised weight) to (keys, chunk_index, chunk_text), fitted on each document's own chunks.
+    """(keys, chunk_index, term, w): L2-normalised weights of (keys, chunk_index, chunk_text), fitted on each document's own chunks.
 
     idf is ln((1 + n) / (1 + df)) + 1; terms in more than ``most_share`` of a document's chunks are left out.
     """
-    words = F.filter(F.split(F.lower("chunk_text"), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 1) & ~w.isin(stop_words or []))
-    tf = chunks.select(*keys, "chunk_index", F.explode(words).alias("term")).groupBy(*keys, "chunk_index", "term").agg(F.count("*").alias("tf"))
-    n = chunks.groupBy(*keys).agg(F.count("*").alias("n"))
-    df = tf.groupBy(*keys, "term").agg(F.count("*").alias("df")).join(n, keys)
-    idf = df.filter(F.col("df") <= F.greatest(F.lit(1.0), most_share * F.col("n"))).select(*keys, "term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, [*keys, "term"]).select(*keys, "chunk_index", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    raw = _raw_tfidf(chunks, keys, stop_words, most_share)
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys, "chunk_index"))))
 
 
-def lexical_dissimilarity(chunks: DataFrame, keys: list[str], reach: int = 5, small: int = 100, weight: float = 1.0, stop_words: list[str] | None = None) -> DataFrame:
-    """As ``neighbour_dissimilarity`` with TF-IDF vectors of each document's chunks; pairs without a common term have likeness zero."""
-    terms = tfidf(chunks, keys, stop_words)
-    a = terms.select(*keys, "term", F.col("chunk_index").alias("i"), F.col("w").alias("wi"))
-    b = terms.select(*keys, "term", F.explode(F.sequence(F.col("chunk_index") - reach, F.col("chunk_index") - 1)).alias("i"), F.col("chunk_index").alias("j"), F.col("w").alias("wj"))
-    like = a.join(b, [*keys, "term", "i"]).groupBy(*keys, "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("like"))
-    size = chunks.select(*keys, F.col("chunk_index").alias("i"), F.col("chunk_len").alias("li"))
-    other = chunks.select(*keys, F.col("chunk_index").alias("j"), F.col("chunk_len").alias("lj"), F.explode(F.sequence(F.col("chunk_index") - reach, F.col("chunk_index") - 1)).alias("i"))
+def lexical_dissimilarity(chunks: DataFrame, keys: list[str], reach: int = 5, small: int = 100, weight: float = 1.0, stop_words: list[str] | None = None, most_share: float = 0.95) -> DataFrame:
+    """As ``neighbour_dissimilarity`` with TF-IDF vectors of each document's chunks; pairs without a common term have likeness zero.
+
+    A term stands once in a chunk, so the chunks before it within reach are among its last ``reach`` rows: a window, no join of terms.
+    """
+    terms = _raw_tfidf(chunks, keys, stop_words, most_share)
+    order = Window.partitionBy(*keys, "term").orderBy("chunk_index")
+    own = F.struct("chunk_index", "w")
+    lagged = terms.withColumn("before", F.array(*[F.lag(own, k).over(order) for k in range(1, reach + 1)]))
+    before = F.filter("before", lambda x: x.isNotNull() & (x["chunk_index"] >= F.col("chunk_index") - reach))
+    pairs = lagged.select(*keys, F.col("chunk_index").alias("j"), F.col("w").alias("wj"), F.explode(before).alias("x"))
+    like = pairs.groupBy(*keys, F.col("x.chunk_index").alias("i"), "j").agg(F.sum(F.col("x.w") * F.col("wj")).alias("dot"))
+    norms = terms.groupBy(*keys, "chunk_index").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    sized = chunks.select(*keys, "chunk_index", "chunk_len").join(norms, [*keys, "chunk_index"], "left")
+    size = sized.select(*keys, F.col("chunk_index").alias("i"), F.col("chunk_len").alias("li"), F.col("norm").alias("ni"))
+    other = sized.select(*keys, F.col("chunk_index").alias("j"), F.col("chunk_len").alias("lj"), F.col("norm").alias("nj"), F.explode(F.sequence(F.col("chunk_index") - reach, F.col("chunk_index") - 1)).alias("i"))
     near = size.join(other, [*keys, "i"]).join(like, [*keys, "i", "j"], "left").withColumn("w", (F.col("li") * F.col("lj")).cast("double"))
-    mean = near.groupBy(*keys).agg((F.sum(F.col("w") * F.coalesce("like", F.lit(0.0))) / F.sum("w")).alias("like"))
+    mean = near.groupBy(*keys).agg((F.sum(F.col("w") * F.coalesce(F.col("dot") / (F.col("ni") * F.col("nj")), F.lit(0.0))) / F.sum("w")).alias("like"))
     few = chunks.groupBy(*keys).agg(F.avg(F.when(F.col("chunk_len") < small, 1.0).otherwise(0.0)).alias("few"))
     return few.join(mean, keys, "left").select(*keys, clipped(1 - F.col("like") - weight * F.col("few")).alias("score"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -20,26 +20,32 @@ WEIGHTS = {"size_compliance": 0.2, "block_integrity": 0.2, "intrachunk_cohesion"
 Post = Callable[[str, list[Span]], list[Span]]
 
 
-def with_spans(docs: DataFrame, splitter: Splitter | None, count: Counter = count_words, post: Post | None = None) -> DataFrame:
-    """Adds ``found`` (array of start, end, chunk_len): one narrow pass over the texts. Without a splitter the pages are the chunks."""
+FOUND = "found array<struct<method:string,chunk_index:bigint,start:int,end:int,chunk_len:bigint>>"
+
+
+def _pages(pages: list[dict] | None, text: str) -> list[Span]:
+    out, at = [], 0
+    for p in pages or ():
+        out.append((at, at := at + len(p["text"] or "")))
+    return out or ([(0, len(text))] if text else [])
+
+
+def with_spans(docs: DataFrame, methods: dict[str, Splitter | None], count: Counter = count_words, post: Post | None = None) -> DataFrame:
+    """Adds ``found``, the spans of every method: one narrow pass over the texts. Without a splitter the pages are the chunks."""
 
     def make():
         def work(text: str | None, pages: list[dict] | None):
             text = text or ""
-            if splitter is None:
-                ends, at = [], 0
-                for p in pages or ():
-                    ends.append((at, at := at + len(p["text"] or "")))
-                spans = ends or ([(0, len(text))] if text else [])
-            else:
-                spans = splitter.spans(text)
-            if post:
-                spans = post(text, spans)
-            return ([{"start": a, "end": b, "chunk_len": count(text[a:b])} for a, b in spans],)
+            found = []
+            for name, splitter in methods.items():
+                spans = _pages(pages, text) if splitter is None else splitter.spans(text)
+                for i, (a, b) in enumerate(post(text, spans) if post else spans):
+                    found.append({"method": name, "chunk_index": i, "start": a, "end": b, "chunk_len": count(text[a:b])})
+            return (found,)
 
         return work
 
-    return add_columns(docs, [F.col("full_text"), F.col("pages")], "found array<struct<start:int,end:int,chunk_len:bigint>>", make)
+    return add_columns(docs, [F.col("full_text"), F.col("pages")], FOUND, make)
 
 
 def per_page(splitter: Splitter) -> Splitter:
@@ -57,27 +63,21 @@ def per_page(splitter: Splitter) -> Splitter:
     return PerPage()
 
 
-def chunk_rows(spanned: DataFrame, method: str | Column, kind: str = schemas.RAW) -> DataFrame:
+def chunk_rows(spanned: DataFrame, kind: str = schemas.RAW) -> DataFrame:
     """Chunks, one a row, with pages and titles from their own document's row: no join, no shuffle."""
-    method = F.lit(method) if isinstance(method, str) else method
-    rows = spanned.withColumn("page_starts", page_starts(F.col("pages"))).select("doc_name", method.alias("method"), "full_text", "titles", "page_starts", F.posexplode("found").alias("chunk_index", "s"))
-    rows = rows.select("doc_name", "method", "titles", "page_starts", "chunk_index", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.chunk_len").alias("chunk_len"), F.substring("full_text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("chunk_text"))
+    rows = spanned.withColumn("page_starts", page_starts(F.col("pages"))).select("doc_name", "full_text", "titles", "page_starts", F.explode("found").alias("s"))
+    rows = rows.select("doc_name", "titles", "page_starts", "s.*", F.substring("full_text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("chunk_text"))
     return rows.select(
-        "doc_name", "method", F.lit(kind).alias("type"), F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text",
-        postprocess.pages_of(F.col("page_starts"), F.col("start"), F.col("end")).alias("chunk_pages"),
+        "doc_name", "method", F.lit(kind).alias("type"), "chunk_index", "chunk_text", postprocess.pages_of(F.col("page_starts"), F.col("start"), F.col("end")).alias("chunk_pages"),
         postprocess.title_context(F.col("titles"), F.col("start"), F.col("chunk_text")).alias("titles_context"), "chunk_len", "start", "end",
     )
 
 
 def split_documents(docs: DataFrame, methods: dict[str, Splitter | None] | None = None, count: Counter = count_words, post: Post | None = None, foreign: Callable[[str], bool] | None = None) -> DataFrame:
-    """Chunks of every method. With ``foreign`` documents in another language are left out; with ``post`` spans are regularised first."""
+    """Chunks of every method, from one reading. With ``foreign`` documents in another language are left out; with ``post`` spans are regularised first."""
     if foreign is not None:
         docs = add_columns(docs, [F.col("full_text")], "is_foreign boolean", lambda: lambda text: (bool(text) and foreign(text),)).filter("not is_foreign").drop("is_foreign")
-    out: DataFrame | None = None
-    for name, splitter in (METHODS if methods is None else methods).items():
-        part = chunk_rows(with_spans(docs, splitter, count, post), name, schemas.NO_SMALL if post else schemas.RAW)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return chunk_rows(with_spans(docs, METHODS if methods is None else methods, count, post), schemas.NO_SMALL if post else schemas.RAW)
 
 
 def postprocess_chunks(chunks: DataFrame, docs: DataFrame, post: Post, methods: list[str] | None = None, count: Counter = count_words, kind: str = schemas.NO_SMALL) -> DataFrame:
@@ -87,14 +87,13 @@ def postprocess_chunks(chunks: DataFrame, docs: DataFrame, post: Post, methods:
     rows = spans.join(docs.select("doc_name", "full_text", "pages", "titles"), "doc_name")
 
     def make():
-        def work(text: str, found: list[dict]):
+        def work(text: str, method: str, found: list[dict]):
             new = post(text, [(s["start"], s["end"]) for s in found])
-            return ([{"start": a, "end": b, "chunk_len": count(text[a:b])} for a, b in new],)
+            return ([{"method": method, "chunk_index": i, "start": a, "end": b, "chunk_len": count(text[a:b])} for i, (a, b) in enumerate(new)],)
 
         return work
 
-    done = add_columns(rows, [F.col("full_text"), F.col("spans")], "found array<struct<start:int,end:int,chunk_len:bigint>>", make)
-    new = chunk_rows(done.drop("spans"), F.col("method"), kind)
+    new = chunk_rows(add_columns(rows, [F.col("full_text"), F.col("method"), F.col("spans")], FOUND, make).drop("method", "spans"), kind)
     return new if methods is None else new.unionByName(chunks.filter(~F.col("method").isin(*methods)).select(*new.columns))
 
 
@@ -107,7 +106,7 @@ def chunk_files(spark: SparkSession, path: str, make_parser: Callable[[], parser
         raise FileNotFoundError(path)
     docs = readers.parsed_documents(spark, path) if make_parser is None else parsers.parse_directory(spark, path, make_parser).filter("error is null")
     splitter = RecursiveSplitter(chunk_size, chunk_overlap, count, regex=True, separators=separators, merging=merging, min_chunk_tokens=min_chunk_tokens)
-    found = chunk_rows(with_spans(docs, splitter, count), "recursive").drop("method", "type", "start", "end")
+    found = chunk_rows(with_spans(docs, {"recursive": splitter}, count)).drop("method", "type", "start", "end")
     if output:
         found.write.mode("overwrite").parquet(output)
         return spark.read.parquet(output)

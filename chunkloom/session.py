@@ -20,6 +20,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "6g
     )
 
 
+#: Files of so many bytes in all are dealt over all cores after reading: they often hold a single row group. Larger ones have enough of them.
+SPREAD = range(1 << 20, 128 << 20)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a small input over all cores; filters and columns still reach the scan. Larger inputs stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size in SPREAD else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``; any path that Spark can read will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

@@ -18,7 +18,7 @@ def document_stream(spark: SparkSession, path: str, files_per_trigger: int | Non
 
 
 def chunk_stream(documents: DataFrame, splitter: Splitter, method: str, count: Counter = count_words) -> DataFrame:
-    return chunk_rows(with_spans(from_table(documents), splitter, count), method)
+    return chunk_rows(with_spans(from_table(documents), {method: splitter}, count))
 
 
 def write_chunks(chunks: DataFrame, path: str, checkpoint: str):
