@@ -56,4 +56,4 @@ def op10_mixing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op3_substrings, op4_embeddings, op5_language_id, op6_fingerprints, op7_html_text, op8_quality, op9_url_filters, op10_mixing)}
-ORACLES = {"op9_url_filters": urls.sql(URL_RULES)}
+ORACLES = {"op3_substrings": substrings.sql(), "op4_embeddings": vectors.sql(), "op9_url_filters": urls.sql(URL_RULES)}

@@ -317,3 +317,16 @@ def dedup(docs: DataFrame, window: int = 35, text: str = "text", replace: bool =
 def _segment_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["g1", "g2", "dk", "d2", "start", "words", "count"])
+
+
+def sql(window: int = 35) -> str:
+    """DuckDB SQL of ``dedup`` over (doc_id, text) of ``documents``."""
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    win AS (SELECT r, i, array_to_string(list_slice(w, i, i + {window - 1}), ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - {window - 2})) AS i FROM d WHERE len(w) >= {window})),
+    rep AS (SELECT r, i FROM win JOIN (SELECT s FROM win GROUP BY s HAVING count(*) > 1) USING (s)),
+    words AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+    marked AS (SELECT words.r, words.i, x, max(CASE WHEN rep.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY words.r ORDER BY words.i ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) AS gone
+               FROM words LEFT JOIN rep ON rep.r = words.r AND rep.i = words.i),
+    done AS (SELECT r, sum(gone) AS n, string_agg(x, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM marked GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN done USING (r)"""

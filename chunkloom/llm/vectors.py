@@ -193,3 +193,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, key: str = "vec_id"
     out = rows.select("id", "node").join(named, "node", "left")
     component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("first"))
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def sql(least: float = 0.98) -> str:
+    """DuckDB SQL of ``near_duplicates`` over ``embeddings`` with distinct ids."""
+    return f"""
+    WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+                         WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+    e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+          WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= {least}),
+    reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+    n AS (SELECT a, count(*) AS n FROM e GROUP BY a), m AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+    SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(m.m, vec_id)) AS component_id, coalesce(m.m, vec_id) >= vec_id AS kept
+    FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id"""
