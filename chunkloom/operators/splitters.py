@@ -277,6 +277,19 @@ def by_sentences(text: str) -> list[Span]:
     return [(a, b) for a, b in zip(at, at[1:]) if a < b]
 
 
+@dataclass(frozen=True)
+class PerPage(_Texts):
+    """Splits every page of a document by itself, so that no chunk crosses a page; a text without pages is one page."""
+
+    splitter: Splitter
+
+    def spans(self, text: str) -> list[Span]:
+        return self.splitter.spans(text)
+
+    def paged(self, text: str, pages: list[Span]) -> list[Span]:
+        return [(a + x, a + y) for a, b in pages for x, y in self.splitter.spans(text[a:b])]
+
+
 #: Ways to find sentences. Others (a trained model, say) are functions from a text to spans; gaps after a span belong to it.
 SENTENCES: dict[str, Callable[[str], list[Span]]] = {"regex": by_sentences, "lines": by_lines, "blank_lines": RegexSplitter(r"\n\n").spans}
 
@@ -292,7 +305,7 @@ class SentenceSplitter(_Texts):
         if not text:
             return []
         find = self.method if callable(self.method) else SENTENCES[self.method]
-        starts = sorted({0, *(a for a, _ in find(text) if a < len(text))})[:: self.per_chunk] if self.per_chunk > 1 else sorted({0, *(a for a, _ in find(text) if a < len(text))})
+        starts = sorted({0, *(a for a, _ in find(text) if a < len(text))})[:: self.per_chunk]
         return list(zip(starts, [*starts[1:], len(text)]))
 
 

@@ -174,6 +174,14 @@ def recursive_split_600(spark, sf_dir):
     return found.select("doc_name", "chunk_index", "start", "end", "chunk_len", "chunk_pages", "titles_context")
 
 
+@query()
+def page_recursive_split(spark, sf_dir):
+    """Documents of web pages, each of their pages split by itself."""
+    docs = parsers.parse_pages(table(spark, sf_dir, "pages")).filter("error is null")
+    found = pipeline.split_documents(docs, {"page_recursive": S.PerPage(S.RecursiveSplitter(80, regex=True, separators=S.PAPER_SEPARATORS))})
+    return found.select("doc_name", "chunk_index", "start", "end", "chunk_len", "chunk_pages", "titles_context")
+
+
 @query()
 def recursive_split_overlap(spark, sf_dir):
     splitter = S.RecursiveSplitter(300, 50, regex=True, separators=S.PAPER_SEPARATORS)

@@ -12,7 +12,7 @@ from ..functions.batches import add_columns
 from ..functions.text import Counter, count_words, page_starts
 from ..functions.vectors import Embedder, HashingEmbedder
 from ..operators import coref, metrics, postprocess, select
-from ..operators.splitters import METHODS, PAPER_SEPARATORS, RecursiveSplitter, Span, Splitter
+from ..operators.splitters import METHODS, PAPER_SEPARATORS, PerPage, RecursiveSplitter, Span, Splitter
 from ..sources import parsers, readers
 
 #: The five metrics that choose a method weigh the same.
@@ -38,7 +38,10 @@ def with_spans(docs: DataFrame, methods: dict[str, Splitter | None], count: Coun
             text = text or ""
             found = []
             for name, splitter in methods.items():
-                spans = _pages(pages, text) if splitter is None else splitter.spans(text)
+                if splitter is None:
+                    spans = _pages(pages, text)
+                else:
+                    spans = splitter.paged(text, _pages(pages, text)) if isinstance(splitter, PerPage) else splitter.spans(text)
                 for i, (a, b) in enumerate(post(text, spans) if post else spans):
                     found.append({"method": name, "chunk_index": i, "start": a, "end": b, "chunk_len": count(text[a:b])})
             return (found,)
@@ -48,21 +51,6 @@ def with_spans(docs: DataFrame, methods: dict[str, Splitter | None], count: Coun
     return add_columns(docs, [F.col("full_text"), F.col("pages")], FOUND, make)
 
 
-def per_page(splitter: Splitter) -> Splitter:
-    """Splits at page breaks of a text first: for splitters that must not cross pages."""
-
-    class PerPage:
-        def spans(self, text: str) -> list[Span]:
-            out, at = [], 0
-            for part in text.split("\f") if "\f" in text else [text]:
-                end = at + len(part) + (at + len(part) < len(text))
-                out += [(at + a, at + b) for a, b in splitter.spans(text[at:end])]
-                at = end
-            return out
-
-    return PerPage()
-
-
 def chunk_rows(spanned: DataFrame, kind: str = schemas.RAW) -> DataFrame:
     """Chunks, one a row, with pages and titles from their own document's row: no join, no shuffle."""
     rows = spanned.withColumn("page_starts", page_starts(F.col("pages"))).select("doc_name", "full_text", "titles", "page_starts", F.explode("found").alias("s"))

@@ -156,3 +156,10 @@ def test_model_regex():
     assert how.split_text("intro text here\n# one and more\n# two and more") == ["intro text here", "\n# one and more", "\n# two and more"]
     assert S.LlmRegexSplitter(lambda p: "no").split_text("a b") == ["a b"]
     assert "<regex>\\n</regex>" in S.few_shot_prompt([{"input": "doc", "output": "\\n"}], "Find a pattern.")
+
+
+def test_per_page_never_crosses_pages():
+    text = "aa bb cc dd ee ff"
+    spans = S.PerPage(make(2)).paged(text, [(0, 8), (8, 8), (8, len(text))])
+    assert "".join(text[a:b] for a, b in spans) == text and not any(a < 8 < b for a, b in spans)
+    assert S.PerPage(make(2)).split_text(text) == make(2).split_text(text)
