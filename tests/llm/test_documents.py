@@ -298,7 +298,7 @@ def test_expectation_maximisation_recovers_accuracies():
     assert len(none[0]) == 0
 
 
-def test_quality_held_out_against_labels(spark):
+def test_quality_against_labels(spark):
     sf = "/root/testdata/sf0.01"
     found = quality.classify(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     n = {(r["quality"], r["quality_kept"]): r["count"] for r in found.groupBy("quality", "quality_kept").count().collect()}
