@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Sets, batches, checkpoint, mixed, popcount
 from .components import components
+from .likeness import named
 
 BITS, SEED, PAIRS = 64, 42, 1 << 20
 #: Of the wide fingerprints: tables, bits of a table's key, rows of a group up to which all pairs are taken.
@@ -189,9 +190,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     """
     rows = checkpoint(fingerprints(docs, text, key, shingle))
     own = checkpoint(rows.groupBy("print").agg(F.min(key).alias("least")))
-    named = _roots(own, most)
-    first = checkpoint(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    found = checkpoint(named.join(first, "root").select("print", "component_id"))
+    of_roots = _roots(own, most)
+    first = checkpoint(of_roots.groupBy("root").agg(F.min("least").alias("component_id")))
+    found = checkpoint(of_roots.join(first, "root").select("print", "component_id"))
     return rows.join(found, "print").select(key, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -250,7 +251,7 @@ def wide_links(prints: DataFrame, most: int) -> DataFrame:
     """Edges (a1, a2, b1, b2) that connect distinct fingerprints (p1, p2) of at most ``most`` differing bits, but for few.
 
     Each goes to TABLES buckets, by as many choices of KEY_BITS of its bits; two that differ in 25 of 128 bits share a bucket with a
-    probability of nine in ten, closer ones nearly always. Beyond some 10^8 fingerprints buckets fill up and want more bits and tables.
+    probability of 0.83, at 20 bits of 0.98: pairs are missed, and the pipeline takes likeness.py, which misses none. Beyond some 10^8 fingerprints buckets fill up and want more bits and tables.
     Buckets above a task's share are cut into blocks, and every pair of blocks is a task; there are at most as many such buckets as tasks.
     """
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -307,24 +308,13 @@ def wide_links(prints: DataFrame, most: int) -> DataFrame:
 def first_of_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, likeness: float = 0.8) -> DataFrame:
     """The rows of ``docs``, one of each component of near copies: that of the smallest key (null keys last, ties by a hash of the row).
 
-    Near copies are texts whose 128-bit SimHashes agree in a share of at least ``likeness`` of their bits. Null and empty texts are copies of
-    each other. Repeated rows leave one; rows that share a key but not a component each stay.
+    Near copies are texts whose sets of five-word shingles have a Jaccard likeness of at least ``likeness``, and what such links join; every such
+    pair is found. Null and empty texts are copies of each other. Repeated rows leave one; rows that share a key but not a component each stay.
     """
-    most = int(2 * BITS * (1 - likeness) + 1e-9)
     ident = F.xxhash64(*docs.columns)
-    rows = docs.select(F.struct(docs[key].isNull().alias("blank"), docs[key].alias("own_key"), ident.alias("ident")).alias("who"), docs[text].cast("string").alias("body"))
-
-    def make():
-        def work(part: pa.RecordBatch):
-            found = np.array([wide_fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in part.column(1).cast(pa.binary())], U64).reshape(-1, 2).view(np.int64)
-            yield {"who": part.column(0), "p1": found[:, 0], "p2": found[:, 1]}
-
-        return work
-
-    of = checkpoint(batches(rows, f"who {rows.schema['who'].dataType.simpleString()}, p1 long, p2 long", make))
-    own = checkpoint(of.groupBy("p1", "p2").agg(F.min("who").alias("who")).withColumn("node", F.xxhash64("p1", "p2")))
-    edges = wide_links(own, most).select(F.xxhash64("a1", "a2").alias("a"), F.xxhash64("b1", "b2").alias("b"))
-    named = own.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = checkpoint(named.groupBy("root").agg(F.min("who").alias("who")).select(F.col("who.ident").alias("ident")))
+    who = F.struct(docs[key].isNull().alias("blank"), docs[key].alias("own_key"), ident.alias("ident"))
+    rows = docs.select(who.alias("who"), ident.alias("ident"), docs[text].cast("string").alias("body"))
+    groups = named(rows, shingle, likeness)
+    kept = checkpoint(groups.groupBy("root").agg(F.min("who").alias("who")).select(F.col("who.ident").alias("ident")))
     left = docs.select(F.struct(*docs.columns).alias("row"), ident.alias("ident")).join(kept, "ident", "left_semi")
     return left.dropDuplicates(["ident"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -77,6 +77,49 @@ def test_one_of_each_group_of_near_copies_stays(spark, odd_docs, no_docs):
     assert simhash.first_of_groups(no_docs).count() == 0
 
 
+def sets_of(texts: list[str]) -> list[set[str]]:
+    words = [WORD.findall(t.lower()) for t in texts]
+    return [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def alike(a: set, b: set) -> bool:
+    return 5 * len(a & b) >= 4 * len(a | b) if a and b else a == b
+
+
+@pytest.fixture(scope="module")
+def edited():
+    """Texts of 60 words with up to six changed in a row or scattered, so that likenesses lie on both sides of 0.8; one of many copies."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 5_000, 60)]
+        for c in range(90 if k == 0 else 4):
+            words = [*base]
+            for at in rng.integers(0, 60, 1 + c % 2):
+                words[at] = f"x{rng.integers(0, 10**9)}"
+            if c % 3 == 0:
+                words[: int(rng.integers(0, 12))] = []
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_all_pairs_of_alike_sets_are_joined(spark, edited):
+    docs = spark.createDataFrame(list(enumerate(edited)), "doc_id long, text string").repartition(3)
+    sets = sets_of(edited)
+    want = components(len(edited), lambda i, j: alike(sets[i], sets[j]))
+    assert sorted(r["doc_id"] for r in simhash.first_of_groups(docs).collect()) == sorted(set(want))
+
+
+def test_pairs_at_the_limit_of_likeness(spark):
+    """Sets of 36 and 45 shingles that share 36 are alike by 0.8; of 35 and 45 they aren't, whatever their fingerprints say."""
+    rows = []
+    for k in range(100):
+        words = [f"k{k}w{i}" for i in range(49)]
+        rows += [(4 * k, " ".join(words)), (4 * k + 1, " ".join(words[:40])), (4 * k + 2, " ".join(w + "z" for w in words)), (4 * k + 3, " ".join(w + "z" for w in words[:39]))]
+    left = {r["doc_id"] for r in simhash.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {4 * k + j for k in range(100) for j in (0, 2, 3)}
+
+
 def test_wide_links_find_nearly_all(spark):
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2**63, (300, 2), dtype=np.int64)
