@@ -325,6 +325,14 @@ def test_sketches_keep_columns(odd_docs, no_docs):
     assert sketch.sketches(no_docs).count() == 0
 
 
+def test_models_keep_the_rare_n_grams_of_large_corpora(spark):
+    texts = ["river stone " * 60_000, "zebra quagga"]
+    (name,), (model,) = langid.fit(spark.createDataFrame([("en", x) for x in texts], "label string, text string"))
+    padded = [f"\x02\x02\x02{w}\x03" for w in ("river", "stone", "zebra", "quagga")]
+    for order in range(1, 5):
+        assert len(model.gram[order - 1].keys) == len({w[i - order + 1 : i + 1] for w in padded for i in range(3, len(w))})
+
+
 # 8
 
 
