@@ -282,6 +282,13 @@ def test_foreign_text_is_rejected(spark):
     assert got[99] and sum(got.values()) <= 4
 
 
+def test_a_rare_language_has_a_limit_of_rejection(spark):
+    rows = [(k, "river stone under the garden", "en") for k in range(40_000)] + [(-1, "река камень сад", "ru"), (-2, "щщщ ъъъ ыыы ююю эээ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify(docs, F.col("doc_id") >= -1).filter("doc_id < 0").collect()
+    assert {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in found} == {-1: ("ru", False), -2: ("ru", True)}
+
+
 # 6
 
 
