@@ -123,15 +123,32 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}, pattern)
 
 
-#: A lone space between characters that aren't white space: pre-tokens never reach across its left edge.
+#: A lone space between characters that aren't white space: pre-tokens of the usual patterns never reach across its left edge.
 EDGE = re.compile(r"(?<=\S) (?=\S)")
+#: What stands on either side of a lone space when a pattern is tried: letters, digits, marks, symbols, contractions, signs of all kinds.
+PROBES = ("a", "Z", "é", "你", "ǅ", "ʰ", "1", "٣", "Ⅷ", "²", "'s", "'", "’ll", "'re", ".", "...", "!?", "-", "_", "\u0301", "\u200d", "🎉", "$", "+", "/", "<|x|>", "\ufffd", "a1", "1a", "a.b", "(x")
+#: Distinct runs and pre-tokens that an encoder remembers, and characters of them all: some 60 MB in a worker.
+RUNS, PARTS, REMEMBERED = 200_000, 100_000, 4 << 20
+#: Token ids of one batch that goes back to Spark.
+IDS = 1 << 19
+
+
+def parts_at_edges(pattern: regex.Pattern) -> bool:
+    """Whether the pattern, tried on pairs of PROBES, splits a text at lone spaces as it splits what lies between them."""
+    split = pattern.findall
+    return all(split(f"{a} {b} {a}") == split(a) + split(f" {b}") + split(f" {a}") for a in PROBES for b in PROBES)
 
 
 class Encoder:
-    """Encodes texts one after another; while the memo lasts, each distinct run between lone spaces is resolved once."""
+    """Encodes texts one after another; while the memo lasts, each distinct run between lone spaces is resolved once.
+
+    With a pattern whose matches reach across lone spaces, each whole text is split by the pattern instead.
+    """
 
-    def __init__(self, words: Vocabulary, most: int = 500_000) -> None:
-        self.words, self.most, self.split = words, most, compiled(words.pattern).findall
+    def __init__(self, words: Vocabulary, most: int = RUNS) -> None:
+        pattern = compiled(words.pattern)
+        self.words, self.most, self.split = words, most, pattern.findall
+        self.edges = EDGE.split if parts_at_edges(pattern) else lambda text: [text]
         self.token = np.empty(max(words.token, default=0) + 1, object)
         self.token[list(words.token)] = list(words.token.values())
         self.clear()
@@ -149,7 +166,7 @@ class Encoder:
         self.place = Places()
         self.parts: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends, self.resolved = np.zeros(1 << 12, np.int64), 0
+        self.ends, self.resolved, self.held = np.zeros(1 << 12, np.int64), 0, 0
 
     def known(self, words: list[str]) -> None:
         """Resolves pre-tokens: those of the vocabulary by the perfect hash, the others by merges."""
@@ -157,6 +174,7 @@ class Encoder:
         slots = self.words.whole.find(raw)
         for word, raw_word, slot, rank in zip(words, raw, slots.tolist(), self.words.rank_in_slot[slots].tolist()):
             self.parts[word] = [rank] if slot >= 0 else self.words.merged(raw_word)
+            self.held += len(word)
 
     def resolve(self) -> None:
         """Ids of the new runs, each with the space before it."""
@@ -175,7 +193,7 @@ class Encoder:
         self.resolved = n
 
     def __call__(self, text: str) -> np.ndarray:
-        first, *runs = EDGE.split(text)
+        first, *runs = self.edges(text)
         head = self.split(first)
         self.known([w for w in dict.fromkeys(head) if w not in self.parts])
         head = np.array([x for w in head for x in self.parts[w]], np.uint32)
@@ -186,19 +204,22 @@ class Encoder:
         sizes = self.ends[places + 1] - starts
         total = np.cumsum(sizes)
         out = np.concatenate([head, self.ids[np.repeat(starts - total + sizes, sizes) + np.arange(total[-1] if len(total) else 0)]])
-        if len(self.place) > self.most:
+        if len(self.place) > self.most or self.held > REMEMBERED:
             self.clear()
+        elif len(self.parts) > PARTS:
+            self.parts.clear()
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(self.token[ids].tolist())
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """Token ids of every whole text, decoded again: ``key``, n_tokens, ids_sha256, decoded_sha256 (, ids, decoded).
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
+    """Token ids of every whole text, decoded again: ``key``, n_tokens, ids_sha256, decoded_sha256 (, ids) (, decoded).
 
     Null text counts as empty: no ids. Repeated rows and keys that are null or repeated give a row each. Other
-    columns are not read, whatever their names. An empty table gives no rows.
+    columns are not read, whatever their names. An empty table gives no rows. A worker holds one text's ids at a time, and those of a batch
+    of about IDS that goes back if they are asked for.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path, pattern))
     kind = docs.select(key).schema[0].dataType.simpleString()
@@ -207,21 +228,33 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
         encoder = Encoder(shared.value)
 
         def work(part: pa.RecordBatch):
-            found, backs, digests = [], [], []
-            for body in part.column(1).fill_null("").to_pylist():
-                ids = encoder(body).astype("<u4")
+            keys, bodies = part.column(0), part.column(1)
+            start, total, rows, found, backs = 0, 0, [], [], []
+
+            def ready(stop: int):
+                out = {"doc_key": keys.slice(start, stop - start)} | {c: [r[i] for r in rows] for i, c in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
+                if with_ids:
+                    out["ids"] = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), np.concatenate(found).view(np.int32))
+                if with_decoded:
+                    out["decoded"] = backs
+                return out
+
+            for i, body in enumerate(bodies):
+                ids = encoder(body.as_py() or "").astype("<u4", copy=False)
                 back = encoder.decode(ids)
-                found.append(ids if with_ids else len(ids))
-                digests.append((hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
+                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
                 if with_ids:
+                    found.append(ids)
+                if with_decoded:
                     backs.append(back)
-            sizes = list(map(len, found)) if with_ids else found
-            out = {"doc_key": part.column(0), "n_tokens": sizes, "ids_sha256": [a for a, _ in digests], "decoded_sha256": [b for _, b in digests]}
-            if with_ids:
-                out |= {"ids": pa.ListArray.from_arrays(np.cumsum([0, *sizes], dtype=np.int32), np.concatenate(found).astype(np.int32)), "decoded": backs}
-            yield out
+                total += len(ids)
+                if (with_ids or with_decoded) and total > IDS:
+                    yield ready(i + 1)
+                    start, total, rows, found, backs = i + 1, 0, [], [], []
+            if rows:
+                yield ready(part.num_rows)
 
         return work
 
-    schema = f"doc_key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
+    schema = f"doc_key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded binary" * with_decoded
     return batches(docs.select(docs[key].alias("doc_key"), docs[text].cast("string").alias("doc_text")), schema, make).withColumnRenamed("doc_key", key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: a Python worker holds a few of them, whatever the texts' lengths.
-BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 U64 = np.uint64
 
 
@@ -28,10 +30,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints, which executors share: that of ``spark.checkpoint.dir``; sets one only where none is set."""
+    """The folder of checkpoints, which executors share: that of ``spark.checkpoint.dir``.
+
+    Where none is set, a local session (tests) gets one of its own; a cluster, whose executors couldn't read it, gets an error.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -58,28 +66,40 @@ def batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBa
         for part in parts:
             if part.num_rows:
                 yield from (to_batch(x, arrow) for x in work(part))
+        del work
+        released()
 
     return df.mapInArrow(run, schema)
 
 
+def released() -> None:
+    """Gives the memory of a finished task back: its worker process waits for the next one, beside the workers of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in schema], schema=schema)
 
 
 class Codes(dict):
-    """64-bit codes of words, hashed once each; starts anew when it holds ``most`` words."""
+    """64-bit codes of words, hashed once each; starts anew when it holds ``most`` words, some 40 MB."""
 
-    def __init__(self, seed: int = 0, most: int = 400_000) -> None:
+    def __init__(self, seed: int = 0, most: int = 200_000) -> None:
         super().__init__()
-        self.seed, self.most = seed, most
+        self.seed, self.most, self.held = seed, most, 0
 
     def __missing__(self, word: bytes) -> int:
+        self.held += len(word)
         self[word] = code = xxhash.xxh64_intdigest(word, self.seed)
         return code
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.most:
+        if len(self) > self.most or self.held > 32 * self.most:
             self.clear()
+            self.held = 0
         return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
 

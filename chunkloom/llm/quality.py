@@ -8,6 +8,7 @@ a logistic scorer over hashed word shapes is trained, by a sample of at most abo
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -20,9 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, checkpoint
+from .common import batches, checkpoint, released
 
-#: Documents that train the scorer; hash buckets of its features; rounds of expectation-maximisation and of its training.
+#: Characters of the words that a worker remembers at most.
+REMEMBERED = 4 << 20
+#: Hashes that a draw tells apart.
+DRAWS = 1 << 30
+#: Documents that train the scorer, about; hash buckets of its features; rounds of expectation-maximisation and of its training.
 SAMPLE, BUCKETS, EM_ROUNDS, TRAIN_ROUNDS = 8_192, 1 << 12, 200, 300
 #: Fewer words than this tell too little for votes on shares.
 FEW = 12
@@ -64,12 +69,13 @@ class Lexicon:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.held = 0
         self.facts = np.zeros((1 << 12, self.FACTS), np.int32)
         self.shape = np.zeros(1 << 12, np.int64)
 
     def of(self, text: str) -> np.ndarray:
         """Places of the text's words."""
-        if len(self.place) > self.most:
+        if len(self.place) > self.most or self.held > REMEMBERED:
             self.clear()
         rows, place = WORD.findall(text.translate(self.kinds)), self.place
         new = set(rows).difference(place)
@@ -78,6 +84,7 @@ class Lexicon:
             self.facts, self.shape = np.concatenate([self.facts, np.zeros_like(self.facts)]), np.concatenate([self.shape, np.zeros_like(self.shape)])
         for i, w in enumerate(new, n):
             place[w] = i
+            self.held += len(w)
             letters = sum(map(w.count, "aAx"))
             known = letters + w.count("0")
             self.facts[i] = (len(w), letters, w.count("A"), len(w) - known - sum(map(w.count, ".,;:!?'\"()-–—’“”„«»¿¡…")), w.endswith("!!"), not known, not PLAIN.fullmatch(w), END.search(w) is not None)
@@ -86,8 +93,8 @@ class Lexicon:
 
 
 def shape(kinds: str) -> str:
-    """Runs of at most two of the first 64 characters' kinds: ``Hello!!!`` is ``Aaa!!``."""
-    return re.sub(r"(.)\1\1+", r"\1\1", kinds[:64])
+    """Runs of at most two of the characters' kinds: ``Hello!!!`` is ``Aaa!!``."""
+    return re.sub(r"(.)\1\1+", r"\1\1", kinds)
 
 
 def shares(word: np.ndarray, facts: np.ndarray) -> np.ndarray | None:
@@ -164,8 +171,8 @@ def agree(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS) ->
     return posterior, rate, share
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, rounds: int = TRAIN_ROUNDS) -> np.ndarray:
-    """Weights of the buckets, then the bias, of a ridge logistic regression on soft labels.
+def train(rows: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, copies: np.ndarray | None = None, rounds: int = TRAIN_ROUNDS) -> np.ndarray:
+    """Weights of the buckets, then the bias, of a ridge logistic regression on soft labels of rows that there are several ``copies`` of.
 
     Both classes weigh the same in training; the bias is then shifted to their true shares.
     """
@@ -173,8 +180,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, rounds:
     of = np.repeat(np.arange(len(rows)), sizes)
     bucket = np.concatenate([b for b, _ in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
     value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
-    ones, zeros = max(1e-9, wanted.sum()), max(1e-9, (1 - wanted).sum())
-    up, down = 0.5 * wanted / ones, 0.5 * (1 - wanted) / zeros
+    copies = np.ones(len(rows)) if copies is None else copies
+    ones, zeros = max(1e-9, (copies * wanted).sum()), max(1e-9, (copies * (1 - wanted)).sum())
+    up, down = 0.5 * copies * wanted / ones, 0.5 * copies * (1 - wanted) / zeros
     weights, fast, step = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), 2.0
     if not len(rows):
         weights[-1] = 1.0
@@ -206,45 +214,57 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
-    """Reads all texts once. The driver gets vote patterns with counts, and the features of a bounded sample of texts."""
-    base = docs.select(docs[text].cast("string").alias("body"))
+def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, key: str = "doc_id") -> Model:
+    """Reads all texts once. The driver gets vote patterns with counts, and the features of a bounded sample of texts.
+
+    Rows are drawn by a hash of key and text, however the table is split; rows that agree in both are drawn together, as one with a weight.
+    """
+    body = docs[text].cast("string")
+    base = docs.select(body.alias("body"), F.xxhash64(*[docs[c].cast("string") for c in (key,) if c in docs.columns], body).alias("own"))
     total = base.count()
-    share = min(1.0, sample / max(1, total))
+    limit = math.ceil(min(1.0, sample / max(1, total)) * DRAWS)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, seen = Reader(), Counter()
-        shape_of = pa.schema([("pattern", pa.list_(pa.int32())), ("n", pa.int64()), ("bucket", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))])
+        read, seen, drawn = Reader(), Counter(), Counter()
+        schema = pa.schema([("pattern", pa.list_(pa.int32())), ("n", pa.int64()), ("own", pa.int64()), ("copies", pa.int64()), ("bucket", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))])
+
+        def ready(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
         for part in parts:
             rows = []
-            for body, chosen in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                own, found = read(body, with_features=chosen)
-                seen[own] += 1
+            for body, own in zip(part.column(0), part.column(1).to_pylist()):
+                chosen = own % DRAWS < limit
+                said, found = read(body.as_py(), with_features=chosen and own not in drawn)
+                seen[said] += 1
                 if chosen:
-                    rows.append((list(own), 0, found[0].tolist(), found[1].tolist()))
+                    drawn[own] += 1
+                    if found:
+                        rows.append((list(said), 0, own, 0, found[0].tolist(), found[1].tolist()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), shape_of)], schema=shape_of)
+                yield ready(rows)
+        if drawn:
+            yield ready([(None, 0, own, n, None, None) for own, n in drawn.items()])
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([list(p) for p in seen], list(seen.values()), [None] * len(seen), [None] * len(seen)), shape_of)], schema=shape_of)
+            yield ready([(list(p), n, None, 0, None, None) for p, n in seen.items()])
+        released()
 
-    # drawn by row, not by text: thousands of copies of a text weigh as they do in the corpus
-    drawn = base.select("body", (F.rand(11) < share).alias("chosen"))
-    votes_of = checkpoint(drawn.mapInArrow(run, "pattern array<int>, n long, bucket array<int>, value array<double>"))
+    votes_of = checkpoint(base.mapInArrow(run, "pattern array<int>, n long, own long, copies long, bucket array<int>, value array<double>"))
     counted = votes_of.filter("n > 0").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
     patterns = counted["pattern"].to_pylist()
     order = sorted(range(len(patterns)), key=patterns.__getitem__)
     matrix = np.array([patterns[i] for i in order], int).reshape(len(order), len(LABELLERS))
     posterior, rate, good = agree(matrix, np.array(counted["n"].to_pylist(), float)[order])
     of = dict(zip(map(tuple, matrix.tolist()), posterior.tolist()))
-    some = votes_of.filter("n = 0").limit(2 * sample).toArrow()
+    some = votes_of.filter("own is not null").groupBy("own").agg(F.sum("copies").alias("copies"), *[F.first(c, ignorenulls=True).alias(c) for c in ("pattern", "bucket", "value")]).toArrow()
     # texts on which nobody voted have no label to learn from
-    rows = sorted(r for r in zip(some["pattern"].to_pylist(), some["bucket"].to_pylist(), some["value"].to_pylist()) if any(r[0]))
-    weights = train([(np.array(b, np.int64), np.array(v)) for _, b, v in rows], np.array([of[tuple(p)] for p, _, _ in rows]))
+    rows = sorted(r for r in zip(*(some[c].to_pylist() for c in ("pattern", "own", "bucket", "value", "copies"))) if any(r[0]))
+    weights = train([(np.array(b, np.int64), np.array(v)) for _, _, b, v, _ in rows], np.array([of[tuple(r[0])] for r in rows]), np.array([float(r[-1]) for r in rows]))
     return Model(rate, good, weights)
 
 
-def classify(docs: DataFrame, model: Model | None = None, text: str = "text", least: float = 0.5) -> DataFrame:
-    """Adds quality_votes, quality_posterior, quality_score and quality_kept to every row.
+def classify(docs: DataFrame, model: Model | None = None, text: str = "text", least: float = 0.5, key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """Adds quality_votes, quality_posterior, quality_score and quality_kept to every row, of which the columns ``carry`` stay (all, if not given).
 
     Votes are one character a labeller, in the order of ``LABELLERS``: ``+`` good, ``-`` bad, ``.`` none. The posterior is that of the
     votes, the score that of the trained scorer, and rows are kept from a score of ``least`` on. Null and empty texts have no words: every
@@ -252,9 +272,11 @@ def classify(docs: DataFrame, model: Model | None = None, text: str = "text", le
     are judged one by one, so repeated rows get the same result; an empty table gives no rows; columns of the four names are replaced.
     """
     added = ("quality_votes", "quality_posterior", "quality_score", "quality_kept")
-    model = model or fit(docs, text)
-    keep = [c for c in docs.columns if c not in added]
-    inner = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[text].cast("string").alias("body"))
+    model = model or fit(docs, text, key=key)
+    keep = [c for c in (docs.columns if carry is None else carry) if c not in added]
+    # the text goes to the workers once, and comes back as it went if it stays
+    apart = text in keep and docs.schema[text].dataType.simpleString() == "string"
+    inner = docs.select(F.struct(F.lit(0).alias("nothing"), *[docs[c] for c in keep if not (apart and c == text)]).alias("row"), docs[text].cast("string").alias("body"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -263,20 +285,20 @@ def classify(docs: DataFrame, model: Model | None = None, text: str = "text", le
 
         def work(part: pa.RecordBatch):
             out: list[tuple] = []
-            for body in part.column(1).to_pylist():
-                said, found = read(body)
+            for body in part.column(1):
+                said, found = read(body.as_py())
                 score = own.score(*found)
                 out.append(("".join(".+-"[v] for v in said), posterior(said), score, score >= least))
-            yield {"row": part.column(0)} | {c: [x[k] for x in out] for k, c in enumerate(added)}
+            yield {"row": part.column(0), "body": part.column(1)} | {c: [x[k] for x in out] for k, c in enumerate(added)}
 
         return work
 
-    schema = f"row {inner.schema['row'].dataType.simpleString()}, quality_votes string, quality_posterior double, quality_score double, quality_kept boolean"
+    schema = f"row {inner.schema['row'].dataType.simpleString()}, {'body string, ' * apart}quality_votes string, quality_posterior double, quality_score double, quality_kept boolean"
     out = batches(inner, schema, make)
-    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], *added)
+    return out.select(*[F.col("body").alias(c) if apart and c == text else F.col("row").getField(c).alias(c) for c in keep], *added)
 
 
-def accepted(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows that the classifier keeps, with the columns of ``docs``."""
-    found = classify(docs, None, text, least)
+def accepted(docs: DataFrame, text: str = "text", least: float = 0.5, key: str = "doc_id") -> DataFrame:
+    """The rows that the classifier keeps, with the columns of ``docs``; all else as in ``classify``."""
+    found = classify(docs, None, text, least, key)
     return found.filter("quality_kept").select(*docs.columns)

@@ -43,8 +43,7 @@ def op7_html_text(spark, sf_dir):
 
 
 def op8_quality(spark, sf_dir):
-    found = quality.classify(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "quality_votes", "quality_posterior", "quality_score", "quality_kept")
+    return quality.classify(read(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
 def op9_url_filters(spark, sf_dir):

@@ -186,7 +186,7 @@ def test_perfect_hash_is_minimal():
 
 
 def test_encode_frame(odd_docs, no_docs, library):
-    got = sorted((tuple(r) for r in bpe.encode(odd_docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True).collect()), key=repr)
+    got = sorted((tuple(r) for r in bpe.encode(odd_docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True, with_decoded=True).collect()), key=repr)
     want = []
     for r in odd_docs.collect():
         ids = library.encode_ordinary(r["text"] or "")
