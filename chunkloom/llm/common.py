@@ -84,23 +84,44 @@ def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in schema], schema=schema)
 
 
-class Codes(dict):
-    """64-bit codes of words, hashed once each; starts anew when it holds ``most`` words, some 40 MB."""
+#: 1 for bytes of white space (U+0009-U+000D and space), for translate.
+GAP = bytes(int(b in (9, 10, 11, 12, 13, 32)) for b in range(256))
+#: An odd multiplier and its inverse modulo 2^64, and their powers for as many bytes as are hashed together.
+BASE, TOGETHER = 0x9E3779B97F4A7C15, 1 << 18
+POWERS = np.multiply.accumulate(np.append(U64(1), np.full(TOGETHER - 1, BASE, U64)))
+INVERSES = np.multiply.accumulate(np.append(U64(1), np.full(TOGETHER - 1, pow(BASE, -1, 1 << 64), U64)))
 
-    def __init__(self, seed: int = 0, most: int = 200_000) -> None:
-        super().__init__()
-        self.seed, self.most, self.held = seed, most, 0
 
-    def __missing__(self, word: bytes) -> int:
-        self.held += len(word)
-        self[word] = code = xxhash.xxh64_intdigest(word, self.seed)
-        return code
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words, runs of bytes that aren't white space."""
+    gap = np.frombuffer(b"\1" + text.translate(GAP) + b"\1", np.bool_)
+    bounds = np.flatnonzero(gap[1:] != gap[:-1])
+    return bounds[::2], bounds[1::2]
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.most or self.held > 32 * self.most:
-            self.clear()
-            self.held = 0
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
+
+def word_codes(text: bytes, spans: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """64-bit codes of the words: sums of bytes times powers, all words at once, then mixed.
+
+    A few hundred KB are hashed together, and a longer word by itself, so memory doesn't follow the text's length.
+    """
+    starts, ends = spans or word_spans(text)
+    out, first = np.empty(len(starts), U64), 0
+    while first < len(starts):
+        at = int(starts[first])
+        stop = int(np.searchsorted(ends, at + TOGETHER, "right"))
+        if stop <= first:
+            out[first] = xxhash.xxh64_intdigest(text[at : int(ends[first])], 1)
+            first += 1
+            continue
+        sums = np.zeros(int(ends[stop - 1]) - at + 1, U64)
+        part = np.frombuffer(text, np.uint8, len(sums) - 1, at).astype(U64)
+        part += U64(0xD1B54A32D192ED03)
+        part *= POWERS[: len(part)]
+        np.cumsum(part, out=sums[1:])
+        a, b = (starts[first:stop] - at, ends[first:stop] - at) if at or first or stop < len(starts) else (starts, ends)
+        out[first:stop] = mixed((sums[b] - sums[a]) * INVERSES[a])
+        first = stop
+    return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -122,6 +143,12 @@ def grams(codes: np.ndarray, size: int) -> np.ndarray:
     return mixed(out)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 

@@ -5,8 +5,9 @@ n - ceil(t n) + 1 of the one and m - ceil(t m) + 1 of the other, so the texts me
 how many shingles they can share; the pairs that are left are decided by their whole sets. The order is by counts of a sample
 and by hash, and changes the work only, not the pairs.
 
-Large buckets aren't paired at once: their members are compared with a few leaders first, and only members that no link has joined by then are
-paired. That leaves the components of the links as they are. Likeness is exact but for equal 64-bit hashes of different shingles.
+Pairs whose fingerprints are close are candidates as well. Large buckets aren't paired at once: their members are compared with LEADERS of
+them first, the same ones in all buckets that they are in, and only members that no link has joined by then are paired. That leaves the
+components of the links as they are. Likeness is exact but for equal 64-bit hashes of different shingles.
 """
 
 from __future__ import annotations
@@ -20,21 +21,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Codes, batches, checkpoint, grams, mixed
+from .common import U64, batches, checkpoint, distinct, grams, mixed, released, word_codes
 from .components import components
 
 #: Texts whose shingles are counted for the order, how often a common one is among them, common ones at most.
-COUNTED, COMMON, MOST_COMMON = 8_192, 4, 1 << 16
-#: Rows of a bucket up to which all pairs are taken at once; rounds of leaders in larger ones; pairs tested together.
-SMALL_BUCKET, LEADERS, PAIRS = 48, 2, 1 << 20
+COUNTED, COMMON, MOST_COMMON = 2_048, 4, 1 << 16
+#: Rows of a bucket up to which all pairs are taken at once; leaders of larger ones; pairs tested together.
+SMALL_BUCKET, LEADERS, PAIRS = 6, 2, 1 << 20
 #: Bits of the filter that picks the texts whose whole sets are wanted.
 FILTER_BITS = 1 << 24
 SIZE_BITS = 32
 
 
-def shingles(text: bytes, codes: Codes, size: int = 5) -> np.ndarray:
-    """Sorted distinct hashes; fewer words than a shingle has give one hash of all of them, no words none."""
-    return np.unique(grams(codes.of(text.lower().split()), size))
+def shingles(text: pa.Scalar, size: int = 5) -> np.ndarray:
+    """Sorted distinct hashes, in lower case (A-Z); fewer words than a shingle has give one hash of all of them, no words or null none."""
+    return distinct(grams(word_codes(text.as_buffer().to_pybytes().lower() if text.is_valid else b""), size))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -70,15 +71,13 @@ def _order(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     drawn = rows.filter(F.pmod(F.xxhash64("ident"), F.lit(1 << 30)) <= int(share * (1 << 30)))
 
     def make():
-        codes = Codes()
-
         def work(part: pa.RecordBatch):
-            for x in part.column(0).cast(pa.binary()):
-                yield {"s": shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", codes, shingle).view(np.int64)}
+            keys, n = np.unique(np.concatenate([shingles(x, shingle) for x in part.column(0).cast(pa.binary())]), return_counts=True)
+            yield {"s": keys.view(np.int64), "n": n}
 
         return work
 
-    counts = batches(drawn.select("body"), "s long", make).groupBy("s").count().filter(F.col("count") >= COMMON)
+    counts = batches(drawn.select("body"), "s long, n long", make).groupBy("s").agg(F.sum("n").alias("count")).filter(F.col("count") >= COMMON)
     found = counts.orderBy(F.desc("count"), "s").limit(MOST_COMMON).toArrow()
     keys, n = found["s"].to_numpy().view(U64), found["count"].to_numpy()
     ranks = np.empty(len(keys), np.int64)
@@ -111,6 +110,7 @@ def _by_bucket(frame: DataFrame, schema: str, pairs_of: Callable[..., Iterator[p
                 held, rows = [[c[whole:] for c in columns]], len(columns[0]) - whole
         if held:
             yield from flush([np.concatenate(c) for c in zip(*held)])
+        released()
 
     return dealt.mapInArrow(run, schema)
 
@@ -138,42 +138,37 @@ def _met(entries: DataFrame, likeness: float) -> DataFrame:
                 yield out(i, i + step)
         i = np.flatnonzero(big)
         if len(i):
-            middle = (heads + sizes // 2)[of[i]]
-            yield out(middle[middle != i], i[middle != i])
-            later = i[i > heads[of[i]]]
-            yield out(later - 1, later)
+            own, starts = of[i], np.flatnonzero(np.concatenate([[True], np.diff(of[i]) != 0]))
+            for seed in range(1, LEADERS + 1):
+                draw = mixed(d[i].view(U64) ^ U64(seed))
+                first = np.lexsort((draw, own))[starts]  # of each bucket the row of least draw
+                leader = np.repeat(i[first], np.diff(np.concatenate([starts, [len(i)]])))
+                yield out(leader[leader != i], i[leader != i])
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), bool)), pa.array(s[i]), pa.array(d[i]), pa.array(w[i])], names=["pair", "s", "a", "b"])
 
     return _by_bucket(entries, "pair boolean, s long, a long, b long", pairs_of)
 
 
-def _across(members: DataFrame, likeness: float, seed: int | None) -> DataFrame:
-    """(a, b): possible pairs of members (s, d, w, root) of different roots; with a seed those with one leader of each bucket, else all."""
+def _across(members: DataFrame, likeness: float) -> DataFrame:
+    """(a, b): all possible pairs of members (s, d, w, root) of a bucket that have different roots."""
 
     def pairs_of(heads, sizes, s, d, w, root):
         n, at = _unpacked(w)
-
-        def out(i, j):
-            keep = (root[i] != root[j]) & possible(n[i], n[j], at[i], at[j], likeness)
-            a, b = d[i[keep]], d[j[keep]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
         for head, size in zip(heads.tolist(), sizes.tolist()):
             every = np.arange(head, head + size)
             if (root[every] == root[head]).all():
                 continue
-            if seed is not None:
-                leader = head + int(mixed(d[every].view(U64) ^ U64(seed)).argmin())
-                yield out(np.full(size, leader), every)
-                continue
             # sizes ascend, so what can be alike to a row ends where they are too large
             last = np.searchsorted(n[every], n[every] / likeness + 1e-6, "right")
             rows = max(1, PAIRS // size)
             for k in range(0, size, rows):
                 count = np.maximum(last[k : k + rows] - np.arange(k, min(k + rows, size)) - 1, 0)
                 i = np.repeat(np.arange(k, k + len(count)), count)
-                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-                yield out(i + head, j + head)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + head
+                i += head
+                keep = (root[i] != root[j]) & possible(n[i], n[j], at[i], at[j], likeness)
+                a, b = d[i[keep]], d[j[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return _by_bucket(members, "a long, b long", pairs_of).distinct()
 
@@ -187,7 +182,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def make():
-        codes, held = Codes(), shared.value
+        held = shared.value
 
         def work(part: pa.RecordBatch):
             ident = part.column(0).to_numpy()
@@ -195,9 +190,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             take = np.flatnonzero(held[at >> 3] >> (at & 7) & 1)
             body = part.column(1).cast(pa.binary())
             for i in take.tolist():
-                x = body[i]
-                own = shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", codes, shingle)
-                yield {"ident": ident[i : i + 1], "own": [own.tobytes()]}
+                yield {"ident": ident[i : i + 1], "own": [shingles(body[i], shingle).tobytes()]}
 
         return work
 
@@ -224,40 +217,48 @@ def _alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
     return checkpoint(batches(both.select("a", "b", "x", "y"), "a long, b long", make))
 
 
-def named(rows: DataFrame, shingle: int = 5, likeness: float = 0.8) -> DataFrame:
+def _close(own: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): nodes of one fingerprint with the least of them, and those least ones of fingerprints that ``links`` joins."""
+    least = checkpoint(own.groupBy("print").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("n")))
+    same = own.join(least.filter("n > 1"), "print").filter("d <> least").select(F.col("least").alias("a"), F.col("d").alias("b"))
+    end = lambda c: least.select(F.col("print").alias(c), F.col("least").alias(f"{c}_least"))
+    near = links(least.select("print")).distinct().join(end("a"), "a").join(end("b"), "b")
+    return same.union(near.select(F.least("a_least", "b_least").alias("a"), F.greatest("a_least", "b_least").alias("b")))
+
+
+def named(rows: DataFrame, shingle: int, likeness: float, print_of: Callable[[np.ndarray], int], links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(who, root) of the least ``who`` of every distinct shingle set; equal roots: joined by links of at least ``likeness``.
 
-    ``rows`` has who (a struct that orders rows), ident (a hash of the row, which is who.ident) and body (text).
+    ``rows`` has who (a struct that orders rows), ident (a hash of the row, which is who.ident) and body (text). ``print_of`` makes a
+    fingerprint of a set, and ``links`` gives edges (a, b) between close ones of a table (print).
     """
     common, ranks = _order(rows, shingle)
     shared = rows.sparkSession.sparkContext.broadcast((common, ranks))
 
     def make():
-        codes = Codes()
-
         def work(part: pa.RecordBatch):
-            sets = [shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", codes, shingle) for x in part.column(1).cast(pa.binary())]
+            sets = [shingles(x, shingle) for x in part.column(1).cast(pa.binary())]
             first = [prefix(x, *shared.value, likeness).view(np.int64) for x in sets]
             node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], U64).view(np.int64)
-            yield {"who": part.column(0), "d": node, "n": [len(x) for x in sets], "first": first}
+            yield {"who": part.column(0), "d": node, "n": [len(x) for x in sets], "print": np.array([print_of(x) for x in sets], U64).view(np.int64), "first": first}
 
         return work
 
-    of = batches(rows.select("who", "body"), f"who {rows.schema['who'].dataType.simpleString()}, d long, n long, first array<long>", make)
-    own = checkpoint(of.groupBy("d").agg(F.min("who").alias("who"), F.first("n").alias("n"), F.first("first").alias("first")))
+    of = batches(rows.select("who", "body"), f"who {rows.schema['who'].dataType.simpleString()}, d long, n long, print long, first array<long>", make)
+    own = checkpoint(of.groupBy("d").agg(F.min("who").alias("who"), *[F.first(c).alias(c) for c in ("n", "print", "first")]))
     entries = own.select("d", "n", F.posexplode("first").alias("at", "s"))
     entries = entries.select("s", "d", F.shiftleft("n", SIZE_BITS).bitwiseOR(F.col("at").cast("long")).alias("w"))
     met = checkpoint(_met(entries, likeness))
-    pairs = checkpoint(met.filter("pair").select("a", "b").distinct())
+    pairs = checkpoint(met.filter("pair").select("a", "b").union(_close(own.select("d", "print"), links)).distinct())
     members = met.filter("not pair").select("s", F.col("a").alias("d"), F.col("b").alias("w"))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("d")).union(members.select("d")).distinct()
     sets = _sets(rows, checkpoint(own.select("d", F.col("who.ident").alias("ident")).join(nodes, "d")), shingle)
-    edges = _alike(pairs, sets, likeness)
-    roots = components(edges)
-    for seed in [*range(1, LEADERS + 1), None] if not members.isEmpty() else []:
-        of_roots = members.join(roots.withColumnRenamed("node", "d"), "d", "left").select("s", "d", "w", F.coalesce("root", "d").alias("root"))
-        more = checkpoint(_across(of_roots, likeness, seed))
-        if not more.isEmpty():
-            edges = edges.union(_alike(more, sets, likeness))
-            roots = components(edges)
-    return own.select("d", "who").join(roots.withColumnRenamed("node", "d"), "d", "left").select("who", F.coalesce("root", "d").alias("root"))
+    roots = components(_alike(pairs, sets, likeness))
+    rooted = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    more = checkpoint(_across(rooted(members, "d").select("s", "d", "w", F.col("d_root").alias("root")), likeness))
+    named_ = rooted(own.select("d", "who"), "d")
+    if not more.isEmpty():
+        edges = rooted(rooted(_alike(more, sets, likeness), "a"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        last = components(edges).select(F.col("node").alias("d_root"), F.col("root").alias("last"))
+        named_ = named_.join(last, "d_root", "left").withColumn("d_root", F.coalesce("last", "d_root"))
+    return named_.select("who", F.col("d_root").alias("root"))

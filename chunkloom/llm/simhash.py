@@ -16,13 +16,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Sets, batches, checkpoint, mixed, popcount
+from .common import U64, Sets, batches, checkpoint, popcount, released
 from .components import components
 from .likeness import named
 
 BITS, SEED, PAIRS = 64, 42, 1 << 20
-#: Of the wide fingerprints: tables, bits of a table's key, rows of a group up to which all pairs are taken.
-TABLES, KEY_BITS, SMALL_GROUP = 72, 16, 48
 
 
 def _hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -37,18 +35,17 @@ def _hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.array([digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist())], U64)
 
 
-def _ones(hashes: np.ndarray) -> np.ndarray:
-    """In how many hashes each bit is set, from the highest."""
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes; of none: zero."""
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return ones
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
     """A bit is set if it is set in over half of the shingles' XXH64; no words: zero."""
-    hashes = _hashes(text, shingle)
-    return int.from_bytes(np.packbits(2 * _ones(hashes) > len(hashes)).tobytes(), "big") if len(hashes) else 0
+    return majority(_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4) -> DataFrame:
@@ -171,6 +168,7 @@ def links(prints: DataFrame, most: int = 4) -> DataFrame:
                 held = [tuple(c[~whole] for c in columns)]
         if held:
             yield from flush([np.concatenate(x) for x in zip(*held)])
+        released()
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -196,125 +194,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return rows.join(found, "print").select(key, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprint(text: bytes, shingle: int = 5) -> tuple[int, int]:
-    """128 bits, as two integers: majorities over the shingles' XXH64 and over a second hash of it. Ties take the bit of all hashes' sum.
-
-    No words: zero. A tie is as often one as zero, so that short texts don't resemble each other.
-    """
-    hashes = _hashes(text, shingle)
-    if not len(hashes):
-        return 0, 0
-    out = []
-    for h in (hashes, mixed(hashes ^ U64(0x9E3779B97F4A7C15))):
-        ones = _ones(h)
-        tie = np.unpackbits(np.array([mixed(h).sum(dtype=U64)]).astype(">u8").view(np.uint8))
-        out.append(int.from_bytes(np.packbits(np.where(2 * ones == len(h), tie, 2 * ones > len(h))).tobytes(), "big"))
-    return out[0], out[1]
-
-
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of 128-bit fingerprints (..., 2)."""
-    return popcount(a ^ b).sum(axis=-1, dtype=np.int16)
-
-
-def close_sets(prints: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
-    """Roots (positions) of the sets that pairs of at most ``most`` differing bits make within equal, adjacent ``group``.
-
-    Small groups: each row with the next one, the one after, and so on. Large groups: a leader gathers what is close to it, and by the
-    triangle inequality only rows up to twice as far can still be close to what it gathered; then the next leader of those left.
-    """
-    n = len(prints)
-    sets = Sets(n)
-    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
-    sizes = np.diff(np.concatenate([heads, [n]]))
-    small = np.repeat(sizes <= SMALL_GROUP, sizes)
-    for step in range(1, int(sizes[sizes <= SMALL_GROUP].max(initial=1))):
-        i = np.flatnonzero(small[: n - step] & (group[step:] == group[: n - step]))
-        i = i[_apart(prints[i], prints[i + step]) <= most]
-        sets.join(i, i + step)
-    for head, size in zip(heads[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist()):
-        left = np.arange(head, head + size)
-        while len(left) > 1:
-            d = _apart(prints[left], prints[left[0]])
-            near = d <= most
-            sets.join(np.full(int(near.sum()), left[0]), left[near])
-            held, held_d = left[near], d[near]
-            for u, du in zip(*(x[(d > most) & (d <= 2 * most)] for x in (left, d))):
-                some = held[held_d >= du - most]
-                if len(some) and (_apart(prints[some], prints[u]) <= most).any():
-                    sets.join(np.array([left[0]]), np.array([u]))
-            left = left[~near]
-    return sets.roots()
-
-
-def wide_links(prints: DataFrame, most: int) -> DataFrame:
-    """Edges (a1, a2, b1, b2) that connect distinct fingerprints (p1, p2) of at most ``most`` differing bits, but for few.
-
-    Each goes to TABLES buckets, by as many choices of KEY_BITS of its bits; two that differ in 25 of 128 bits share a bucket with a
-    probability of 0.83, at 20 bits of 0.98: pairs are missed, and the pipeline takes likeness.py, which misses none. Beyond some 10^8 fingerprints buckets fill up and want more bits and tables.
-    Buckets above a task's share are cut into blocks, and every pair of blocks is a task; there are at most as many such buckets as tasks.
-    """
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rng = np.random.default_rng(7)
-    chosen = np.array([rng.choice(2 * BITS, KEY_BITS, replace=False) for _ in range(TABLES)])
-
-    def deal(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = 1 << np.arange(KEY_BITS)
-        for batch in batch_iter:
-            for start in range(0, batch.num_rows, 4096):
-                rows = np.stack([batch.column(i).to_numpy()[start : start + 4096] for i in range(2)], axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(rows.astype(">i8")).view(np.uint8), axis=1)
-                key = (bits[:, chosen] @ powers + (np.arange(TABLES) << KEY_BITS)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(rows[:, i], TABLES)) for i in range(2))], names=["bucket", "p1", "p2"])
-
-    dealt = prints.select("p1", "p2").mapInArrow(deal, "bucket int, p1 long, p2 long")
-    share = max(4096, TABLES * prints.count() // parts)
-    large = dealt.groupBy("bucket").count().filter(F.col("count") > share).select("bucket", F.ceil(F.col("count") / share).cast("int").alias("blocks"))
-    dealt = dealt.join(F.broadcast(large), "bucket", "left")
-    blocks = F.coalesce("blocks", F.lit(1))
-    block = F.pmod(F.xxhash64("p1", "p2"), blocks).cast("int")
-    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    keys = ["bucket", "p", "q"]
-    dealt = dealt.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "p1", "p2").repartition(*keys).sortWithinPartitions(*keys)
-
-    def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        base, last, rows = 0, None, 0
-
-        def flush(group, x):
-            root = close_sets(x.view(U64), group, most)
-            child = np.flatnonzero(root != np.arange(len(root)))
-            if len(child):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i, k]) for i in (root[child], child) for k in (0, 1)], names=["a1", "a2", "b1", "b2"])
-
-        for batch in batch_iter:
-            b, p, q, p1, p2 = (batch.column(i).to_numpy() for i in range(5))
-            change = np.concatenate([[last is None or last != (b[0], p[0], q[0])], (np.diff(b) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)])
-            group = base + np.cumsum(change)
-            base, last = int(group[-1]), (b[-1], p[-1], q[-1])
-            held.append((group, np.stack([p1, p2], axis=1)))
-            rows += len(b)
-            if rows >= 1 << 18:
-                group, x = (np.concatenate(c) for c in zip(*held))
-                whole = group < base  # the last group may go on
-                yield from flush(group[whole], x[whole])
-                held, rows = [(group[~whole], x[~whole])], int((~whole).sum())
-        if held:
-            yield from flush(*(np.concatenate(c) for c in zip(*held)))
-
-    return dealt.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long").distinct()
-
-
-def first_of_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, likeness: float = 0.8) -> DataFrame:
+def first_of_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, likeness: float = 0.8, most: int = 4) -> DataFrame:
     """The rows of ``docs``, one of each component of near copies: that of the smallest key (null keys last, ties by a hash of the row).
 
     Near copies are texts whose sets of five-word shingles have a Jaccard likeness of at least ``likeness``, and what such links join; every such
-    pair is found. Null and empty texts are copies of each other. Repeated rows leave one; rows that share a key but not a component each stay.
+    pair is joined. Fingerprints of the sets within ``most`` bits, found by pigeonring, give the first candidates, prefixes of the sets the others,
+    which lie beyond what buckets of fingerprints can find; the whole sets decide. Null and empty texts are copies of each other. Repeated rows leave one; rows that share a key but not a component each stay.
     """
     ident = F.xxhash64(*docs.columns)
     who = F.struct(docs[key].isNull().alias("blank"), docs[key].alias("own_key"), ident.alias("ident"))
     rows = docs.select(who.alias("who"), ident.alias("ident"), docs[text].cast("string").alias("body"))
-    groups = named(rows, shingle, likeness)
+    groups = named(rows, shingle, likeness, majority, lambda prints: links(prints, most))
     kept = checkpoint(groups.groupBy("root").agg(F.min("who").alias("who")).select(F.col("who.ident").alias("ident")))
     left = docs.select(F.struct(*docs.columns).alias("row"), ident.alias("ident")).join(kept, "ident", "left_semi")
     return left.dropDuplicates(["ident"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -13,14 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Codes, batches, grams
+from .common import U64, batches, grams, released, word_codes
 
 SIZE, WORDS, SPACE = 128, 5, float(2**64)
+#: Groups whose sketches a task holds at once.
+MOST_HELD = 20_000
 
 
-def sketch(words: list[bytes], codes: Codes, size: int = SIZE, shingle: int = WORDS) -> np.ndarray:
+def sketch(text: bytes, size: int = SIZE, shingle: int = WORDS) -> np.ndarray:
     """Of fewer words than a shingle has: one hash of all of them; of none: empty."""
-    hashes = grams(codes.of(words), shingle)
+    hashes = grams(word_codes(text), shingle)
     if len(hashes) > 4 * size:
         # with enough hashes below a cut, the rest needs no sort; repeats may leave too few distinct ones
         cut = np.partition(hashes, 2 * size)[2 * size]
@@ -68,10 +70,8 @@ def sketches(docs: DataFrame, text: str = "text", size: int = SIZE, shingle: int
     inner = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[text].cast("string").alias("body"))
 
     def make():
-        codes = Codes()
-
         def work(part: pa.RecordBatch):
-            all_of = [sketch(x.as_buffer().to_pybytes().split() if x.is_valid else [], codes, size, shingle) for x in part.column(1).cast(pa.binary())]
+            all_of = [sketch(x.as_buffer().to_pybytes() if x.is_valid else b"", size, shingle) for x in part.column(1).cast(pa.binary())]
             yield {"row": part.column(0), "fingerprint": [packed(x) for x in all_of], "n_shingles": [distinct(x, size) for x in all_of]}
 
         return work
@@ -80,6 +80,72 @@ def sketches(docs: DataFrame, text: str = "text", size: int = SIZE, shingle: int
     return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "fingerprint", "n_shingles")
 
 
+def merged(parts: DataFrame, *by: str, fingerprint: str = "fingerprint", size: int = SIZE) -> DataFrame:
+    """(by, fingerprint, n_shingles) of the unions that rows of equal ``by`` make: sketches merge in any order.
+
+    Every task merges its own rows first, so a key meets no more rows than there are tasks; null keys are a group like any other, and a null
+    fingerprint is empty. An empty table gives no rows; other columns are not read.
+    """
+    keys = [F.struct(*[parts[c] for c in by]).alias("row")]
+    inner = parts.select(*keys, F.to_json(F.struct(*[parts[c] for c in by])).alias("name"), parts[fingerprint].cast("string").alias("own"))
+    kind = f"row {inner.schema['row'].dataType.simpleString()}, name string, own string"
+
+    def run(batch_iter):
+        held: dict[str, tuple] = {}
+
+        def ready():
+            rows, names = pa.concat_arrays([r for r, _ in held.values()]), list(held)
+            out = pa.RecordBatch.from_arrays([rows, pa.array(names, pa.string()), pa.array([packed(x) for _, x in held.values()], pa.string())], names=["row", "name", "own"])
+            held.clear()
+            return out
+
+        for batch in batch_iter:
+            for k, (name, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                before = held.get(name)
+                held[name] = (before[0] if before else batch.column(0).slice(k, 1), merge(before[1] if before else np.zeros(0, U64), unpacked(own or ""), size))
+            if len(held) > MOST_HELD:
+                yield ready()
+        if held:
+            yield ready()
+        released()
+
+    ours = inner.mapInArrow(run, kind).repartition("name").sortWithinPartitions("name")
+    found = ours.mapInArrow(run, kind)
+    # a task may hand a name on twice when it holds too many; the names are sorted, so that only the last one can be
+    found = found.groupBy("name").agg(F.first("row").alias("row"), F.collect_list("own").alias("own"))
+
+    def make():
+        def work(part: pa.RecordBatch):
+            unions = []
+            for some in part.column(1).to_pylist():
+                total = np.zeros(0, U64)
+                for x in some:
+                    total = merge(total, unpacked(x), size)
+                unions.append(total)
+            yield {"row": part.column(0), "fingerprint": [packed(x) for x in unions], "n_shingles": [distinct(x, size) for x in unions]}
+
+        return work
+
+    out = batches(found.select("row", "own"), f"row {inner.schema['row'].dataType.simpleString()}, fingerprint string, n_shingles double", make)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in by], "fingerprint", "n_shingles")
+
+
+def compared(pairs: DataFrame, a: str, b: str, size: int = SIZE) -> DataFrame:
+    """Adds resemblance, containment (of ``a`` in ``b``) and n_union of two fingerprint columns to every row; null is an empty fingerprint."""
+    keep = [c for c in pairs.columns if c not in ("resemblance", "containment", "n_union")]
+    inner = pairs.select(F.struct(*[pairs[c] for c in keep]).alias("row"), pairs[a].cast("string").alias("x"), pairs[b].cast("string").alias("y"))
+
+    def make():
+        def work(part: pa.RecordBatch):
+            both = [(unpacked(x or ""), unpacked(y or "")) for x, y in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+            yield {"row": part.column(0), "resemblance": [resemblance(x, y, size) for x, y in both], "containment": [containment(x, y, size) for x, y in both], "n_union": [distinct(merge(x, y, size), size) for x, y in both]}
+
+        return work
+
+    out = batches(inner, f"row {inner.schema['row'].dataType.simpleString()}, resemblance double, containment double, n_union double", make)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "resemblance", "containment", "n_union")
+
+
 def _ranges(docs: DataFrame, parts: int) -> tuple[list[int], list[tuple[int, int | None]]]:
     """Bounds that deal doc_ids into at most ``parts`` ranges, and each filled range with its largest doc_id.
 
@@ -130,14 +196,14 @@ def edited(docs: DataFrame, parts: int | None = None, size: int = SIZE, shingle:
     dealt = dealt.select("doc_id", "text", "to.part", "to.extra").repartition("part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batch_iter):
-        codes, held, done = Codes(), None, None
+        held, done = None, None
         schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
         def finished(doc, after):
             doc_id, body, own, _ = doc
             cut = len(body) // 3
             changed = (body[: len(body) - cut] + after[1][:cut]).encode()
-            other = sketch(changed.split(), codes, size, shingle)
+            other = sketch(changed, size, shingle)
             return doc_id, len(body), hashlib.sha256(changed).hexdigest(), packed(own), packed(other), resemblance(own, other, size), resemblance(own, after[2], size)
 
         for batch in batch_iter:
@@ -146,7 +212,7 @@ def edited(docs: DataFrame, parts: int | None = None, size: int = SIZE, shingle:
                 if extra and done == part:
                     continue  # rows that tie with the first document of the next range
                 body = body or ""
-                doc = (doc_id, body, sketch(body.encode().split(), codes, size, shingle), part)
+                doc = (doc_id, body, sketch(body.encode(), size, shingle), part)
                 if held and held[3] == part:
                     rows.append(finished(held, doc))
                 if extra:
@@ -155,5 +221,6 @@ def edited(docs: DataFrame, parts: int | None = None, size: int = SIZE, shingle:
                     held = doc
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+        released()
 
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

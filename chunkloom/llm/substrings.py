@@ -6,7 +6,7 @@ is counted over the corpus first; suffixes whose prefix occurs once are leaves o
 are dealt out by prefix. A prefix that too many suffixes share is extended to the whole window, where a count settles it
 (its subtree would hang below the depth asked for). In each memory-sized group, the subtree's nodes at depths 1, 2, 4,
 ..., W are named level by level, from words themselves, not from hashes; nodes at depth W with two leaves or more are the
-deep internal nodes, and their leaves are the repeated windows.
+deep internal nodes, and their leaves are the repeated windows. A group that has outgrown memory all the same goes on by whole windows in its task.
 
 Shuffles: prefixes with a 64-bit document key; texts by that key, once; segments around shared prefixes.
 """
@@ -22,13 +22,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Codes, batches, grams
+from .common import U64, batches, grams, released, word_codes, word_spans
 
 #: Words of an anchor at most; suffixes of a group's prefix at most; words of a batch of groups; remembered keys.
-ANCHOR, GROUP, BATCH_WORDS, MEMO = 8, 2_048, 1 << 20, 400_000
+ANCHOR, GROUP, BATCH_WORDS, MEMO = 8, 2_048, 1 << 19, 150_000
+#: The bits above a place in a text of up to 2^28 words.
+PLACE_ABOVE = ~U64((1 << 28) - 1)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -42,9 +45,8 @@ class Plan:
         n = len(codes) - self.window + 1
         if n <= 0:
             return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U64),)
-        views = np.lib.stride_tricks.sliding_window_view(grams(codes, self.k), self.window - self.k + 1)
-        offset = views.argmin(axis=1)
-        anchor = offset + np.arange(n)
+        anchor = leftmost(grams(codes, self.k), self.window - self.k + 1)
+        offset = anchor - np.arange(n)
         left = offset > self.window - self.k - self.more  # too little room to the right
         long = grams(codes, self.k + self.more)
         mark = anchor * 2 + left
@@ -55,6 +57,17 @@ class Plan:
         return first, last, key
 
 
+def leftmost(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Place of the least hash in each run of ``size``, the leftmost of equal ones; by the upper 36 bits."""
+    low = (hashes & PLACE_ABOVE) | np.arange(len(hashes), dtype=U64)
+    step = 1
+    while 2 * step <= size:
+        low, step = np.minimum(low[:-step], low[step:]), 2 * step
+    if step < size:
+        low = np.minimum(low[: len(low) - (size - step)], low[size - step :])
+    return (low & ~PLACE_ABOVE).astype(np.int64)
+
+
 def _prefixes(docs: DataFrame, plan: Plan) -> DataFrame:
     """(spread, h, dk, n): occurrences of prefix keys; the second and later ones in a task need no count elsewhere.
 
@@ -63,7 +76,7 @@ def _prefixes(docs: DataFrame, plan: Plan) -> DataFrame:
     """
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, seen = Codes(), Counter()
+        seen: Counter = Counter()
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["spread", "h", "dk", "n"])
@@ -77,7 +90,7 @@ def _prefixes(docs: DataFrame, plan: Plan) -> DataFrame:
         for batch in batch_iter:
             rows = []
             for dk, body in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                keys = plan.runs(codes.of(body.as_buffer().to_pybytes().split()))[2].view(np.int64).tolist()
+                keys = plan.runs(word_codes(body.as_buffer().to_pybytes()))[2].view(np.int64).tolist()
                 for h, n in Counter(keys).items():
                     if h in seen:
                         rows.append((dk, h, dk, 0))
@@ -89,35 +102,36 @@ def _prefixes(docs: DataFrame, plan: Plan) -> DataFrame:
             if len(seen) > MEMO:
                 yield from extra()
         yield from extra()
+        released()
 
     return docs.select("dk", "body").mapInArrow(run, "spread long, h long, dk long, n long")
 
 
 class Pieces:
-    """Turns a document with shared prefixes into segments for the groups, or windows where a prefix is too common."""
+    """Turns a document with shared prefixes into segments for the groups, or whole windows where a prefix is too common."""
 
     def __init__(self, plan: Plan) -> None:
-        self.plan, self.codes = plan, Codes()
+        self.plan = plan
         self.seen: dict[tuple[int, int], int] = {}
 
-    def rows(self, dk: int, d2: int, words: list[bytes], shared: dict[int, bool]) -> Iterator[tuple]:
-        """(g1, g2, dk, d2, start, words, count): count 0: words to compare; 1 or 2: a window by hash; 3: g2 settled windows."""
+    def rows(self, dk: int, d2: int, text: bytes, shared: dict[int, bool]) -> Iterator[tuple]:
+        """(g1, g2, dk, d2, start, words, count): count 0: words to compare; 1 or 2: a whole window; 3: g2 settled windows."""
         settled: list[int] = []
-        codes = self.codes.of(words)
-        first, last, key = self.plan.runs(codes)
-        w = self.plan.window
-        whole = None
+        spans = word_spans(text)
+        first, last, key = self.plan.runs(word_codes(text, spans))
+        w, line = self.plan.window, None
         for a, b, h in zip(first.tolist(), last.tolist(), key.view(np.int64).tolist()):
             common = shared.get(h)
             if common is None:
                 continue
+            if line is None:  # the words with one space between them, and where each starts there
+                line = b" ".join(text.split())
+                starts = np.append(np.concatenate([[0], np.cumsum(spans[1] - spans[0] + 1)]), 0)
             if not common:
-                yield h, 0, dk, d2, a, b" ".join(words[a : b + w]), 0
+                yield h, 0, dk, d2, a, line[starts[a] : starts[b + w] - 1], 0
                 continue
-            if whole is None:
-                whole = grams(codes, w).view(np.int64).tolist(), grams(codes ^ U64(0xA5A5A5A5A5A5A5A5), w).view(np.int64).tolist()
             for i in range(a, b + 1):
-                name = whole[0][i], whole[1][i]
+                name = digest(line[starts[i] : starts[i + w] - 1])
                 times = self.seen.get(name, 0)
                 if not times:
                     yield *name, dk, d2, i, None, 1
@@ -135,6 +149,12 @@ class Pieces:
                 yield dk, len(run), dk, d2, int(run[0]), None, 3
 
 
+def digest(window: bytes) -> tuple[int, int]:
+    """The longest prefix, a whole window: 128 bits of its words' bytes, as two signed integers."""
+    x = np.frombuffer(xxhash.xxh3_128_digest(window), np.int64)
+    return int(x[0]), int(x[1])
+
+
 def repeated_windows(segments: list[bytes], window: int) -> list[np.ndarray]:
     """Starts of the windows of each segment (words joined by one space) that occur at least twice among all segments.
 
@@ -173,23 +193,43 @@ def repeated_windows(segments: list[bytes], window: int) -> list[np.ndarray]:
     return [h - s for h, s in zip(np.split(hits, np.searchsorted(hits, start[1:])), start.tolist())]
 
 
+class Group:
+    """One group that is too large for a subtree: its suffixes by their longest prefix, whole windows, of which only the first place is held."""
+
+    def __init__(self, window: int) -> None:
+        self.window = window
+        self.first: dict[tuple[int, int], tuple | None] = {}
+
+    def spans(self, dk: int, d2: int, start: int, words: bytes) -> Iterator[tuple]:
+        own = words.split(b" ")
+        for i in range(len(own) - self.window + 1):
+            name, place = digest(b" ".join(own[i : i + self.window])), (dk, d2, start + i, start + i + self.window)
+            if name not in self.first:
+                self.first[name] = place
+                continue
+            if self.first[name]:
+                yield self.first[name]
+                self.first[name] = None
+            yield place
+
+
 def _spans(dealt: DataFrame, window: int) -> DataFrame:
     """(dk, d2, start, stop): word spans under repeated windows, from rows sorted by (g1, g2)."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        n_words = 0
+        n_words, begin = 0, 0  # words held, and where the last group begins
         out: list[tuple] = []
         lone: tuple | None = None
-        last = None
+        last, large = None, None
 
-        def flush():
-            for (dk, d2, start, _), hits in zip(held, repeated_windows([h[3] for h in held], window)):
+        def flush(upto: int):
+            for (dk, d2, start, _), hits in zip(held[:upto], repeated_windows([h[3] for h in held[:upto]], window)):
                 if len(hits):
                     cut = np.flatnonzero(np.diff(hits) > 1)
                     for a, b in zip(hits[np.concatenate([[0], cut + 1])].tolist(), hits[np.concatenate([cut, [len(hits) - 1]])].tolist()):
                         out.append((dk, d2, start + a, start + b + window))
-            held.clear()
+            del held[:upto]
 
         def ready():
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["dk", "d2", "start", "stop"])
@@ -199,13 +239,21 @@ def _spans(dealt: DataFrame, window: int) -> DataFrame:
         for batch in batch_iter:
             for g1, g2, dk, d2, start, words, count in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if (g1, g2) != last:
-                    last, lone = (g1, g2), None
-                    if n_words > BATCH_WORDS:
-                        flush()
-                        n_words = 0
-                if count == 0:
+                    last, lone, large, begin = (g1, g2), None, None, len(held)
+                if count == 0 and large:
+                    out.extend(large.spans(dk, d2, start, words))
+                elif count == 0:
                     held.append((dk, d2, start, words))
                     n_words += words.count(b" ") + 1
+                    if n_words > BATCH_WORDS:
+                        flush(begin)  # the groups before this one are whole
+                        begin, n_words = 0, sum(h[3].count(b" ") + 1 for h in held)
+                        if n_words > BATCH_WORDS // 2:
+                            large = Group(window)
+                            for h in held:
+                                out.extend(large.spans(*h))
+                            held.clear()
+                            n_words = 0
                 elif count == 3:
                     out.append((dk, d2, start, start + g2 - 1 + window))
                 elif lone is None:
@@ -217,9 +265,10 @@ def _spans(dealt: DataFrame, window: int) -> DataFrame:
                     lone = (0, 0, -1, 0)
             if len(out) > 20_000:
                 yield ready()
-        flush()
+        flush(len(held))
         if out:
             yield ready()
+        released()
 
     return dealt.mapInArrow(run, "dk long, d2 long, start int, stop int")
 
@@ -256,9 +305,8 @@ def dedup(docs: DataFrame, window: int = 35, text: str = "text", replace: bool =
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256")]
     row = F.struct(*[docs[c] for c in names if c != text])
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
-    # two independent hashes of the whole row name a document; rows that agree in both are copies of each other
-    facts = [docs[c].cast("string") for c in names if c != text]
-    base = docs.select(F.xxhash64(body, *facts).alias("dk"), F.xxhash64(F.lit("second"), F.concat_ws("\x00", *facts), body).alias("d2"), row.alias("row"), docs[text].cast("string").alias("body"))
+    # two hashes name a text, so copies have one result; a task hands on two copies of a text at most, which tell that it has others
+    base = docs.select(F.xxhash64(body).alias("dk"), F.xxhash64(F.lit("second"), body).alias("d2"), row.alias("row"), docs[text].cast("string").alias("body"))
 
     # dealt once, read twice: both branches need all columns, so that Spark reuses the exchange
     found = _prefixes(base.select("dk", F.coalesce("body", F.lit("")).alias("body")), plan).repartition("spread")
@@ -268,25 +316,30 @@ def dedup(docs: DataFrame, window: int = 35, text: str = "text", replace: bool =
     common = totals.orderBy(F.desc("total"), "spread").limit(4 * parts).select(F.col("spread").alias("h"), F.lit(True).alias("common"))
     marks = found.withColumn("total", F.sum("n").over(Window.partitionBy("spread"))).filter("dk is not null and (n = 0 or total > 1)")
     marks = marks.select("dk", "h").join(F.broadcast(common), "h", "left")
-    marks = marks.groupBy("dk").agg(F.collect_list(F.struct("h", "common")).alias("shared"))
+    marks = marks.groupBy("dk").agg(F.collect_set(F.struct("h", F.coalesce("common", F.lit(False)).alias("common"))).alias("shared"))
 
     def cut(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(plan)
+        pieces, copies = Pieces(plan), Counter()
         for batch in batch_iter:
             rows: list[tuple] = []
             for dk, d2, text_, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).cast(pa.binary()), batch.column(4).to_pylist()):
-                words = text_.as_buffer().to_pybytes().split() if text_.is_valid else []
-                rows += pieces.rows(dk, d2, words, {x["h"]: bool(x["common"]) for x in shared})
+                copies[dk, d2] += 1
+                if copies[dk, d2] > 2 or not text_.is_valid:
+                    continue
+                rows += pieces.rows(dk, d2, text_.as_buffer().to_pybytes(), {x["h"]: x["common"] for x in shared})
                 if len(rows) > 20_000:
                     yield _segment_batch(rows)
                     rows = []
             if rows:
                 yield _segment_batch(rows)
+            if len(copies) > MEMO:
+                copies.clear()
+        released()
 
     # the same columns as in the last join below: the texts are dealt once
     segments = base.join(marks, "dk").select("dk", "d2", "row", "body", "shared").mapInArrow(cut, "g1 long, g2 long, dk long, d2 long, start int, words binary, count int")
     spans = _spans(segments.repartition("g1", "g2").sortWithinPartitions("g1", "g2"), window)
-    spans = spans.groupBy("dk").agg(F.collect_list(F.struct("d2", "start", "stop")).alias("spans"))
+    spans = spans.groupBy("dk").agg(F.collect_set(F.struct("d2", "start", "stop")).alias("spans"))
 
     done = base.join(spans, "dk", "left")
     kind = base.schema["row"].dataType.simpleString()

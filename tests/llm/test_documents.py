@@ -16,7 +16,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chunkloom.llm import bpe, langid, mixing, quality, registry, simhash, sketch, substrings
-from chunkloom.llm.common import Codes
+
+from chunkloom.llm.common import word_codes, word_spans
 
 from .conftest import components, prose
 
@@ -120,34 +121,6 @@ def test_pairs_at_the_limit_of_likeness(spark):
     assert left == {4 * k + j for k in range(100) for j in (0, 2, 3)}
 
 
-def test_wide_links_find_nearly_all(spark):
-    rng = np.random.default_rng(2)
-    x = rng.integers(0, 2**63, (300, 2), dtype=np.int64)
-    near = x.copy()
-    for i in range(300):
-        for b in rng.choice(128, 20, replace=False):
-            near[i, b // 64] ^= np.int64(-(2**63)) if b % 64 == 63 else np.int64(1) << np.int64(b % 64)
-    frame = spark.createDataFrame([tuple(map(int, r)) for r in np.concatenate([x, near])], "p1 long, p2 long")
-    found = simhash.wide_links(frame, 25).collect()
-    assert len(found) >= 290 and all(((r["a1"] ^ r["b1"]) % 2**64).bit_count() + ((r["a2"] ^ r["b2"]) % 2**64).bit_count() <= 25 for r in found)
-
-
-def test_close_sets_by_brute_force():
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 2**63, (4, 2)).astype(np.uint64)
-    rows, group = [], []
-    for g, size in enumerate([1, 5, 49, 150]):
-        for _ in range(size):
-            x = base[rng.integers(0, 4)].copy()
-            for _ in range(rng.integers(0, 24)):
-                x[rng.integers(0, 2)] ^= np.uint64(1) << np.uint64(rng.integers(0, 64))
-            rows.append(x)
-            group.append(g)
-    x, group = np.array(rows), np.array(group)
-    want = components(len(x), lambda i, j: group[i] == group[j] and np.bitwise_count(x[i] ^ x[j]).sum() <= 25)
-    assert simhash.close_sets(x, group, 25).tolist() == want
-
-
 # 2
 
 
@@ -239,6 +212,44 @@ def test_substrings_replace_keeps_columns_and_white_space(odd_docs):
     assert rows[10] == prose(6, 30) + "\n"
 
 
+def test_copies_cost_no_more_than_other_texts(spark):
+    """Thousands of equal rows: one result for all, and no row of Spark's that grows with their number."""
+    text = prose(5, 120)
+    docs = spark.createDataFrame([(7, text)] * 5_000 + [(8, prose(6, 40) + " " + text[: len(text) // 2])], "doc_id long, text string").repartition(4)
+    got = Counter(tuple(r) for r in substrings.dedup(docs).select("doc_id", "n_words", "n_removed").collect())
+    (n, gone, _), (other, cut, _) = plain_dedup([text, prose(6, 40) + " " + text[: len(text) // 2], text], 35)[:2]
+    assert got == {(7, n, gone): 5_000, (8, other, cut): 1} and n == gone and cut > 35
+
+
+def test_a_group_beyond_memory_goes_on_by_windows(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BATCH_WORDS", 300)
+    shared = prose(3, 30)
+    texts = [f"{prose(100 + i % 5, 20)} {shared} {prose(200 + i % 7, 20)}" for i in range(60)] + [prose(400 + i, 60) for i in range(20)]
+    rows = [(0, 0, i, i, 0, t.encode(), 0) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([(*r[:5], bytearray(r[5]), 0) for r in rows], "g1 long, g2 long, dk long, d2 long, start int, words binary, count int").coalesce(1)
+    spans: dict = {}
+    for r in substrings._spans(frame, 35).collect():
+        spans.setdefault(r["dk"], set()).update(range(r["start"], r["stop"]))
+    want = [n for _, n, _ in plain_dedup(texts, 35)]
+    assert [len(spans.get(i, ())) for i in range(len(texts))] == want and sum(map(bool, want)) > 20
+
+
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=60), st.integers(1, 30))
+def test_leftmost_by_brute_force(values, size):
+    hashes = np.array(values, np.uint64) << np.uint64(40)
+    want = [i + values[i : i + size].index(min(values[i : i + size])) for i in range(len(values) - size + 1)]
+    assert substrings.leftmost(hashes, size).tolist() == want if len(values) >= size else True
+
+
+@given(st.text(alphabet="ab\t \n\x0b\x1c\u00a0é", max_size=60))
+def test_word_codes_by_brute_force(text):
+    raw = text.encode()
+    words = [w.encode() for w in WORD.findall(text)]
+    codes = word_codes(raw)
+    assert [raw[a:b] for a, b in zip(*word_spans(raw))] == words and len(codes) == len(words)
+    assert codes.tolist() == [int(word_codes(w)[0]) for w in words] and len(set(codes.tolist())) == len(set(words))
+
+
 # 5
 
 
@@ -292,40 +303,72 @@ def test_a_rare_language_has_a_limit_of_rejection(spark):
 # 6
 
 
+def plain_sketch(text: str, size: int = 128) -> set[tuple]:
+    """Shingles of five words; with fewer than ``size`` of them a sketch holds them all, so likenesses are exact."""
+    words = WORD.findall(text)
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_likeness(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a and b else float(a == b)
+
+
 def test_sketches_by_brute_force(odd_docs, no_docs):
+    """Small sets have exact likenesses; larger ones are held to those of their whole sets, by the sketch's error."""
     docs = odd_docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: -r["doc_id"])
     got = {r["doc_id"]: r for r in sketch.edited(docs, parts=4).collect()}
     assert set(got) == {r["doc_id"] for r in rows}
-    codes = Codes()
+    sets = {}
     for r, after in zip(rows, [*rows[1:], rows[0]]):
         body, other = r["text"] or "", after["text"] or ""
         cut = len(body) // 3
         changed = body[: len(body) - cut] + other[:cut]
         g = got[r["doc_id"]]
         assert g["n_chars"] == len(body) and g["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
-        own, new, nxt = (sketch.sketch(t.encode().split(), codes) for t in (body, changed, other))
-        assert sketch.unpacked(g["fingerprint"]).tolist() == own.tolist() and sketch.unpacked(g["edited_fingerprint"]).tolist() == new.tolist()
-        assert g["near_edited"] == pytest.approx(sketch.resemblance(own, new)) and g["near_next"] == pytest.approx(sketch.resemblance(own, nxt))
+        own, new, nxt = map(plain_sketch, (body, changed, other))
+        for name, shingles in (("fingerprint", own), ("edited_fingerprint", new)):
+            assert len(g[name]) == 16 * min(128, len(shingles)) and sets.setdefault(g[name], shingles) == shingles
+        for name, shingles in (("near_edited", new), ("near_next", nxt)):
+            exact = plain_likeness(own, shingles)
+            assert g[name] == pytest.approx(exact, abs=1e-12 if len(own | shingles) < 128 else 0.2), (r["doc_id"], name)
     assert sketch.edited(no_docs).count() == 0
     assert sketch.edited(odd_docs).count() == odd_docs.count()
 
 
 def test_sketch_estimates_and_merges():
-    codes = Codes()
     a, b = prose(1, 3000).encode().split(), prose(2, 3000).encode().split()
-    both = sketch.merge(sketch.sketch(a, codes), sketch.sketch(b, codes))
-    assert sketch.merge(sketch.sketch(b, codes), sketch.sketch(a, codes)).tolist() == both.tolist()
-    x, y = sketch.sketch(a, codes), sketch.sketch(a[:1500] + b[:1500], codes)
+    of = lambda words: sketch.sketch(b" ".join(words))
+    both = sketch.merge(of(a), of(b))
+    assert sketch.merge(of(b), of(a)).tolist() == both.tolist()
+    x, y = of(a), of(a[:1500] + b[:1500])
     shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
     sa, sy = shingles(a), shingles(a[:1500] + b[:1500])
     assert sketch.distinct(x) == pytest.approx(len(sa), rel=0.3)
+    assert sketch.distinct(both) == pytest.approx(len(sa | shingles(b)), rel=0.3)
     assert sketch.resemblance(x, y) == pytest.approx(len(sa & sy) / len(sa | sy), abs=0.12)
     assert sketch.containment(x, y) == pytest.approx(len(sa & sy) / len(sa), abs=0.2)
-    empty = sketch.sketch([], codes)
+    empty = of([])
     assert sketch.resemblance(empty, empty) == 1 and sketch.resemblance(empty, x) == 0 and sketch.containment(empty, x) == 1 and sketch.distinct(empty) == 0
 
 
+def test_sketches_of_groups_are_merged(spark, odd_docs, no_docs):
+    docs = spark.createDataFrame([(k, "ab"[k % 2] if k < 40 else None, prose(k % 7, 60)) for k in range(45)] + [(99, "c", None)], "doc_id long, source string, text string").repartition(5)
+    got = {r["source"]: r for r in sketch.merged(sketch.sketches(docs), "source").collect()}
+    want: dict = {}
+    for r in docs.collect():
+        want.setdefault(r["source"], set()).update(plain_sketch(r["text"] or ""))
+    assert set(got) == set(want) == {"a", "b", None, "c"}
+    for k, shingles in want.items():
+        assert got[k]["n_shingles"] == (len(shingles) if len(shingles) < 128 else pytest.approx(len(shingles), rel=0.3))
+    pairs = sketch.compared(spark.createDataFrame([(got["a"]["fingerprint"], got["b"]["fingerprint"]), ("", got["a"]["fingerprint"]), (None, None)], "x string, y string"), "x", "y").collect()
+    assert pairs[0]["resemblance"] == pytest.approx(plain_likeness(want["a"], want["b"]), abs=0.15)
+    assert pairs[0]["containment"] == pytest.approx(len(want["a"] & want["b"]) / len(want["a"]), abs=0.2)
+    assert (pairs[1]["resemblance"], pairs[1]["containment"]) == (0, 1) and (pairs[2]["resemblance"], pairs[2]["n_union"]) == (1, 0)
+    assert sketch.merged(sketch.sketches(no_docs), "source").count() == 0
+    assert sketch.merged(sketch.sketches(odd_docs), "label").count() == 1
+
+
 def test_sketches_keep_columns(odd_docs, no_docs):
     out = sketch.sketches(odd_docs)
     assert out.columns == [*odd_docs.columns, "fingerprint", "n_shingles"] and out.count() == odd_docs.count()
