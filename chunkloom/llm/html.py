@@ -1,8 +1,9 @@
 """Main text of web pages: flat text blocks judged by a small decision tree.
 
-A page becomes a flat list of blocks. A block's features are its own and its neighbours' word counts and link
-densities, and where it stands: in a container that names itself boilerplate, in an article, as a heading. The tree
-is grown (Gini, exact splits) from ``LABELLED``, a table of hand-labelled blocks, and is the same in every worker.
+A page becomes a flat list of blocks. A block's features are its own and its neighbours' word counts and link densities, and where it
+stands: in an element or a container named as boilerplate, in the page's article, as a heading, among form controls. No feature decides by
+itself: the tree (Gini, exact splits) is grown on the blocks of ``LABELLED``, a few small pages labelled block by block, and is the same in
+every worker. Tags and attributes are read as browsers read them.
 """
 
 from __future__ import annotations
@@ -10,80 +11,170 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import batches
 
-FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "boilerplate", "article", "heading")
-
-#: Blocks of ordinary pages by hand: the features above, then 1 for main text.
-LABELLED = [
-    # paragraphs and headings of articles
-    (42, 0.0, 9, 0.0, 51, 0.0, 0, 1, 0, 1), (51, 0.0, 42, 0.0, 33, 0.1, 0, 1, 0, 1), (3, 0.0, 60, 0.0, 2, 0.0, 0, 1, 0, 1), (1, 0.0, 2, 0.0, 48, 0.0, 0, 1, 0, 1),
-    (9, 0.0, 6, 0.0, 42, 0.0, 0, 1, 1, 1), (2, 0.0, 1, 1.0, 70, 0.0, 0, 1, 1, 1), (33, 0.1, 51, 0.0, 12, 0.0, 0, 1, 0, 1), (120, 0.02, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
-    (25, 0.4, 60, 0.0, 44, 0.0, 0, 1, 0, 1), (6, 1.0, 80, 0.0, 55, 0.0, 0, 1, 0, 1), (17, 0.0, 8, 0.0, 12, 0.2, 0, 1, 0, 1), (4, 0.5, 31, 0.0, 6, 0.0, 0, 1, 0, 1),
-    (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 1), (2, 0.0, 7, 1.0, 2, 0.0, 0, 1, 0, 1), (300, 0.0, 12, 0.0, 9, 0.0, 0, 1, 0, 1), (5, 1.0, 5, 1.0, 5, 1.0, 0, 1, 0, 1),
-    # main text outside of any article element
-    (64, 0.0, 5, 0.0, 71, 0.0, 0, 0, 0, 1), (71, 0.05, 64, 0.0, 18, 0.0, 0, 0, 0, 1), (18, 0.0, 71, 0.05, 55, 0.0, 0, 0, 0, 1), (7, 0.0, 44, 0.0, 38, 0.0, 0, 0, 1, 1),
-    (5, 0.0, 2, 1.0, 64, 0.0, 0, 0, 1, 1), (38, 0.1, 7, 0.0, 6, 1.0, 0, 0, 0, 1), (29, 0.0, 3, 0.0, 31, 0.0, 0, 0, 0, 1), (12, 0.0, 40, 0.0, 61, 0.0, 0, 0, 0, 1),
-    # menus, link lists, footers and short notices outside of articles
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 9, 0.0, 0, 0, 0, 0), (15, 0.9, 4, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (6, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0), (5, 0.2, 30, 0.0, 0, 0.0, 0, 0, 0, 0), (8, 0.6, 22, 0.0, 5, 1.0, 0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1, 0), (2, 0.0, 1, 1.0, 4, 1.0, 0, 0, 1, 0), (30, 0.8, 11, 0.7, 25, 0.9, 0, 0, 0, 0), (9, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0),
-    # blocks of containers that name themselves menus, adverts, notices, forms, comments
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (12, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0), (80, 0.0, 20, 0.0, 45, 0.0, 1, 0, 0, 0), (45, 0.0, 80, 0.0, 60, 0.0, 1, 1, 0, 0),
-    (7, 0.0, 52, 0.0, 6, 1.0, 1, 0, 0, 0), (20, 0.1, 33, 0.0, 0, 0.0, 1, 1, 0, 0), (4, 0.0, 2, 0.0, 2, 0.0, 1, 0, 1, 0), (2, 0.0, 3, 0.0, 3, 0.0, 1, 1, 1, 0),
-    (150, 0.0, 9, 0.0, 3, 0.0, 1, 0, 0, 0), (33, 0.3, 5, 1.0, 4, 1.0, 1, 0, 0, 0), (3, 0.0, 60, 0.0, 44, 0.0, 1, 1, 0, 0), (61, 0.0, 64, 0.0, 12, 0.0, 1, 0, 0, 0),
-]
-
-HIDDEN = frozenset("script style noscript template svg iframe object canvas head title select option textarea button math".split())
+#: Of a block: in an aside element; in a container with a name of boilerplate (1: an ambiguous one); outside of the page's article, on a page
+#: without one, or inside (0, 1, 2); share of words in form controls; says whose rights it is; heading; words and link density, also of neighbours.
+FEATURES = ("aside", "named", "place", "controls", "rights", "density", "words", "heading", "density_before", "density_after", "words_before", "words_after")
+
+#: Pages by hand, each block labelled: [1] is main text, [0] isn't; {n} stands for n words.
+LABELLED = (
+    # articles between menus, with and without anything after them
+    "<nav><ul><li>[0]<a>{1}</a><li>[0]<a>{2}</a></ul></nav><div class='ad'>[0]{9}</div><article><h1>[1]{6}</h1><p>[1]{40}</p><p>[1]{3}</p><p>[1]{80}</p></article><footer>[0]{5}</footer>",
+    "<header>[0]<a>{2}</a></header><article><h1>[1]{9}</h1><p>[1]{33}</p><p>[1]{2}</p></article>",
+    "<article>[1]{12}</article>",
+    "<article><p>[1]{1}</p></article><footer>[0]<a>{2}</a> {4}</footer>",
+    "<article><h2>[1]{2}</h2></article><aside><h3>[0]{2}</h3><p>[0]{45}</p></aside>",
+    "<div>[0]{14}</div><article><p>[1]<a>{6}</a></p><ul><li>[1]<a>{3}</a><li>[1]{2}<li>[1]<a>{8}</a> {2}</ul><p>[1]{150}</p></article><div>[0]{7}</div>",
+    "<p>[0]{30}</p><main><p>[1]{9}</p><p>[1]<a>{4}</a> {1}</p><div class='sidebar'>[0]{70}</div></main><p>[0]<a>{3}</a></p><p>[0]{24}</p>",
+    "<div>[0]{3}</div><article><p>[1]{20}</p><blockquote>[1]{15}</blockquote><pre>[1]{60}</pre><p>[1]{11}</p></article><div>[0]{2}</div>",
+    # headers of articles, ambiguous names inside of them, boilerplate inside of them
+    "<div class='header'>[0]{5}</div><article><header><h1>[1]{7}</h1><p>[1]{4}</p></header><p>[1]{60}</p><div class='share'>[0]{2}</div><p>[1]{50}</p><aside>[0]{18}</aside></article>",
+    "<article><div class='header'><h1>[1]{8}</h1></div><section class='notice'><p>[0]{12}</p></section><p>[1]{44}</p><div class='alert'>[0]{6}</div></article><section class='comments'><h2>[0]{1}</h2><p>[0]{35}</p><p>[0]{8}</p></section>",
+    "<article><p>[1]{70}</p><form><p>[0]{4}</p></form><nav>[0]<a>{9}</a></nav><p>[1]{5}</p><div class='newsletter'>[0]{13}</div><p>[1]{31}</p><footer>[0]{16}</footer></article>",
+    "<article><p>[1]{25}</p><button>[0]{1}</button><p>[1]{6} <button>{1}</button> {5}</p><p>[1]{14}</p><p><button>[0]{3}</button></p></article>",
+    "<article><h1>[1]{5}</h1><div class='ads'>[0]{120}</div><p>[1]{2}</p><div class='related'>[0]<a>{7}</a></div><div class='comment'>[0]{90}</div></article>",
+    # pages without an article
+    "<ul><li>[0]<a>{1}</a><li>[0]<a>{3}</a><li>[0]<a>{2}</a></ul><h1>[1]{7}</h1><div>[1]{64}</div><div>[1]{71} <a>{3}</a></div><p>[1]{18}</p><p>[1]{4}</p>",
+    "<div>[0]<a>{2}</a> <a>{1}</a></div><div>[1]{30}</div><div>[1]{45}</div><div>[1]{38}</div>",
+    "<p>[1]{12}</p>", "<h1>[1]{3}</h1>", "<div>[1]{1}</div>", "<p>[1]{90}</p><p>[1]{6}</p><p>[1]{9}</p><p>[1]{5}</p>",
+    "<div>[0]<a>{1}</a></div><h2>[1]{2}</h2><p>[1]{22}</p><ul><li>[1]{3}<li>[1]{5}<li>[1]{2}</ul><p>[1]{16} <a>{2}</a></p><div class='footer'>[0]{5}</div>",
+    "<h1>[1]{5}</h1><p>[1]{2}</p><p>[1]{48}</p><div>[0]&copy; {4}</div>", "<p>[1]{55}</p><p>[0]Copyright {6}</p><p>[0]<a>{2}</a> {1} <a>{3}</a></p>",
+    "<div class='menu'><h3>[0]{1}</h3><p>[0]{3}</p></div><div class='header'>[0]{4}</div><p>[1]{39}</p><div class='legal'>[0]{20}</div><div class='cookie'>[0]{28}</div>",
+    "<div>[0]<a>{5}</a></div><div>[0]<a>{6}</a> {1}</div><div>[1]{26}</div><div>[1]{9} <a>{4}</a></div><div>[0]<a>{4}</a></div>",
+    "<article><p>[1]{29}</p><p>[1]Copyright {3}</p><p>[1]All rights reserved</p></article><p>[0]All rights reserved</p>", "<article><p>[1]&copy; {8}</p><ul><li>[1]<a>{2}</a></ul></article><div>[0]&copy; {2}</div>",
+    # told by their neighbours: headings and labels of link lists, links between paragraphs
+    "<p>[1]{60}</p><p>[1]{42}</p><h3>[0]{2}</h3><ul><li>[0]<a>{4}</a><li>[0]<a>{5}</a></ul>", "<p>[1]{50}</p><p>[1]<a>{3}</a></p><p>[1]{40}</p><h2>[1]{3}</h2><p>[1]{35}</p>",
+    "<div>[0]{1}</div><div>[0]<a>{1}</a></div><div>[0]{2}</div><div>[0]<a>{2}</a></div><p>[1]{70}</p><p>[1]{28}</p>", "<h2>[0]{1}</h2><div>[0]<a>{2}</a></div><div>[0]<a>{1}</a></div><h1>[1]{4}</h1><p>[1]{33}</p>",
+    "<article><h2>[1]{2}</h2><ul><li>[1]<a>{3}</a><li>[1]<a>{1}</a></ul><p>[1]{1}</p><ul><li>[1]<a>{2}</a></ul></article>",
+    "<div class='search'>[0]{2}</div><table><tr><td>[1]{2}<td>[1]{1}<tr><td>[1]{3}<td>[1]{1}</table><p>[1]{13}</p><label>[0]{2}</label>",
+)
+
+#: Elements whose text no page shows, those that hold raw text, and those that stand beside an article.
+HIDDEN = frozenset("script style noscript template svg iframe object canvas head title datalist noembed noframes audio video".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 ASIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
-MAIN = frozenset("article main".split())
+CONTROLS = frozenset("button select option optgroup textarea label".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 BLOCK = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody tfoot caption section article main header footer nav aside form fieldset blockquote pre figure figcaption address body html hr details summary dialog menu center legend".split())
-RAW = {"script", "style", "noscript", "textarea", "title", "template", "iframe", "svg"}
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login|search\w*|share|sharing|social|related|recommend\w*|comments?|comment-\w+|disqus\w*|replies|reply|respond|widgets?|pagination|pager|toolbar|skip|legal|copyright|disclaimer|tags|paywall)(?=$|[\s_-])",
-    re.I,
-)
-#: A comment, a declaration, or a tag with its attributes, whose quoted values may hold angle brackets.
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-label)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
-
-
-def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
-    """Text, words, link density, in boilerplate, in an article, heading; of blocks that have text, in page order."""
-    out: list[tuple[str, int, float, int, int, int]] = []
+#: Elements that end an open one of their own group, up to the element that holds them.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+HOLDS = frozenset("ul ol menu dl table thead tbody tfoot".split())
+#: Parts of class names and ids. CLEAR ones name boilerplate wherever they stand; UNSURE ones only beside words of PLAIN.
+CLEAR = re.compile(r"ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|nav|navbar|navigation|menus?|submenu|breadcrumbs?|sidebars?|footers?|masthead|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|sharebar|social|related|recommend\w*|comments?|commentlist|disqus\w*|replies|respond|widgets?|pagination|pager|toolbar|paywall")
+UNSURE = re.compile(r"header|banner|side|aside|notices?|alerts?|search\w*|login|legal|copyright|disclaimer|tags|skip|reply|form")
+PLAIN = re.compile(r"site|page|main|global|web|top|bottom|left|right|box|bar|block|area|wrap|wrapper|container|inner|outer|row|col|list|item|items|link|links|section|content|text|message|info|the|my|\d*")
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
+RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
+#: An attribute: a name and perhaps a value, which is quoted or ends at white space.
+ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+"""
+ATTRIBUTES = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))?+)?+""")
+#: A comment, a declaration or another thing that browsers skip, or a tag, which the page's end ends too.
+TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?:[^a-zA-Z>][^>]*+)?(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{ATTRIBUTE})*+)(?:>|\Z)", re.S)
+
+
+class Block(NamedTuple):
+    text: str
+    words: int
+    density: float
+    controls: float
+    aside: int
+    named: int
+    inside: int
+    heading: int
+
+
+class Place(NamedTuple):
+    """What an open element makes of the text in it; inside: 2 in an article, 1 in the main element."""
+
+    name: str = ""
+    hidden: int = 0
+    aside: int = 0
+    named: int = 0
+    inside: int = 0
+    heading: int = 0
+
+
+def naming(value: str) -> int:
+    """2 if a class name or id names boilerplate, 1 if it may."""
+    found = 0
+    for token in value.split():
+        parts = [p.lower() for p in re.split(r"[-_:]+|(?<=[a-z])(?=[A-Z])", token) if p]
+        if any(map(CLEAR.fullmatch, parts)):
+            return 2
+        if any(map(UNSURE.fullmatch, parts)) and all(UNSURE.fullmatch(p) or PLAIN.fullmatch(p) for p in parts):
+            found = 1
+    return found
+
+
+def opened(name: str, attributes: str, above: Place) -> Place:
+    hidden, aside, named, inside = above.hidden or int(name in HIDDEN), above.aside, above.named, above.inside
+    if name in ASIDE and not (name == "header" and inside and not aside):
+        aside = 1
+    if name in ("article", "main"):
+        inside = max(inside, 2 if name == "article" else 1)
+    if attributes and name not in ("body", "html"):
+        for key, *values in ATTRIBUTES.findall(attributes):
+            key, value = key.lower(), unescape("".join(values))
+            if key == "hidden":
+                hidden = 1
+            elif key == "role":
+                named = max(named, 2 * (value.lower() in ROLES))
+                inside = max(inside, {"article": 2, "main": 1}.get(value.lower(), 0))
+            elif key in ("class", "id") and name not in ("article", "main"):
+                named = max(named, naming(value))
+            elif key == "itemprop" and value == "articleBody":
+                inside = 2
+    return Place(name, hidden, aside, named, inside, above.heading or int(len(name) == 2 and name[0] == "h" and name[1].isdigit()))
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks that have text, in page order."""
+    out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int, int, int]] = []  # name, boilerplate, article, heading
-    state, in_link, at = (0, 0, 0), 0, 0
+    pressed: list[str] = []
+    stack = [Place()]
+    state, at = stack[0], 0
 
     def flush() -> None:
         if parts:
             words = unescape("".join(parts)).split()
             if words:
-                links = len(unescape(" ".join(linked)).split())
-                out.append((" ".join(words), len(words), min(1.0, links / len(words)), *state))
+                n = len(words)
+                count = lambda some: min(1.0, len(unescape(" ".join(some)).split()) / n)
+                out.append(Block(" ".join(words), n, count(linked), count(pressed), state.aside, state.named, state.inside, state.heading))
             parts.clear()
             linked.clear()
+            pressed.clear()
 
     def text(x: str) -> None:
-        if x:
+        if x and not state.hidden:
             parts.append(x)
             if in_link:
                 linked.append(x)
+            if in_control:
+                pressed.append(x)
+
+    def closed(k: int) -> None:
+        """Closes the elements from the k-th on; the same block goes on unless that ends blocks or changes where it stands."""
+        if any(x.name in BLOCK for x in stack[k:]) or stack[-1][2:5] != stack[k - 1][2:5]:
+            flush()
+        del stack[k:]
 
+    in_link = in_control = 0
     while m := TAG.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         name = m[2].lower()
-        if name == "br" or name == "wbr":
+        if name in ("br", "wbr"):
             text(" " if name == "br" else "")
             continue
         if name == "a":
@@ -91,54 +182,67 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
         if name in BLOCK:
             flush()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    # the end of an inline element goes on with the same block, unless it closes blocks or boilerplate
-                    if any(x[0] in BLOCK or x[0] in HIDDEN for x in stack[k:]) or stack[-1][1] != (stack[k - 1][1] if k else 0):
-                        flush()
-                    del stack[k:]
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].name == name:
+                    closed(k)
                     break
-                if name not in BLOCK and stack[k][0] in BLOCK:
+                if name not in BLOCK and stack[k].name in BLOCK:
                     break  # a stray inline end doesn't close blocks
         elif name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>?", re.I).search(page, at)
+            body = page[at : end.start() if end else len(page)]
             at = end.end() if end else len(page)
-            continue
-        elif name not in VOID and not m[3].rstrip().endswith("/"):
-            if name == "p" or name in ("li", "dt", "dd", "td", "th", "tr") or name[0] == "h" and name[1:].isdigit():
-                # these end an open paragraph, or their own kind, even where the page forgot to
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ("p", name) and (stack[k][0] == "p" or name in ("li", "dt", "dd", "td", "th", "tr")):
-                        flush()
-                        del stack[k:]
+            if name not in HIDDEN:
+                stack.append(opened(name, m[3], stack[-1]))
+                state, in_control = stack[-1], in_control or name in CONTROLS
+                text(body)
+                stack.pop()
+        elif name not in VOID:
+            if name in BLOCK:
+                for k in range(len(stack) - 1, 0, -1):  # what ends an open paragraph, or its own kind, even where the page forgot to
+                    if stack[k].name == "p":
+                        closed(k)
                         break
-                    if stack[k][0] in BLOCK:
+                    if stack[k].name in BLOCK:
                         break
-            _, aside, inside, heading = stack[-1] if stack else ("", 0, 0, 0)
-            if name in HIDDEN or name in ASIDE and not (name == "header" and inside and not aside):
-                aside = 1
-            elif name not in ("body", "html") and m[3]:
-                for key, value in ATTRIBUTE.findall(m[3]):
-                    value = value.strip("\"'")
-                    if key.lower() == "hidden" or key.lower() == "role" and value.lower() in ROLES or name not in MAIN and key.lower() in ("class", "id") and NAMED.search(value):
-                        aside = 1
-            inside = int(inside or name in MAIN)
-            heading = int(heading or len(name) == 2 and name[0] == "h" and name[1].isdigit())
-            if name in BLOCK or aside != (stack[-1][1] if stack else 0):
+            for k in range(len(stack) - 1, 0, -1) if name in ENDS else ():
+                if stack[k].name in HOLDS and not (name == "tr" and stack[k].name == "tr"):
+                    break
+                if stack[k].name in ENDS[name]:
+                    closed(k)
+                    if name != "tr":
+                        break
+            place = opened(name, m[3], stack[-1])
+            if place[2:5] != stack[-1][2:5]:
                 flush()
-            stack.append((name, aside, inside, heading))
-        state = stack[-1][1:] if stack else (0, 0, 0)
+            stack.append(place)
+        state = stack[-1]
+        in_control = any(x.name in CONTROLS for x in stack)
     text(page[at:])
     flush()
     return out
 
 
-def features(found: list[tuple]) -> list[tuple]:
+def features(found: list[Block]) -> list[tuple]:
+    """In the order of FEATURES."""
+    most = max((b.inside for b in found if not b.aside and b.named < 2), default=0)
+    rows = []
+    for k, b in enumerate(found):
+        before = found[k - 1] if k else None
+        after = found[k + 1] if k + 1 < len(found) else None
+        near = [x for d in ("density", "words") for x in (getattr(before, d, 0), getattr(after, d, 0))]
+        rows.append((b.aside, b.named, 1 if not most else 2 if b.inside >= most else 0, b.controls, int(RIGHTS.match(b.text) is not None), b.density, b.words, b.heading, *near))
+    return rows
+
+
+def labelled() -> list[tuple]:
+    """The features of the blocks of LABELLED, each with its label."""
     rows = []
-    for k, (_, words, density, aside, inside, heading) in enumerate(found):
-        before = found[k - 1][1:3] if k else (0, 0.0)
-        after = found[k + 1][1:3] if k + 1 < len(found) else (0, 0.0)
-        rows.append((words, density, *before, *after, aside, inside, heading))
+    for page in LABELLED:
+        found = blocks(re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), page))
+        assert all(b.text[:3] in ("[0]", "[1]") for b in found)
+        rest = [b._replace(text=b.text[3:]) for b in found]
+        rows += [(*row, int(b.text[1])) for row, b in zip(features(rest), found)]
     return rows
 
 
@@ -168,7 +272,7 @@ def _grow(rows: list[tuple], depth: int) -> tuple | int:
 
 @lru_cache(1)
 def tree() -> tuple | int:
-    return _grow(LABELLED, 6)
+    return _grow(labelled(), 10)
 
 
 def main_text(page: str) -> str:
