@@ -21,10 +21,10 @@ from .common import checkpoint
 
 #: Rows of the labelled table that the classifier is fitted on, about; hash buckets of words; domains at most.
 LABELLED, BUCKETS, DOMAINS = 4_096, 1 << 11, 64
-#: Words of evidence that a text counts for at most: words of one text aren't independent. Rounds at most, rounds between checkpoints, relative error of totals.
+#: Words of evidence that a text counts for at most, whatever its length: words of one text aren't independent, so that the sum over all
+#: of them would make every posterior 0 or 1. A fixed parameter that says how soft memberships are; it isn't fitted.
+#: Rounds at most, rounds between checkpoints, relative error of totals.
 EVIDENCE, ROUNDS, NESTED, CLOSE = 24.0, 64, 8, 1e-4
-#: With a highest rate, the share of the largest possible corpus that is aimed at, which leaves rates room to differ.
-ROOM = 0.98
 
 
 def _words(text: Column) -> Column:
@@ -73,16 +73,18 @@ class Classifier:
 
 
 def fit(labelled: DataFrame, text: str = "text", domain: str = "lang", key: str = "doc_id", most: int = LABELLED) -> Classifier:
-    """Learns from about ``most`` rows of the labelled table, drawn by a hash of key and text; rows without a domain or text teach nothing."""
+    """Learns from about ``most`` rows of the labelled table, drawn by a hash of key and text.
+
+    Rows without a domain or text teach nothing, and neither do those of domains beyond the DOMAINS commonest ones of the draw.
+    """
     known = labelled.filter(labelled[domain].isNotNull() & labelled[text].isNotNull()).select(labelled[domain].cast("string").alias("domain"), labelled[text].cast("string").alias("body"), F.xxhash64(labelled[key].cast("string"), labelled[text].cast("string")).alias("h"))
     share = min(1.0, most / max(1, known.count()))
     drawn = known.filter(F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30)))
     # one row a document with bucket -1 counts documents; at most DOMAINS * (BUCKETS + 1) rows reach the driver
     marks = drawn.select("domain", F.explode(F.concat(F.array(F.lit(-1)), F.transform(_words(F.col("body")), _bucket))).alias("bucket"))
-    rows = marks.groupBy("domain", "bucket").count().limit(DOMAINS * (BUCKETS + 1) + 1).collect()
+    common = [r["domain"] for r in drawn.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS).collect()]
+    rows = marks.filter(F.col("domain").isin(common)).groupBy("domain", "bucket").count().collect() if common else []
     domains = sorted({r["domain"] for r in rows})
-    if len(domains) > DOMAINS:
-        raise ValueError(f"more than {DOMAINS} domains")
     place = {d: k for k, d in enumerate(domains)}
     counts, docs = [[0.5] * BUCKETS for _ in domains], [0] * len(domains)
     for r in rows:
@@ -99,27 +101,29 @@ def _totals(soft: DataFrame, k: int, rate: Column) -> list[float]:
     return [float(row[f"t{i}"] or 0.0) for i in range(k)]
 
 
-def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float], most: float | None = None) -> tuple[DataFrame, list[list[float]]]:
-    """Adds ``rate`` to rows with n_words and posterior; also the gradients e / c of the rounds that lead there.
+def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float], most: float | None = None) -> tuple[DataFrame, list[list[float]], float]:
+    """Adds ``rate`` to rows with n_words and posterior; also the gradients e / c of the rounds that lead there, and what error is left.
+
+    The error is that of the domain total that is furthest off, relative to its total at rate one: above CLOSE where no rates reach the targets.
 
-    Domain totals should become ``targets[domain] / sum(targets)`` of the words there are; with ``most``, no rate is above it, and the totals
-    aim at ROOM of the largest corpus of those shares that rates up to ``most`` allow. Domains without a target aim at zero.
+    The totals of domains in ``targets`` should become ``targets[domain] / sum(targets)`` of the words they have; with ``most``, no rate is above it, and the totals
+    aim at the largest corpus of those shares that rates up to ``most`` allow. Domains without a target keep their totals.
     """
     k = len(domains)
     weights = [max(0.0, float(targets.get(d, 0.0))) for d in domains]
     if not k or not sum(weights):
-        return soft.withColumn("rate", F.lit(1.0)), []
+        return soft.withColumn("rate", F.lit(1.0)), [], 0.0
     weights = [w / sum(weights) for w in weights]
     full = _totals(soft, k, F.lit(1.0))
-    size = sum(full) if most is None else ROOM * min(c * most / w for c, w in zip(full, weights) if w)
-    goal = [w * size for w in weights]
+    size = sum(c for c, d in zip(full, domains) if d in targets) if most is None else min(c * most / w for c, w in zip(full, weights) if w)
+    goal = [w * size if d in targets else c for w, c, d in zip(weights, full, domains)]
     state, steps, since = soft.withColumn("rate", F.lit(1.0)), [], 0
     rate = F.col("rate")
-    totals, best = full, math.inf
-    for _ in range(ROUNDS):
+    totals, best, worst = full, math.inf, math.inf
+    for turn in range(ROUNDS + 1):
         error = [t - g for t, g in zip(totals, goal)]
         worst = max(abs(e) / max(1.0, c) for e, c in zip(error, full))
-        if worst <= CLOSE or worst > best * 0.999:
+        if worst <= CLOSE or worst > best * 0.999 or turn == ROUNDS:
             break  # close enough, or targets that no rates reach
         best = worst
         steps.append([e / c if c > 0 else 0.0 for e, c in zip(error, full)])
@@ -128,7 +132,7 @@ def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float], mo
             state, since = checkpoint(state.withColumn("rate", rate)), 0
             rate = F.col("rate")
         totals = _totals(state, k, rate)
-    return state.withColumn("rate", rate), steps
+    return state.withColumn("rate", rate), steps, worst
 
 
 def _step(rate: Column, slope: list[float], most: float | None) -> Column:
@@ -143,17 +147,18 @@ def copies(rate: Column, *key: Column) -> Column:
 
 
 def rates(docs: DataFrame, targets: dict[str, float], text: str = "text", domain: str = "lang", key: str = "doc_id", labelled: DataFrame | None = None, most: float | None = None) -> DataFrame:
-    """(key, n_words, domain_posterior, rate, copies) of every row.
+    """(key, n_words, domain_posterior, rate, copies, target_error) of every row.
 
-    ``domain_posterior`` is a map from the domains, by name. Null and empty texts have no words, the prior as posterior, and a rate like any
+    ``domain_posterior`` is a map from the domains, by name; ``target_error``, the same in all rows, is how far from its target the worst
+    domain total stays (see ``fit_rates``). Null and empty texts have no words, the prior as posterior, and a rate like any
     other. Equal rows get equal results, so repeated rows and keys and null keys give a row each. Without labelled rows, or targets for
     them, every rate is one. An empty table gives no rows; extra columns are not read.
     """
     model = fit(docs if labelled is None else labelled, text, domain, key)
     soft = model.add(docs.select(docs[key].alias("row_key"), docs[text].cast("string").alias("body"), F.xxhash64(docs[text].cast("string")).alias("h")), "body").drop("body")
-    found, _ = fit_rates(checkpoint(soft), model.domains, targets, most)
+    found, _, error = fit_rates(checkpoint(soft), model.domains, targets, most)
     names = F.array(*map(F.lit, model.domains)).cast("array<string>")
-    return found.select(F.col("row_key").alias(key), "n_words", F.map_from_arrays(names, "posterior").alias("domain_posterior"), "rate", copies(F.col("rate"), F.col("row_key").cast("string"), F.col("h")).alias("copies"))
+    return found.select(F.col("row_key").alias(key), "n_words", F.map_from_arrays(names, "posterior").alias("domain_posterior"), "rate", copies(F.col("rate"), F.col("row_key").cast("string"), F.col("h")).alias("copies"), F.lit(error).alias("target_error"))
 
 
 def mixed(docs: DataFrame, targets: dict[str, float], text: str = "text", domain: str = "lang", key: str = "doc_id", labelled: DataFrame | None = None, most: float | None = None) -> DataFrame:
@@ -163,7 +168,7 @@ def mixed(docs: DataFrame, targets: dict[str, float], text: str = "text", domain
     """
     model = fit(docs if labelled is None else labelled, text, domain, key)
     soft = checkpoint(model.add(docs.select(docs[text].cast("string").alias("body")), "body").select("n_words", "posterior"))
-    _, steps = fit_rates(soft, model.domains, targets, most)
+    _, steps, _ = fit_rates(soft, model.domains, targets, most)
     found = model.add(docs.select(F.struct(*docs.columns).alias("whole"), docs[text].cast("string").alias("body"), docs[key].cast("string").alias("row_key")), "body")
     found = found.withColumn("rate", F.lit(1.0))
     for start in range(0, len(steps), NESTED):

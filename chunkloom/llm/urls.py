@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Key ranges of the sweep, and sites read to place their bounds (they only balance the work).
+#: Key ranges of the sweep at least (else one a shuffle partition), and sites read to place their bounds; both only balance the work.
 RANGES, SAMPLE = 64, 4096
+#: Lengths of rule paths up to which only those are cut out of a site's path; with more, all its prefixes are.
+LENGTHS = 1024
 RULES = "rule_key string, rule string, verdict string, host_key string, path_key string, size int"
 
 
@@ -27,9 +29,16 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def spelled(text: Column) -> Column:
+    """Without U+0000 to U+0003, which the keys use as marks; these become two characters each."""
+    for c in "3012":
+        text = F.replace(text, F.lit(chr(int(c))), F.lit("\u0003" + c))
+    return text
+
+
 def reversed_host(host: Column) -> Column:
     """``a.b.com`` as ``com\\u0001b\\u0001a\\u0001``: a label's end sorts below any character of a longer label."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\u0001"), F.lit("\u0001"))
+    return F.concat(F.array_join(F.reverse(F.split(spelled(host), r"\.")), "\u0001"), F.lit("\u0001"))
 
 
 def _keyed(rules: DataFrame) -> DataFrame:
@@ -62,27 +71,26 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", url: str
     """
     spark = pages.sparkSession
     rules = _with_parents(_keyed(rules))
-    sizes = sorted(r[0] for r in rules.select("path_size").distinct().limit(1025).collect())
-    if len(sizes) > 1024:
-        raise ValueError("rule paths have more than 1024 different lengths")
+    sizes = sorted(r[0] for r in rules.select("path_size").distinct().limit(LENGTHS + 1).collect())
+    longest = rules.agg(F.max("path_size")).first()[0] or 0
+    ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = pages.select(pages[key].alias("row_key"), host_of(pages[url].cast("string")).alias("host"), path_of(pages[url].cast("string")).alias("path"))
-    longest = max(sizes, default=0)
     sites = rows.select("host", F.substring("path", 1, longest).alias("head")).filter("host <> ''").distinct()
     # one key for each length of rule path that the site's path can hold
-    lengths = F.array(*map(F.lit, sizes)) if sizes else F.expr("cast(array() as array<int>)")
+    lengths = F.sequence(F.lit(0), F.lit(longest)) if len(sizes) > LENGTHS else F.array(*map(F.lit, sizes)).cast("array<int>")
     keyed = sites.select("host", "head", F.explode(F.filter(lengths, lambda n: n <= F.length("head"))).alias("n"))
     keyed = keyed.select("host", "head", F.expr("substring(head, 1, n)").alias("path_key"), reversed_host(F.col("host")).alias("host_key"))
     keyed = keyed.join(rules.select("path_key").distinct(), "path_key", "left_semi")
 
     # bounds of the key ranges, from a bounded number of sites
     sep = F.lit("\u0000")
-    place = F.concat("path_key", sep, "host_key")
+    place = F.concat(spelled(F.col("path_key")), sep, "host_key")
     seen = sorted(r[0] for r in keyed.select(place.alias("k")).orderBy(F.xxhash64("k")).limit(SAMPLE).collect())
-    bounds = sorted({seen[len(seen) * i // RANGES] for i in range(1, RANGES)}) if seen else []
+    bounds = sorted({seen[len(seen) * i // ranges] for i in range(1, ranges)}) if seen else []
     number = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("k"))) if bounds else F.lit(0)
 
     top = lambda p: F.struct(*[F.col(f"{p}rule").alias("rule"), F.col(f"{p}verdict").alias("verdict"), F.col(f"{p}size").alias("size")])
-    start, end = F.concat("path_key", sep, "host_key"), F.concat("path_key", sep, F.expr("concat(substring(host_key, 1, length(host_key) - 1), '\u0002')"))
+    start, end = place, F.concat(spelled(F.col("path_key")), sep, F.expr("concat(substring(host_key, 1, length(host_key) - 1), '\u0002')"))
     spans = rules.select(start.alias("k"), end.alias("k_end"), F.length("host_key").alias("depth"), top("").alias("own"), F.when(F.col("parent").isNotNull(), top("parent.")).alias("parent"))
     spans = spans.withColumn("first", number).withColumn("last", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("k_end"))) if bounds else F.lit(0))
     # kind: ends (0) come before starts (1) and sites (2) of the same key; a shallow rule opens first and closes last

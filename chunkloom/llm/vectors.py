@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sets, batches, checkpoint
+from .common import Sets, batches, checkpoint, released
 from .components import components
 
-#: Vectors of the sample that the quantisers are fitted on; vectors per coarse list aimed at; most lists.
-SAMPLE, LIST, LISTS = 16_384, 4_096, 1_024
+#: Vectors of the sample that the quantisers are fitted on, SHARE a list if that is more; vectors per coarse list aimed at; most lists.
+SAMPLE, SHARE, LIST, LISTS = 16_384, 16, 1_024, 4_096
+#: Vector lengths that get quantisers of their own; vectors of rarer lengths are one list each.
+LENGTHS = 64
 SUBSPACES, CODES, ROUNDS = 8, 64, 8
 
 
@@ -45,6 +47,11 @@ class Quantiser:
         self.books = [lloyd(rest[:, a:b], CODES, rng) for a, b in zip(self.cuts, self.cuts[1:])]
         self.apart = np.sqrt(np.maximum(0, ((self.coarse[:, None] - self.coarse[None]) ** 2).sum(2)))
 
+    @classmethod
+    def plain(cls, dim: int) -> Quantiser:
+        """One list and one code: bounds of zero, so that every pair is reranked."""
+        return cls(np.zeros((1, dim)), 1)
+
     def nearest(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.coarse.T - 0.5 * (self.coarse**2).sum(1)).argmax(1)
 
@@ -71,6 +78,26 @@ class Quantiser:
         return np.sqrt(total) - error[None]
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """In double precision; scaled first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def packed(x: np.ndarray) -> list[bytes]:
+    """Vectors as bytes: in single precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    same = (short == x).all(axis=1).tolist()
+    return [a.tobytes() if s else b.tobytes() for s, a, b in zip(same, short, x)]
+
+
+def unpacked(rows: list[bytes], dim: int) -> np.ndarray:
+    if all(len(r) == 4 * dim for r in rows):
+        return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), dim).astype(float)
+    return np.array([np.frombuffer(r, np.float32 if len(r) == 4 * dim else float).astype(float) for r in rows])
+
+
 def _valid(column: str) -> F.Column:
     """Not null, not empty, only finite components, not all zero."""
     return F.expr(f"{column} is not null and size({column}) > 0 and forall({column}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({column}, x -> x <> 0)")
@@ -93,15 +120,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, key: str = "vec_id"
     rows = vectors.select(vectors[key].cast("long").alias("id"), vectors[label].alias("label"), vectors[vector].cast("array<double>").alias("vec"))
     rows = rows.withColumn("node", F.when(F.col("label").isNotNull() & _valid("vec"), F.xxhash64("label", "vec")))
     nodes = checkpoint(rows.filter("node is not null").groupBy("node", "label", "vec").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least")))
-    sizes = nodes.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(65).collect()
-    if len(sizes) > 64:
-        raise ValueError("more than 64 different vector lengths")
+    sizes = nodes.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(LENGTHS).collect()
     quantisers = {}
     for dim, n in sizes:
-        share = min(1.0, SAMPLE / n)
-        sample = nodes.filter((F.size("vec") == dim) & (F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).select("vec").limit(2 * SAMPLE).toArrow()["vec"]
+        lists = int(np.clip(n // LIST, 1, LISTS))
+        wanted = max(SAMPLE, SHARE * lists)
+        share = min(1.0, wanted / n)
+        sample = nodes.filter((F.size("vec") == dim) & (F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).select("vec").limit(2 * wanted).toArrow()["vec"]
         x = np.array(sample.to_pylist() or nodes.filter(F.size("vec") == dim).select("vec").limit(256).toArrow()["vec"].to_pylist(), float)
-        quantisers[dim] = Quantiser(x / np.linalg.norm(x, axis=1, keepdims=True), int(np.clip(n // LIST, 1, LISTS)))
+        quantisers[dim] = Quantiser(x / np.linalg.norm(x, axis=1, keepdims=True), lists)
     shared = spark.sparkContext.broadcast(quantisers)
 
     def make():
@@ -110,9 +137,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, key: str = "vec_id"
             lengths = np.diff(vec.offsets.to_numpy())
             for dim in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == dim)
-                x = np.array(vec.take(pa.array(at)).to_pylist(), float)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                q = shared.value[dim]
+                raw = vec.take(pa.array(at)).flatten().to_numpy().reshape(len(at), dim)
+                sent = packed(raw)
+                x = unit(raw)
+                q = shared.value.get(dim) or Quantiser.plain(dim)
                 home = q.nearest(x)
                 codes, error = q.encode(x, home)
                 row, cell = np.nonzero(q.probes(x, home, reach))
@@ -120,7 +148,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, key: str = "vec_id"
                     pick = pa.array(at[i])
                     yield {
                         "label": of.take(pick), "dim": np.full(len(i), dim, np.int32), "cell": c.astype(np.int32), "member": np.full(len(i), member), "node": node.take(pick), "copies": copies.take(pick),
-                        "x": [v.tobytes() for v in x[i]], "codes": [v.tobytes() for v in codes[i]] if member else [None] * len(i), "error": error[i],
+                        "x": [sent[k] for k in i.tolist()], "codes": [v.tobytes() for v in codes[i]] if member else [None] * len(i), "error": error[i],
                     }
 
         return work
@@ -145,7 +173,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, key: str = "vec_id"
         schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("other", pa.int64())])
 
         def close(at, members, queries):
-            q, cell = shared.value[at[1]], at[2]
+            q, cell = shared.value.get(at[1]) or Quantiser.plain(at[1]), at[2]
             node, copies, x, codes, error = (np.concatenate(c) for c in zip(*members)) if members else (np.zeros(0),) * 5
             for qnode, _, qx, _, _ in queries if len(node) else ():
                 sets = Sets(len(qnode) + len(node))
@@ -179,10 +207,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, key: str = "vec_id"
                     if len(i):
                         pick = pa.array(i)
                         node, copies, x, codes, error = (batch.column(c).take(pick) for c in range(6, 11))
-                        into.append((node.to_numpy(), copies.to_numpy(), np.frombuffer(b"".join(x.to_pylist())).reshape(len(i), at[1]), np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(i), -1) if kind_of else None, error.to_numpy()))
+                        into.append((node.to_numpy(), copies.to_numpy(), unit(unpacked(x.to_pylist(), at[1])), np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(i), -1) if kind_of else None, error.to_numpy()))
         if at:
             yield from close(at, members, queries)
 
+        released()
+
     found = checkpoint(dealt.mapInArrow(compare, "node long, n long, other long"))
     roots = components(found.filter("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     direct = found.filter("n > 0").groupBy("node").agg(F.sum("n").alias("n"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 import xxhash
 from hypothesis import given, settings
@@ -287,6 +290,57 @@ def test_kneser_ney_sums_to_one():
         assert 1 - 1 / (len(letters) + 1) - 1e-5 <= p <= 1 + 1e-5, context
 
 
+def plain_kneser_ney(words: list[str], alphabet: int):
+    """log P of a character after a context, by the textbook: discount D = n1 / (n1 + 2 n2) of each order, continuation counts below the top."""
+    padded = ["\x02\x02\x02" + w + "\x03" for w in words]
+    counts = {4: Counter(w[i - 3 : i + 1] for w in padded for i in range(3, len(w)))}
+    for order in (3, 2, 1):
+        counts[order] = Counter(g[1:] for g in counts[order + 1])
+
+    def p(context: str, c: str, order: int) -> float:
+        if not order:
+            return 1 / (alphabet + 1)
+        own, n = counts[order], Counter(counts[order].values())
+        d = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        follow = {g: k for g, k in own.items() if g[:-1] == context}
+        lower = p(context[1:], c, order - 1)
+        total = sum(follow.values())
+        return max(follow.get(context + c, 0) - d, 0) / total + d * len(follow) / total * lower if total else lower
+
+    return lambda context, c: math.log(p(context, c, 4))
+
+
+def test_kneser_ney_by_brute_force(spark, sf_dir):
+    """Cross-entropies and languages of some texts, from models of all learning texts of the table."""
+    rows = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect() if r["text"]]
+    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    letters = lambda t: regex.findall(r"\p{L}+", t.lower())
+    learned = {}
+    for r in rows:
+        if r["lang"] is not None and not held(r["doc_id"]):
+            learned.setdefault(r["lang"], []).extend(letters(r["text"]))
+    alphabet = len({c for ws in learned.values() for w in ws for c in w} | {"\x03"})
+    models = {k: plain_kneser_ney(ws, alphabet) for k, ws in sorted(learned.items())}
+    asked = [r for r in rows if held(r["doc_id"]) and 0 < len(r["text"]) < 200][:4] or [r for r in rows if held(r["doc_id"])][:2]
+    found = {r["doc_id"]: r for r in langid.with_held_out(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    for r in asked:
+        words = letters(r["text"])[:60]
+        if len(words) < len(letters(r["text"])):
+            continue
+        n = sum(map(len, words)) + len(words)
+        logs = {k: sum(m(w[i - 3 : i], w[i]) for w in ("\x02\x02\x02" + x + "\x03" for x in words) for i in range(3, len(w))) for k, m in models.items()}
+        best = max(sorted(logs), key=logs.get)
+        got = found[r["doc_id"]]
+        assert got["lang_pred"] == best and got["cross_entropy"] == pytest.approx(-logs[best] / n, rel=1e-4)
+        assert got["score"] == pytest.approx(1 / sum(math.exp(max(-700, v - logs[best])) for v in logs.values()), rel=1e-2)
+
+
+def test_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "river stone", "en"), (2, "² ½ Ⅷ 12 _", None), (4, "r²iver", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, F.col("doc_id") == 1).collect()}
+    assert got == {1: "en", 2: "und", 4: "en"}
+
+
 def test_foreign_text_is_rejected(spark):
     docs = spark.createDataFrame([(i, prose(i, 60), "en") for i in range(60)] + [(99, "Zxqj kvwz qqzx jjkv wzzq xxkj vvqz zjxk qwzv kkxj " * 4, None)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["rejected"] for r in langid.with_held_out(docs).collect()}

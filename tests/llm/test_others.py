@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import math
 
 import numpy as np
+import public_tokenizers as P
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -15,6 +19,7 @@ from chunkloom.llm.components import components as distributed
 
 from ..compare import differences
 from .conftest import components, prose
+from .test_documents import WORD, alike, plain_dedup, sets_of
 
 
 def test_components_of_chains_stars_and_loops(spark):
@@ -62,6 +67,16 @@ def test_vectors_by_brute_force(spark, monkeypatch):
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LENGTHS", 3)
+    rows = [(100 * n + i, [float(1 + (k * (i // 2 + 1)) % 7) * 10.0 ** (n % 5 * 60 - 120) for k in range(n)], 0) for n in range(1, 9) for i in range(6)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    scaled = [np.array(x) / max(x) for _, x, _ in rows]
+    near = lambda i, j: len(scaled[i]) == len(scaled[j]) and scaled[i] @ scaled[j] / np.linalg.norm(scaled[i]) / np.linalg.norm(scaled[j]) >= 0.98
+    root = components(len(rows), near)
+    assert got == {rows[i][0]: (sum(bool(near(i, j)) for j in range(len(rows)) if j != i), rows[root[i]][0]) for i in range(len(rows))}
+
+
 # 7
 
 
@@ -103,12 +118,14 @@ def plain_judge(url, rules):
 
 def test_urls_by_brute_force(spark, monkeypatch):
     rules = [*registry.URL_RULES, ("a.b.example.com", "/x", "block"), ("b.example.com", "/", "block"), ("org", "/", "block"), ("good.org", "/", "allow"), ("good.org", "/bad/", "block"), ("ample.com", "/", "block")]
-    seen = ["http://EXAMPLE.com/en/x?q#f", "https://www.example.com/en/", "http://a.b.example.com/xyz", "http://b.example.com", "http://b.example.com/", "x", None, "", "://", "ftp://good.org/bad/1", "http://good.org/ok", "http://very.good.org/bad/", "http://sample.com/", "http://net/es/1", "http://x.net/fr/", "http://x.net/de/", "http://org?x/", "a://b://c/d", "http://com/", "http://example.com/\nen/", "http://ÄB.com/é"]
+    seen = ["http://EXAMPLE.com/en/x?q#f", "https://www.example.com/en/", "http://a.b.example.com/xyz", "http://b.example.com", "http://b.example.com/", "x", None, "", "://", "ftp://good.org/bad/1", "http://good.org/ok", "http://very.good.org/bad/", "http://sample.com/", "http://net/es/1", "http://x.net/fr/", "http://x.net/de/", "http://org?x/", "a://b://c/d", "http://com/", "http://example.com/\nen/", "http://ÄB.com/é", "http://com\x01example/en/", "http://com\x02/x", "http://a\x00com/en/", "http://\x03.net/es/1", "http://org/\x00com\x01/"]
     frame = spark.createDataFrame([(i, u, "r") for i, u in enumerate(seen * 2)] + [(None, "http://com/", "r")], "page_id long, url string, rule string").repartition(3)
     got = sorted((tuple(r) for r in urls.judge(frame, urls.rule_table(spark, rules)).collect()), key=repr)
     want = sorted(((r["page_id"], *plain_judge(r["url"], rules)) for r in frame.collect()), key=repr)
     assert got == want
     assert urls.judge(frame.limit(0), urls.rule_table(spark, rules)).count() == 0
+    monkeypatch.setattr(urls, "LENGTHS", 2)
+    assert sorted((tuple(r) for r in urls.judge(frame, urls.rule_table(spark, rules)).collect()), key=repr) == want
     assert urls.judge(frame, urls.rule_table(spark, rules).limit(0)).filter("rule is not null or verdict <> 'allow'").count() == 0
 
 
@@ -145,6 +162,30 @@ def test_pipeline_stages(spark):
     assert out.filter("n_tokens <> size(ids)").count() == 0 and out.count() == docs.count()
 
 
+def test_pipeline_by_brute_force(spark, sf_dir):
+    """Each stage on what the one before it kept of the table."""
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted((r.asDict() for r in df.collect()), key=lambda r: r["doc_id"])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id is not null").dropDuplicates(["doc_id"])
+    good = stages["quality"](spark, docs, sf_dir).cache()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    kept = {r["doc_id"] for r in rows(good)}
+    assert all(labels[r["doc_id"]] == (r["doc_id"] in kept) for r in rows(docs) if r["doc_id"] in labels and len((r["text"] or "").split()) >= 12)
+    before = rows(good)
+    sets = sets_of([r["text"] or "" for r in before])
+    root = components(len(before), lambda i, j: alike(sets[i], sets[j]))
+    first = stages["near copies"](spark, good, sf_dir).cache()
+    assert rows(first) == [before[i] for i in sorted(set(root))]
+    before = rows(first)
+    left = rows(stages["repeated passages"](spark, first, sf_dir))
+    digests = [hashlib.sha256(" ".join(WORD.findall(r["text"] or "")).encode()).hexdigest() for r in left]
+    assert [r["doc_id"] for r in left] == [r["doc_id"] for r in before] and digests == [x for _, _, x in plain_dedup([r["text"] for r in before], 35)]
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert [r["ids"] for r in rows(stages["tokens"](spark, first, sf_dir))] == [library.encode_ordinary(r["text"] or "") for r in before]
+
+
 def test_pipeline_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
     odd_docs.write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
