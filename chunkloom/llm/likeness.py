@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches, checkpoint, distinct, grams, mixed, released, word_codes
+from .common import U64, batches, checkpoint, distinct, grams, mixed, popcount, released, word_codes
 from .components import components
 
 #: Texts whose shingles are counted for the order, how often a common one is among them, common ones at most.
@@ -31,6 +31,8 @@ SMALL_BUCKET, LEADERS, PAIRS = 6, 2, 1 << 20
 #: Bits of the filter that picks the texts whose whole sets are wanted.
 FILTER_BITS = 1 << 24
 SIZE_BITS = 32
+#: Classes of a set's parities: the first that is no less than the set, else the last.
+WIDTHS = (1 << 10, 1 << 12, 1 << 14)
 
 
 def shingles(text: pa.Scalar, size: int = 5) -> np.ndarray:
@@ -173,8 +175,39 @@ def _across(members: DataFrame, likeness: float) -> DataFrame:
     return _by_bucket(members, "a long, b long", pairs_of).distinct()
 
 
+def parity(own: np.ndarray) -> bytes:
+    """A bit for each of about as many classes of hashes as the set has: whether an odd number of its hashes are in it."""
+    width = next((w for w in WIDTHS if len(own) <= w), WIDTHS[-1])
+    return np.packbits(np.bincount((own & U64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Classes that differ in parity: each takes a shingle that only one of the sets has. A longer one is folded to the length of the other."""
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    return int(popcount(x ^ y).sum())
+
+
+def _pairs_where(pairs: DataFrame, of: DataFrame, test: Callable[..., bool]) -> DataFrame:
+    """The pairs (a, b) for which ``test`` holds of what ``of`` (d, own, and perhaps n) says of the two: test(own of a, own of b, n of a, n of b)."""
+    count = F.col("n") if "n" in of.columns else F.lit(0).cast("long")
+    side = lambda c: of.select(F.col("d").alias(c), F.col("own").alias(f"{c}_own"), count.alias(f"{c}_n"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_own", "b_own", "a_n", "b_n")
+
+    def make():
+        def work(part: pa.RecordBatch):
+            keep = [i for i, (x, y, n, m) in enumerate(zip(*(part.column(c) for c in (2, 3)), *(part.column(c).to_pylist() for c in (4, 5)))) if test(x.as_buffer(), y.as_buffer(), n, m)]
+            kept = part.take(pa.array(keep, pa.int64()))
+            yield {"a": kept.column(0), "b": kept.column(1)}
+
+        return work
+
+    return checkpoint(batches(both, "a long, b long", make))
+
+
 def _sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(d, own) for ``wanted`` (d, ident): the whole sets, of one more reading of ``rows`` (ident, body)."""
+    """(d, own) for ``wanted`` (ident): the whole sets, of one more reading of ``rows`` (ident, body)."""
     spot = F.pmod("ident", F.lit(FILTER_BITS)) + 1  # from 1 on, bucket k holds 32 768 numbers in 4 096 bytes
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in wanted.groupBy(F.bitmap_bucket_number(spot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")).collect():
@@ -185,36 +218,29 @@ def _sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
         held = shared.value
 
         def work(part: pa.RecordBatch):
-            ident = part.column(0).to_numpy()
-            at = ident % FILTER_BITS
-            take = np.flatnonzero(held[at >> 3] >> (at & 7) & 1)
+            at = part.column(0).to_numpy() % FILTER_BITS
             body = part.column(1).cast(pa.binary())
-            for i in take.tolist():
-                yield {"ident": ident[i : i + 1], "own": [shingles(body[i], shingle).tobytes()]}
+            for i in np.flatnonzero(held[at >> 3] >> (at & 7) & 1).tolist():
+                own = shingles(body[i], shingle)
+                yield {"d": np.array([node(own)]), "own": [own.tobytes()]}
 
         return work
 
-    found = batches(rows.select("ident", "body"), "ident long, own binary", make)
-    return checkpoint(found.join(wanted, "ident").select("d", "own").dropDuplicates(["d"]))
-
+    return checkpoint(batches(rows.select("ident", "body"), "d long, own binary", make).dropDuplicates(["d"]))
 
-def _alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
-    """The pairs (a, b) whose sets have at least that likeness."""
-    both = checkpoint(pairs).join(sets.select(F.col("d").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("d").alias("b"), F.col("own").alias("y")), "b")
 
-    def make():
-        def work(part: pa.RecordBatch):
-            keep = []
-            for i, (x, y) in enumerate(zip(part.column(2), part.column(3))):
-                x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
-                if jaccard(x, y) >= likeness - 1e-12:
-                    keep.append(i)
-            kept = part.take(pa.array(keep, pa.int64()))
-            yield {"a": kept.column(0), "b": kept.column(1)}
+def node(own: np.ndarray) -> int:
+    """The name of a set."""
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
-        return work
 
-    return checkpoint(batches(both.select("a", "b", "x", "y"), "a long, b long", make))
+def _alike(pairs: DataFrame, own: DataFrame, rows: DataFrame, shingle: int, likeness: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least that likeness: parities tell most of the others, the whole sets decide."""
+    most = (1 - likeness) / (1 + likeness)
+    left = _pairs_where(pairs, own.select("d", F.col("parity").alias("own"), "n"), lambda x, y, n, m: differing(x, y) <= most * (n + m) + 1e-9)
+    nodes = left.select(F.explode(F.array("a", "b")).alias("d")).distinct()
+    sets = _sets(rows, own.join(nodes, "d", "left_semi").select(F.col("who.ident").alias("ident")), shingle)
+    return _pairs_where(left, sets, lambda x, y, n, m: jaccard(np.frombuffer(x, U64), np.frombuffer(y, U64)) >= likeness - 1e-12)
 
 
 def _close(own: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -239,26 +265,23 @@ def named(rows: DataFrame, shingle: int, likeness: float, print_of: Callable[[np
         def work(part: pa.RecordBatch):
             sets = [shingles(x, shingle) for x in part.column(1).cast(pa.binary())]
             first = [prefix(x, *shared.value, likeness).view(np.int64) for x in sets]
-            node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], U64).view(np.int64)
-            yield {"who": part.column(0), "d": node, "n": [len(x) for x in sets], "print": np.array([print_of(x) for x in sets], U64).view(np.int64), "first": first}
+            yield {"who": part.column(0), "d": list(map(node, sets)), "n": list(map(len, sets)), "parity": list(map(parity, sets)), "print": np.array([print_of(x) for x in sets], U64).view(np.int64), "first": first}
 
         return work
 
-    of = batches(rows.select("who", "body"), f"who {rows.schema['who'].dataType.simpleString()}, d long, n long, print long, first array<long>", make)
-    own = checkpoint(of.groupBy("d").agg(F.min("who").alias("who"), *[F.first(c).alias(c) for c in ("n", "print", "first")]))
+    of = batches(rows.select("who", "body"), f"who {rows.schema['who'].dataType.simpleString()}, d long, n long, parity binary, print long, first array<long>", make)
+    own = checkpoint(of.groupBy("d").agg(F.min("who").alias("who"), *[F.first(c).alias(c) for c in ("n", "parity", "print", "first")]))
     entries = own.select("d", "n", F.posexplode("first").alias("at", "s"))
     entries = entries.select("s", "d", F.shiftleft("n", SIZE_BITS).bitwiseOR(F.col("at").cast("long")).alias("w"))
     met = checkpoint(_met(entries, likeness))
     pairs = checkpoint(met.filter("pair").select("a", "b").union(_close(own.select("d", "print"), links)).distinct())
     members = met.filter("not pair").select("s", F.col("a").alias("d"), F.col("b").alias("w"))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("d")).union(members.select("d")).distinct()
-    sets = _sets(rows, checkpoint(own.select("d", F.col("who.ident").alias("ident")).join(nodes, "d")), shingle)
-    roots = components(_alike(pairs, sets, likeness))
+    roots = components(_alike(pairs, own, rows, shingle, likeness))
     rooted = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
     more = checkpoint(_across(rooted(members, "d").select("s", "d", "w", F.col("d_root").alias("root")), likeness))
     named_ = rooted(own.select("d", "who"), "d")
     if not more.isEmpty():
-        edges = rooted(rooted(_alike(more, sets, likeness), "a"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        edges = rooted(rooted(_alike(more, own, rows, shingle, likeness), "a"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
         last = components(edges).select(F.col("node").alias("d_root"), F.col("root").alias("last"))
         named_ = named_.join(last, "d_root", "left").withColumn("d_root", F.coalesce("last", "d_root"))
     return named_.select("who", F.col("d_root").alias("root"))

@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chunkloom.llm import bpe, langid, mixing, quality, registry, simhash, sketch, substrings
+from chunkloom.llm import bpe, langid, likeness, mixing, quality, registry, simhash, sketch, substrings
 
 from chunkloom.llm.common import word_codes, word_spans
 
@@ -114,6 +114,16 @@ def test_all_pairs_of_alike_sets_are_joined(spark, edited):
     assert sorted(r["doc_id"] for r in simhash.first_of_groups(docs).collect()) == sorted(set(want))
 
 
+@pytest.mark.parametrize("sizes", [(900, 1000, 850), (1000, 1100, 900), (3900, 4400, 3800), (20_000, 21_000, 19_000), (0, 0, 0)])
+def test_parities_never_exceed_the_difference(sizes):
+    rng = np.random.default_rng(sum(sizes))
+    n, m, both = sizes
+    pool = np.unique(rng.integers(0, 2**63, n + m, dtype=np.uint64))
+    a, b = pool[:n], np.concatenate([pool[:both], pool[n : n + m - both]])
+    assert likeness.differing(likeness.parity(a), likeness.parity(b)) <= len(np.setxor1d(a, b))
+    assert likeness.differing(likeness.parity(a), likeness.parity(a)) == 0
+
+
 def test_pairs_at_the_limit_of_likeness(spark):
     """Sets of 36 and 45 shingles that share 36 are alike by 0.8; of 35 and 45 they aren't, whatever their fingerprints say."""
     rows = []
