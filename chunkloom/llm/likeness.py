@@ -27,7 +27,7 @@ from .components import components
 #: Texts whose shingles are counted for the order, how often a common one is among them, common ones at most.
 COUNTED, COMMON, MOST_COMMON = 2_048, 4, 1 << 16
 #: Rows of a bucket up to which all pairs are taken at once; leaders of larger ones; pairs tested together.
-SMALL_BUCKET, LEADERS, PAIRS = 6, 2, 1 << 20
+SMALL_BUCKET, LEADERS, PAIRS = 6, 4, 1 << 20
 #: Bits of the filter that picks the texts whose whole sets are wanted.
 FILTER_BITS = 1 << 24
 SIZE_BITS = 32
@@ -103,7 +103,7 @@ def _by_bucket(frame: DataFrame, schema: str, pairs_of: Callable[..., Iterator[p
         for batch in batch_iter:
             if not batch.num_rows:
                 continue
-            held.append([c.to_numpy() for c in batch.columns])
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             rows += batch.num_rows
             if rows >= 1 << 18 and held[0][0][0] != held[-1][0][-1]:
                 columns = [np.concatenate(c) for c in zip(*held)]
@@ -152,15 +152,21 @@ def _met(entries: DataFrame, likeness: float) -> DataFrame:
 
 
 def _across(members: DataFrame, likeness: float) -> DataFrame:
-    """(a, b): all possible pairs of members (s, d, w, root) of a bucket that have different roots."""
+    """(a, b): pairs of members (s, d, w, root, parity) of a bucket that have different roots and may be alike by places, sizes and parities."""
+    most = (1 - likeness) / (1 + likeness)
 
-    def pairs_of(heads, sizes, s, d, w, root):
+    def pairs_of(heads, sizes, s, d, w, root, own):
         n, at = _unpacked(w)
+        length = np.fromiter(map(len, own), np.int64, len(own))
         for head, size in zip(heads.tolist(), sizes.tolist()):
             every = np.arange(head, head + size)
             if (root[every] == root[head]).all():
                 continue
-            # sizes ascend, so what can be alike to a row ends where they are too large
+            folded = {}
+            for width in np.unique(length[every]).tolist():  # sizes ascend, and so do lengths
+                wide = every[length[every] >= width]
+                folded[width] = wide[0], np.array([fold(own[k], width) for k in wide.tolist()]).view(U64)
+            # what can be alike to a row ends where sets are too large
             last = np.searchsorted(n[every], n[every] / likeness + 1e-6, "right")
             rows = max(1, PAIRS // size)
             for k in range(0, size, rows):
@@ -169,12 +175,24 @@ def _across(members: DataFrame, likeness: float) -> DataFrame:
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + head
                 i += head
                 keep = (root[i] != root[j]) & possible(n[i], n[j], at[i], at[j], likeness)
+                i, j = i[keep], j[keep]
+                keep = np.zeros(len(i), bool)
+                for width, (first, bits) in folded.items():
+                    of = np.flatnonzero(length[i] == width)
+                    for part in np.array_split(of, len(of) * width // (1 << 24) + 1):
+                        differ = popcount(bits[i[part] - first] ^ bits[j[part] - first]).sum(axis=1, dtype=np.int64)
+                        keep[part] = differ <= most * (n[i[part]] + n[j[part]]) + 1e-9
                 a, b = d[i[keep]], d[j[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return _by_bucket(members, "a long, b long", pairs_of).distinct()
 
 
+def fold(bits: bytes, size: int) -> np.ndarray:
+    """Parities of fewer classes: of so many bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
+
+
 def parity(own: np.ndarray) -> bytes:
     """A bit for each of about as many classes of hashes as the set has: whether an odd number of its hashes are in it."""
     width = next((w for w in WIDTHS if len(own) <= w), WIDTHS[-1])
@@ -183,10 +201,8 @@ def parity(own: np.ndarray) -> bytes:
 
 def differing(a: bytes, b: bytes) -> int:
     """Classes that differ in parity: each takes a shingle that only one of the sets has. A longer one is folded to the length of the other."""
-    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
-    size = min(len(x), len(y))
-    x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
-    return int(popcount(x ^ y).sum())
+    size = min(len(a), len(b))
+    return int(popcount(fold(a, size) ^ fold(b, size)).sum())
 
 
 def _pairs_where(pairs: DataFrame, of: DataFrame, test: Callable[..., bool]) -> DataFrame:
@@ -278,7 +294,10 @@ def named(rows: DataFrame, shingle: int, likeness: float, print_of: Callable[[np
     members = met.filter("not pair").select("s", F.col("a").alias("d"), F.col("b").alias("w"))
     roots = components(_alike(pairs, own, rows, shingle, likeness))
     rooted = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    more = checkpoint(_across(rooted(members, "d").select("s", "d", "w", F.col("d_root").alias("root")), likeness))
+    live = checkpoint(rooted(members, "d").select("s", "d", "w", F.col("d_root").alias("root")))
+    several = live.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("s")
+    live = live.join(several, "s", "left_semi").join(own.select("d", "parity"), "d").select("s", "d", "w", "root", "parity")
+    more = checkpoint(_across(live, likeness))
     named_ = rooted(own.select("d", "who"), "d")
     if not more.isEmpty():
         edges = rooted(rooted(_alike(more, own, rows, shingle, likeness), "a"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
