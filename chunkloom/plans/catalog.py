@@ -308,8 +308,8 @@ w1 AS (SELECT doc_name, i, word, CAST(coalesce(sum(length(word) + 1) OVER (PARTI
 words AS (SELECT doc_name, word, a, CAST(a + length(word) - 1 AS INTEGER) AS e FROM w1 WHERE word <> '')"""
 PRONOUN = "lower(word) IN (" + ", ".join(f"'{p}'" for p in coref.PRONOUNS) + ")"
 PAIRS = f"""{WORD_ROWS},
-p0 AS (SELECT doc_name, word, a, e, max(CASE WHEN NOT {PRONOUN} AND regexp_matches(word, '^\\p{{Lu}}') THEN a END) OVER (PARTITION BY doc_name ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ea FROM words),
-pairs AS (SELECT p.doc_name, w.a AS ea, w.e AS ee, p.a AS pa, p.e AS pe FROM p0 p JOIN words w ON w.doc_name = p.doc_name AND w.a = p.ea WHERE lower(p.word) IN ({", ".join(f"'{p}'" for p in coref.PRONOUNS)}))"""
+p0 AS (SELECT doc_name, word, a, e, max(CASE WHEN NOT {PRONOUN} AND regexp_matches(word, '^\\p{{Lu}}') THEN {{'a': a, 'e': e}} END) OVER (PARTITION BY doc_name ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w FROM words),
+pairs AS (SELECT doc_name, w.a AS ea, w.e AS ee, a AS pa, e AS pe FROM p0 WHERE w IS NOT NULL AND lower(word) IN ({", ".join(f"'{p}'" for p in coref.PRONOUNS)}))"""
 BOUNDS = """
 b0 AS (SELECT doc_name, method, a, b, row_number() OVER (PARTITION BY doc_name, method ORDER BY k) AS i, count(*) OVER (PARTITION BY doc_name, method) AS n FROM chunks WHERE b > a),
 bounds AS (SELECT doc_name, method, a AS x FROM b0 WHERE i > 1 UNION SELECT doc_name, method, b FROM b0 WHERE i < n)"""
@@ -348,8 +348,7 @@ def mention_clusters(spark, sf_dir):
 
 @query()
 def embedded_metrics(spark, sf_dir):
-    chunks = chunks_of(spark, sf_dir).filter("method = 'fixed'")
-    return metrics.embedded_scores(chunks, docs_of(spark, sf_dir), HashingEmbedder)
+    return metrics.embedded_scores(chunks_of(spark, sf_dir), docs_of(spark, sf_dir), HashingEmbedder)
 
 
 VECTORS = "v AS (SELECT vec_id, label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS i, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL)"
@@ -611,16 +610,16 @@ def answered_rate(spark, sf_dir):
     return reports.answered_rate(said, "the")
 
 
-EVALS = """e AS (SELECT doc_id AS query_id, 's' || (doc_id % 3) AS system, m AS name, CASE WHEN (doc_id + length(m)) % 4 = 0 THEN NULL ELSE (quality + toxic + doc_id % 7) / 9 END AS score
-      FROM labels, (VALUES ('Retrieval Completeness'), ('Answer Correctness'), ('Contextual Relevancy')) AS t(m) WHERE doc_id % 11 <> 0
+EVALS = """e AS (SELECT doc_id AS query_id, 's' || (doc_id % 3) AS system, m AS name, CASE WHEN (doc_id + length(m)) % 4 = 0 OR doc_id % 11 = 0 THEN NULL ELSE (quality + toxic + doc_id % 7) / 9 END AS score
+      FROM labels, (VALUES ('Retrieval Completeness'), ('Answer Correctness'), ('Contextual Relevancy')) AS t(m)
       UNION ALL SELECT doc_id, 's' || ((doc_id + 1) % 3), 'Contextual Relevancy', NULL FROM labels)"""
 
 
 def _scores(spark, sf_dir) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     names = F.explode(F.array(*map(F.lit, (rag.COMPLETENESS, rag.CORRECTNESS, rag.RELEVANCY))))
-    own = labels.filter("doc_id % 11 <> 0").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("s"), F.col("doc_id") % 3).alias("system"), names.alias("name"), "quality", "toxic")
-    score = F.when((F.col("query_id") + F.length("name")) % 4 != 0, (F.col("quality") + F.col("toxic") + F.col("query_id") % 7) / 9)
+    own = labels.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("s"), F.col("doc_id") % 3).alias("system"), names.alias("name"), "quality", "toxic")
+    score = F.when(((F.col("query_id") + F.length("name")) % 4 != 0) & (F.col("query_id") % 11 != 0), (F.col("quality") + F.col("toxic") + F.col("query_id") % 7) / 9)
     other = labels.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("s"), (F.col("doc_id") + 1) % 3).alias("system"), F.lit(rag.RELEVANCY).alias("name"), F.lit(None).cast("double").alias("score"))
     return own.select("query_id", "system", "name", score.alias("score")).unionByName(other)
 
