@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.batches import add_columns
 from ..functions.text import Counter, count_words
+from ..session import stored
 from .splitters import combine_blocks
 
 REFUSAL = "I cannot answer"
@@ -55,7 +56,7 @@ def qa_pairs(docs: DataFrame, make_model: Callable[[], Complete], per_doc: int =
     said = completed(with_context(docs.select("doc_name", "full_text"), most, count), prompt, make_model, "answer_text")
     pairs = said.select("doc_name", F.from_json("answer_text", "array<struct<question:string,answer:string>>").alias("pairs"))
     rows = pairs.select("doc_name", F.posexplode("pairs").alias("place", "pair")).select("doc_name", "place", "pair.question", "pair.answer")
-    return numbered(rows, ["doc_name", "place"]).select("id", "doc_name", "question", "answer")
+    return numbered(stored(rows), ["doc_name", "place"]).select("id", "doc_name", "question", "answer")
 
 
 def numbered(df: DataFrame, order: list[str], start: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import domain_of
+from ..session import stored
 from .select import TIE, best_methods, weight_of, weighted_scores
 
 
@@ -53,13 +54,17 @@ def per_document(metrics: DataFrame, weights: dict[str, float], methods: list[st
     return out.withColumn("is_best", (rank == 1) & F.col("weighted_score").isNotNull())
 
 
+#: Decimal places up to which values are told apart.
+PLACES = 9
+
+
 def correlations(metrics: DataFrame, names: list[str], kendall: bool = True) -> DataFrame:
     """(metric_a, metric_b, pearson, spearman, kendall) over (document, method) rows that have all metrics.
 
-    Spearman is Pearson's of mean ranks. Kendall's tau-b counts pairs by their value classes: each metric's distinct values (rounded to
-    three places) make a bounded grid, so no rows are paired.
+    Spearman is Pearson's of mean ranks. Kendall's tau-b (values that agree in PLACES places tie) is counted bit by bit of one metric's values,
+    by running sums over the other's: n log n rows, so no rows are paired.
     """
-    wide = pivoted(metrics, names).na.drop(subset=names).select("doc_name", "method", *names)
+    wide = stored(pivoted(metrics, names).na.drop(subset=names).select("doc_name", "method", *names))  # read several times
     values = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in names]))
     long = wide.select("doc_name", "method", values.alias("x")).select("doc_name", "method", "x.metric", "x.v")
     # mean ranks from the counts of distinct values: the window runs over values of a metric, not over rows
@@ -74,12 +79,19 @@ def correlations(metrics: DataFrame, names: list[str], kendall: bool = True) ->
     out = stacked(p, "pearson").join(stacked(s, "spearman"), ["metric_a", "metric_b"])
     if not kendall:
         return out
-    both = F.explode(F.array(*[F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), F.round(F.col(a), 3).alias("va"), F.round(F.col(b), 3).alias("vb")) for a, b in pairs]))
+    both = F.explode(F.array(*[F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), F.round(F.col(a), PLACES).alias("va"), F.round(F.col(b), PLACES).alias("vb")) for a, b in pairs]))
     grid = wide.select(both.alias("x")).select("x.*").groupBy("metric_a", "metric_b", "va", "vb").agg(F.count("*").cast("double").alias("n"))
-    g, h = grid.alias("g"), grid.alias("h")
-    joined = g.join(h, ["metric_a", "metric_b"]).filter("g.va < h.va")
-    sign = F.signum(F.col("h.vb") - F.col("g.vb"))
-    score = joined.groupBy("metric_a", "metric_b").agg(F.sum(sign * F.col("g.n") * F.col("h.n")).alias("s"))
+    whole = F.round(F.col("va") * 10**PLACES).cast("long")
+    low, high = grid.agg(F.min(whole), F.max(whole)).first()
+    # two rows of different va part at one bit, where the lesser has 0: at each bit, rows with 1 meet those with 0 below and above them in vb
+    bits = F.sequence(F.lit(0), F.lit(max(0, ((high or 0) - (low or 0)).bit_length() - 1)))
+    parted = grid.withColumn("at", whole - F.lit(low or 0)).withColumn("bit", F.explode(bits))
+    block, one = F.expr("shiftright(at, bit + 1)"), F.expr("(shiftright(at, bit) & 1) = 1")
+    counts = parted.groupBy("metric_a", "metric_b", "bit", block.alias("block"), "vb").agg(F.sum(F.when(one, 0.0).otherwise(F.col("n"))).alias("zeros"), F.sum(F.when(one, F.col("n")).otherwise(0.0)).alias("ones"))
+    own = Window.partitionBy("metric_a", "metric_b", "bit", "block")
+    below = F.coalesce(F.sum("zeros").over(own.orderBy("vb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    met = counts.select("metric_a", "metric_b", (F.col("ones") * (2 * below + F.col("zeros") - F.sum("zeros").over(own))).alias("s"))
+    score = met.groupBy("metric_a", "metric_b").agg(F.sum("s").alias("s"))
     tied = lambda c: grid.groupBy("metric_a", "metric_b", c).agg(F.sum("n").alias("n")).groupBy("metric_a", "metric_b").agg((F.sum("n") * (F.sum("n") - 1) / 2 - F.sum(F.col("n") * (F.col("n") - 1) / 2)).alias(f"free_{c}"))
     tau = score.join(tied("va"), ["metric_a", "metric_b"]).join(tied("vb"), ["metric_a", "metric_b"])
     tau = tau.select("metric_a", "metric_b", F.when((F.col("free_va") > 0) & (F.col("free_vb") > 0), F.col("s") / F.sqrt(F.col("free_va") * F.col("free_vb"))).alias("kendall"))

@@ -465,7 +465,7 @@ def correlations(spark, sf_dir):
     return found.withColumn("pearson", r6("pearson")).withColumn("spearman", r6("spearman"))
 
 
-@query(f"""WITH {SCORES}, p AS (SELECT doc_name, method, round(max(score) FILTER (WHERE metric = 'size_compliance'), 3) AS x, round(max(score) FILTER (WHERE metric = 'block_integrity'), 3) AS y FROM eav GROUP BY ALL),
+@query(f"""WITH {SCORES}, p AS (SELECT doc_name, method, round(max(score) FILTER (WHERE metric = 'size_compliance'), 9) AS x, round(max(score) FILTER (WHERE metric = 'block_integrity'), 9) AS y FROM eav GROUP BY ALL),
 g AS (SELECT x, y, CAST(count(*) AS DOUBLE) AS n FROM p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
 s AS (SELECT sum(sign(b.y - a.y) * a.n * b.n) AS s FROM g a JOIN g b ON a.x < b.x),
 fx AS (SELECT sum(n) * (sum(n) - 1) / 2 - sum(n * (n - 1) / 2) AS f FROM (SELECT x, sum(n) AS n FROM g GROUP BY x)), fy AS (SELECT sum(n) * (sum(n) - 1) / 2 - sum(n * (n - 1) / 2) AS f FROM (SELECT y, sum(n) AS n FROM g GROUP BY y))
