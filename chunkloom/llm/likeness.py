@@ -6,8 +6,8 @@ how many shingles they can share; the pairs that are left are decided by their w
 and by hash, and changes the work only, not the pairs.
 
 Pairs whose fingerprints are close are candidates as well. Large buckets aren't paired at once: their members are compared with LEADERS of
-them first, the same ones in all buckets that they are in, and only members that no link has joined by then are paired. That leaves the
-components of the links as they are. Likeness is exact but for equal 64-bit hashes of different shingles.
+them first, the same ones in all buckets that they are in, and only members that no link has joined by then go on: first by spanning forests of
+the pairs that are left in a bucket, no more of them than members, then by the pairs that are still left. That leaves the components of the links as they are. Likeness is exact but for equal 64-bit hashes of different shingles.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches, checkpoint, distinct, grams, mixed, popcount, released, word_codes
+from .common import U64, Sets, batches, checkpoint, distinct, grams, mixed, popcount, released, word_codes
 from .components import components
 
 #: Texts whose shingles are counted for the order, how often a common one is among them, common ones at most.
 COUNTED, COMMON, MOST_COMMON = 2_048, 4, 1 << 16
 #: Rows of a bucket up to which all pairs are taken at once; leaders of larger ones; pairs tested together.
 SMALL_BUCKET, LEADERS, PAIRS = 6, 4, 1 << 20
+#: Rounds of spanning forests before all pairs that are left.
+FORESTS = 2
 #: Bits of the filter that picks the texts whose whole sets are wanted.
 FILTER_BITS = 1 << 24
 SIZE_BITS = 32
@@ -151,8 +153,25 @@ def _met(entries: DataFrame, likeness: float) -> DataFrame:
     return _by_bucket(entries, "pair boolean, s long, a long, b long", pairs_of)
 
 
-def _across(members: DataFrame, likeness: float) -> DataFrame:
-    """(a, b): pairs of members (s, d, w, root, parity) of a bucket that have different roots and may be alike by places, sizes and parities."""
+def spanning(sets: Sets, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of pairs (x, y) that join all the sets which the pairs join, none of them within one set by then. Earlier pairs go first."""
+    left, taken = np.arange(len(x)), []
+    while len(left):
+        up = sets.roots()
+        a, b = up[x[left]], up[y[left]]
+        differ = a != b
+        left, low, high = left[differ], np.minimum(a, b)[differ], np.maximum(a, b)[differ]
+        names, first = np.unique(high, return_index=True)  # each root hooks once, on a smaller one
+        sets.up[names] = low[first]
+        taken.append(left[first])
+    return np.concatenate(taken) if taken else left
+
+
+def _across(members: DataFrame, likeness: float, forest: int | None = None) -> DataFrame:
+    """(a, b): pairs of members (s, d, w, root, parity) of a bucket that have different roots and may be alike by places, sizes and parities.
+
+    With ``forest``, which draws their order, only such that join all the roots in a bucket that its pairs join.
+    """
     most = (1 - likeness) / (1 + likeness)
 
     def pairs_of(heads, sizes, s, d, w, root, own):
@@ -160,8 +179,10 @@ def _across(members: DataFrame, likeness: float) -> DataFrame:
         length = np.fromiter(map(len, own), np.int64, len(own))
         for head, size in zip(heads.tolist(), sizes.tolist()):
             every = np.arange(head, head + size)
-            if (root[every] == root[head]).all():
+            names, name = np.unique(root[every], return_inverse=True)
+            if len(names) == 1:
                 continue
+            sets = Sets(len(names))
             folded = {}
             for width in np.unique(length[every]).tolist():  # sizes ascend, and so do lengths
                 wide = every[length[every] >= width]
@@ -174,7 +195,8 @@ def _across(members: DataFrame, likeness: float) -> DataFrame:
                 i = np.repeat(np.arange(k, k + len(count)), count)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + head
                 i += head
-                keep = (root[i] != root[j]) & possible(n[i], n[j], at[i], at[j], likeness)
+                up = sets.roots()[name]
+                keep = (up[i - head] != up[j - head]) & possible(n[i], n[j], at[i], at[j], likeness)
                 i, j = i[keep], j[keep]
                 keep = np.zeros(len(i), bool)
                 for width, (first, bits) in folded.items():
@@ -182,8 +204,12 @@ def _across(members: DataFrame, likeness: float) -> DataFrame:
                     for part in np.array_split(of, len(of) * width // (1 << 24) + 1):
                         differ = popcount(bits[i[part] - first] ^ bits[j[part] - first]).sum(axis=1, dtype=np.int64)
                         keep[part] = differ <= most * (n[i[part]] + n[j[part]]) + 1e-9
-                a, b = d[i[keep]], d[j[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                i, j = i[keep], j[keep]
+                if forest is not None:
+                    draw = np.argsort(mixed(d[i].view(U64) ^ mixed(d[j].view(U64) + U64(forest))))
+                    taken = draw[spanning(sets, name[i[draw] - head], name[j[draw] - head])]
+                    i, j = i[taken], j[taken]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(d[i], d[j])), pa.array(np.maximum(d[i], d[j]))], names=["a", "b"])
 
     return _by_bucket(members, "a long, b long", pairs_of).distinct()
 
@@ -297,10 +323,23 @@ def named(rows: DataFrame, shingle: int, likeness: float, print_of: Callable[[np
     live = checkpoint(rooted(members, "d").select("s", "d", "w", F.col("d_root").alias("root")))
     several = live.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("s")
     live = live.join(several, "s", "left_semi").join(own.select("d", "parity"), "d").select("s", "d", "w", "root", "parity")
-    more = checkpoint(_across(live, likeness))
-    named_ = rooted(own.select("d", "who"), "d")
-    if not more.isEmpty():
-        edges = rooted(rooted(_alike(more, own, rows, shingle, likeness), "a"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-        last = components(edges).select(F.col("node").alias("d_root"), F.col("root").alias("last"))
-        named_ = named_.join(last, "d_root", "left").withColumn("d_root", F.coalesce("last", "d_root"))
-    return named_.select("who", F.col("d_root").alias("root"))
+    found = rooted(own.select("d", "who"), "d").select("d", "who", F.col("d_root").alias("root"))
+    tried, rounds = None, [*range(FORESTS), None]
+    while rounds:
+        more = _across(live, likeness, draw := rounds.pop(0))
+        more = checkpoint(more if draw is not None or tried is None else more.join(tried, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            break
+        links_ = _alike(more, own, rows, shingle, likeness)
+        tried = more if tried is None else tried.union(more)
+        true = links_.count()
+        if true:
+            end = lambda c: found.select(F.col("d").alias(f"{c}_d"), F.col("root").alias(c))  # noqa: E731, B023
+            edges = links_.select(F.col("a").alias("a_d"), F.col("b").alias("b_d")).join(end("a"), "a_d").join(end("b"), "b_d")
+            last = components(edges).select(F.col("node").alias("root"), F.col("root").alias("last"))
+            found, live = (checkpoint(x.join(last, "root", "left").withColumn("root", F.coalesce("last", "root")).select(x.columns)) for x in (found, live))
+            if true == more.count():  # all that the buckets' pairs can join is joined
+                break
+        else:
+            rounds = rounds[-1:]
+    return found.select("who", "root")

@@ -19,8 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chunkloom.llm import bpe, langid, likeness, mixing, quality, registry, simhash, sketch, substrings
-
-from chunkloom.llm.common import word_codes, word_spans
+from chunkloom.llm.common import Sets, word_codes, word_spans
 
 from .conftest import components, prose
 
@@ -114,6 +113,33 @@ def test_all_pairs_of_alike_sets_are_joined(spark, edited):
     assert sorted(r["doc_id"] for r in simhash.first_of_groups(docs).collect()) == sorted(set(want))
 
 
+@pytest.mark.parametrize("forests", [0, 2])
+def test_a_large_group_of_several_components(spark, monkeypatch, forests):
+    """Texts of one base, one word changed in each: alike if the places are the same or next to each other, and no change is at every seventh place."""
+    monkeypatch.setattr(likeness, "FORESTS", forests)
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in range(60)]
+    places = [int(p) for p in rng.integers(4, 56, 300) if p % 7]
+    texts = [" ".join([*base[:p], f"x{k}", *base[p + 1 :]]) for k, p in enumerate(places)]
+    sets = sets_of(texts)
+    want = components(len(texts), lambda i, j: alike(sets[i], sets[j]))
+    assert len(set(want)) > 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.first_of_groups(docs).collect()) == sorted(set(want))
+
+
+def test_spanning_pairs_join_what_all_pairs_join():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (5, 3), (40, 30), (200, 900)):
+        x, y = rng.integers(0, n, m), rng.integers(0, n, m)
+        every, some = Sets(n), Sets(n)
+        every.join(x, y)
+        taken = likeness.spanning(Sets(n), x, y)
+        some.join(x[taken], y[taken])
+        assert some.roots().tolist() == every.roots().tolist()
+        assert len(taken) == n - len(set(every.roots().tolist()))
+
+
 @pytest.mark.parametrize("sizes", [(900, 1000, 850), (1000, 1100, 900), (3900, 4400, 3800), (20_000, 21_000, 19_000), (0, 0, 0)])
 def test_parities_never_exceed_the_difference(sizes):
     rng = np.random.default_rng(sum(sizes))
