@@ -29,7 +29,7 @@ COUNTED, COMMON, MOST_COMMON = 2_048, 4, 1 << 16
 #: Rows of a bucket up to which all pairs are taken at once; leaders of larger ones; pairs tested together.
 SMALL_BUCKET, LEADERS, PAIRS = 6, 4, 1 << 20
 #: Rounds of spanning forests before all pairs that are left.
-FORESTS = 2
+FORESTS = 1
 #: Bits of the filter that picks the texts whose whole sets are wanted.
 FILTER_BITS = 1 << 24
 SIZE_BITS = 32
@@ -113,7 +113,10 @@ def _by_bucket(frame: DataFrame, schema: str, pairs_of: Callable[..., Iterator[p
                 yield from flush([c[:whole] for c in columns])
                 held, rows = [[c[whole:] for c in columns]], len(columns[0]) - whole
         if held:
-            yield from flush([np.concatenate(c) for c in zip(*held)])
+            columns = [np.concatenate(c) for c in zip(*held)]
+            held = []
+            yield from flush(columns)
+        columns, held = None, []
         released()
 
     return dealt.mapInArrow(run, schema)
@@ -268,7 +271,9 @@ def _sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
         return work
 
-    return checkpoint(batches(rows.select("ident", "body"), "d long, own binary", make).dropDuplicates(["d"]))
+    sets = checkpoint(batches(rows.select("ident", "body"), "d long, own binary", make).dropDuplicates(["d"]))
+    shared.unpersist()
+    return sets
 
 
 def node(own: np.ndarray) -> int:

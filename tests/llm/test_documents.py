@@ -113,7 +113,7 @@ def test_all_pairs_of_alike_sets_are_joined(spark, edited):
     assert sorted(r["doc_id"] for r in simhash.first_of_groups(docs).collect()) == sorted(set(want))
 
 
-@pytest.mark.parametrize("forests", [0, 2])
+@pytest.mark.parametrize("forests", [0, 1, 2])
 def test_a_large_group_of_several_components(spark, monkeypatch, forests):
     """Texts of one base, one word changed in each: alike if the places are the same or next to each other, and no change is at every seventh place."""
     monkeypatch.setattr(likeness, "FORESTS", forests)
