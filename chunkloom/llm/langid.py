@@ -5,11 +5,11 @@ Probabilities and back-off weights lie in sorted arrays of 64-bit n-gram hashes.
 cross-entropy per character wins; a text whose cross-entropy is above what its language's own texts show is marked
 as rejected. Counts are gathered from all learning texts, and all n-grams are kept: discounts, continuation counts,
 back-off weights and alphabet are those of the whole corpus, and the broadcast grows with its distinct n-grams.
+Every text is scored once; the limits of rejection come from the stored scores of all learning texts.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
@@ -17,12 +17,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, batches, mixed, released
+from .common import U64, batches, checkpoint, mixed, released
 
-ORDER, LANGUAGES, CALIBRATION = 4, 512, 4_096
+ORDER, LANGUAGES = 4, 512
 #: Texts whose words are looked up together.
 TOGETHER = 32
 LETTERS = regex.compile(r"\p{L}+")
@@ -210,47 +210,63 @@ def fit(docs: DataFrame) -> tuple[list[str], list[KneserNey]]:
     return list(counts), [KneserNey(c, alphabet) for c in counts.values()]
 
 
+def of(column: str, values: dict) -> Column:
+    """What ``values`` hold for the column."""
+    return F.create_map(*[F.lit(x) for item in values.items() for x in item])[F.col(column)]
+
+
+def limits(scored: DataFrame) -> dict[str, float]:
+    """For each label of ``scored`` (label, value): the value of rank ceil(0.999 n) among all its n, plus two standard deviations.
+
+    Exact: rows are counted in steps of 2^-12, those of the step that holds the rank in steps of 2^-32, those of
+    that step by value. So a task holds counts of a label's steps, whose number doesn't follow that of its rows.
+    """
+    whole = {r["label"]: r for r in scored.groupBy("label").agg(F.count("*").alias("n"), F.stddev_pop("value").alias("s")).collect()}
+    rank = {k: -(-999 * r["n"] // 1000) for k, r in whole.items()}
+    at: dict[str, float] = {}
+    for step in (F.floor(F.col("value") * float(1 << 12)), F.floor(F.col("value") * float(1 << 32)), F.col("value")) if whole else ():
+        counts = scored.groupBy("label", step.alias("step")).agg(F.count("*").alias("n"))
+        counts = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("label").orderBy("step")))
+        found = counts.filter((F.col("upto") >= of("label", rank)) & (F.col("upto") - F.col("n") < of("label", rank))).collect()
+        rank = {r["label"]: rank[r["label"]] - (r["upto"] - r["n"]) for r in found}
+        at = {r["label"]: r["step"] for r in found}
+        scored = scored.filter(step == of("label", at))
+    return {k: float(v) + whole[k]["s"] * 2 for k, v in at.items()}
+
+
 def identify(docs: DataFrame, learning: Column, text: str = "text", label: str = "lang", key: str = "doc_id") -> DataFrame:
     """(key, lang_pred, score, cross_entropy, rejected) of every row.
 
     Learns from the rows where ``learning`` holds and label and text are not null. ``und`` with score 0 if the text is null or has no
     letter, or if nothing could be learned; else the learned language of lowest cross-entropy (ties: the first by name), and its
-    posterior as score. ``rejected``: the cross-entropy is above that of nearly all of about CALIBRATION learning texts of
-    that language, or of all if it has fewer. Repeated rows and null keys give a row each; extra columns are not read.
+    posterior as score. ``rejected``: the cross-entropy is above the limit of that language (``limits``), from all its learning texts
+    that are recognised. Repeated rows and null keys give a row each; extra columns are not read. Scores are stored by a checkpoint.
     """
     spark = docs.sparkSession
-    known = docs.filter(learning & docs[label].isNotNull() & docs[text].isNotNull()).select(docs[label].cast("string").alias("label"), docs[text].cast("string").alias("body"), F.xxhash64(docs[key].cast("string")).alias("h"))
-    names, models = fit(known.select("label", "body"))
+    body = docs[text].cast("string")
+    taught = F.when(learning & docs[text].isNotNull(), docs[label].cast("string"))
+    names, models = fit(docs.select(taught.alias("label"), body.alias("body")).filter("label is not null"))
     shared = spark.sparkContext.broadcast(Ensemble(models))
     kind = docs.select(key).schema[0].dataType.simpleString()
 
-    def scores(keep: str):
-        def make():
-            judge = Judge(shared.value)
-
-            def work(part: pa.RecordBatch):
-                rows = []
-                for entropy, letters in judge(part.column(1).fill_null("").to_pylist()):
-                    if names and letters:
-                        best = int(entropy.argmin())
-                        rows.append((names[best], float(1 / np.exp(np.maximum((entropy[best] - entropy) * letters, -700)).sum()), float(entropy[best])))
-                    else:
-                        rows.append(("und", 0.0, None))
-                yield {"k": part.column(0), **{c: [r[i] for r in rows] for i, c in enumerate(("lang_pred", "score", "cross_entropy"))}}
-
-            return work
-
-        return make, f"k {keep}, lang_pred string, score double, cross_entropy double"
-
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().filter(F.col("label").isin(names)).collect()} if names else {}
-    make, shape = scores("string")
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, math.ceil(min(1.0, CALIBRATION / n) * (1 << 30)))])[F.col("label")] if sizes else F.lit(0)
-    some = known.filter(F.pmod("h", F.lit(1 << 30)) < share)
-    usual = batches(some.select("label", "body"), shape, make).filter("k = lang_pred").groupBy("k").agg(F.percentile_approx("cross_entropy", 0.999).alias("p"), F.stddev_pop("cross_entropy").alias("s")).collect()
-    limits = {r["k"]: r["p"] + 2 * r["s"] for r in usual}
-    make, shape = scores(kind)
-    out = batches(docs.select(docs[key].alias("k"), docs[text].cast("string").alias("body")), shape, make)
-    limit = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, float(v))])[F.col("lang_pred")] if limits else F.lit(None).cast("double")
+    def make():
+        judge = Judge(shared.value)
+
+        def work(part: pa.RecordBatch):
+            rows = []
+            for entropy, letters in judge(part.column(2).fill_null("").to_pylist()):
+                if names and letters:
+                    best = int(entropy.argmin())
+                    rows.append((names[best], float(1 / np.exp(np.maximum((entropy[best] - entropy) * letters, -700)).sum()), float(entropy[best])))
+                else:
+                    rows.append(("und", 0.0, None))
+            yield {"k": part.column(0), "label": part.column(1), **{c: [r[i] for r in rows] for i, c in enumerate(("lang_pred", "score", "cross_entropy"))}}
+
+        return work
+
+    out = checkpoint(batches(docs.select(docs[key].alias("k"), taught.alias("label"), body.alias("body")), f"k {kind}, label string, lang_pred string, score double, cross_entropy double", make))
+    usual = limits(out.filter("label = lang_pred and cross_entropy is not null").select("label", F.col("cross_entropy").alias("value"))) if names else {}
+    limit = of("lang_pred", usual) if usual else F.lit(None).cast("double")
     return out.select(F.col("k").alias(key), "lang_pred", "score", "cross_entropy", F.coalesce(F.col("cross_entropy") > limit, F.lit(False)).alias("rejected"))
 
 

@@ -390,6 +390,28 @@ def test_a_rare_language_has_a_limit_of_rejection(spark):
     assert {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in found} == {-1: ("ru", False), -2: ("ru", True)}
 
 
+def test_limits_of_rejection_come_from_all_learning_texts(spark):
+    """Of 20 000 texts, 30 hold rare words; asked texts of rising shares of them show where the limit lies."""
+    strange = "zxqj kvwz qqzx jjkv wzzq xxkj".split()
+    usual = "river stone under the garden light over winter paper music".split()
+    rows = [(k, " ".join((usual * 3)[k % 7 : k % 7 + 12] + (strange * 9)[: 2 + k % 40] * (k % 600 == 77)), "en") for k in range(20_000)]
+    rows += [(-1 - k, " ".join(usual * 5 + (strange * 60)[:k]), None) for k in range(300)]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), F.col("doc_id") >= 0).collect()
+    learned = sorted(r["cross_entropy"] for r in found if r["doc_id"] >= 0)
+    assert len(learned) == 20_000
+    limit = learned[19_980 - 1] + 2 * float(np.std(learned))
+    asked = [r for r in found if r["doc_id"] < 0]
+    assert [r["rejected"] for r in asked] == [r["cross_entropy"] > limit for r in asked] and {r["rejected"] for r in asked} == {True, False}
+
+
+def test_ranks_are_exact(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": rng.gamma(9, 0.3, 5003), "b": np.repeat(2.5, 4000), "c": 2.5 + rng.random(3000) * 2.0**-33, "d": np.array([1.25])}
+    got = langid.limits(spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v], "label string, value double").repartition(5))
+    assert got == pytest.approx({k: np.sort(v)[math.ceil(0.999 * len(v)) - 1] + 2 * np.std(v) for k, v in values.items()}, rel=1e-12)
+    assert langid.limits(spark.createDataFrame([], "label string, value double")) == {}
+
+
 # 6
 
 
