@@ -1,4 +1,5 @@
-"""Byte-level BPE: a minimal perfect hash for whole pre-tokens, a heap over linked bytes for the others.
+"""Byte-level BPE: a minimal perfect hash for whole pre-tokens; the others are merged, short ones many at once over linked
+bytes in arrays, long ones each by a heap over linked bytes.
 
 The vocabulary is a rank file (base64 token, rank) whose path is a parameter. The driver reads it, of a fixed
 size, and ships the built tables in a broadcast, so executors need no file. Encoding is a narrow map: no shuffle.
@@ -9,8 +10,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,10 @@ def compiled(pattern: str) -> regex.Pattern:
     return regex.compile("".join(out))
 
 
+#: An odd multiplier whose product's high bits place a pair.
+SPREAD = 0x9E3779B97F4A7C15
+
+
 class PerfectHash:
     """A minimal perfect hash by displacement: n keys on n slots, one integer for each bucket of about two keys.
 
@@ -82,14 +89,90 @@ class PerfectHash:
         return np.array([s if keys_s == w else -1 for s, keys_s, w in zip(slots.tolist(), map(self.keys.__getitem__, slots.tolist()), words)])
 
 
+#: Bytes of the pre-tokens that are merged many at once, pre-tokens of one such round, and the rank of pairs that make no token.
+SHORT, AT_ONCE, NONE = 32, 4096, np.iinfo(np.int32).max
+
+
 class Vocabulary:
-    """Ranks of tokens with both tiers; picklable, of the vocabulary's size."""
+    """Ranks of tokens with all tiers; picklable, of the vocabulary's size."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, pattern
         self.whole = PerfectHash(list(ranks))
         self.rank_in_slot = np.array([ranks[k] for k in self.whole.keys], np.int64)
         self.token = {r: k for k, r in ranks.items()}
+        self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        #: An id that no token has; a pair of tokens a, b is a * (pad + 1) + b.
+        self.pad = max(self.token, default=0) + 1
+        pairs = sorted((ranks[a] * (self.pad + 1) + ranks[b], r) for k, r in ranks.items() for i in range(1, len(k)) if (a := k[:i]) in ranks and (b := k[i:]) in ranks)
+        bits = max(4, len(pairs).bit_length() + 2)
+        self.drop = U64(64 - bits)
+        self.pairs, self.pair_rank = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
+        for pair, r in pairs:
+            at = (pair * SPREAD & 0xFFFFFFFFFFFFFFFF) >> 64 - bits
+            while self.pairs[at] >= 0:
+                at = (at + 1) & len(self.pairs) - 1
+            self.pairs[at], self.pair_rank[at] = pair, r
+
+    def ranks_of(self, pairs: np.ndarray) -> np.ndarray:
+        """Of the tokens that pairs make, or NONE."""
+        at = ((pairs.view(U64) * U64(SPREAD)) >> self.drop).view(np.int64)
+        there = self.pairs[at]
+        out = self.pair_rank[at]
+        wrong = np.flatnonzero(there != pairs)
+        out[wrong] = NONE
+        wrong = wrong[there[wrong] >= 0]
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & len(self.pairs) - 1
+            there = self.pairs[at[wrong]]
+            same = there == pairs[wrong]
+            out[wrong[same]] = self.pair_rank[at[wrong[same]]]
+            wrong = wrong[~same & (there >= 0)]
+        return out
+
+    def merged_all(self, words: list[bytes]) -> list[list[int]]:
+        """Like ``merged`` for each word."""
+        out: list[list[int]] = [[]] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        short = int(np.searchsorted(sizes[order], SHORT, "right")) if (self.bytes >= 0).all() else 0
+        for i in order[short:].tolist():
+            out[i] = self.merged(words[i])
+        for start in range(0, short, AT_ONCE):
+            some = order[start : min(short, start + AT_ONCE)]
+            flat, ends = self.merged_short([words[i] for i in some.tolist()], sizes[some])
+            flat, ends = flat.tolist(), ends.tolist()
+            for i, a, b in zip(some.tolist(), [0, *ends], ends):
+                out[i] = flat[a:b]
+        return out
+
+    def merged_short(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and where each word's end. Each round merges the pair of lowest rank, leftmost first, of every word that has one."""
+        n, wide = len(words), int(sizes.max()) + 2
+        ids = np.full((n, wide), self.pad)  # a column of padding on either side
+        ids[:, 1:-1] = self.bytes[np.array(words, f"S{wide - 2}").view(np.uint8).reshape(n, wide - 2)]
+        ids[np.arange(wide) > sizes[:, None]] = self.pad
+        rank = np.full((n, wide), NONE, np.int32)
+        rank[:, :-1] = self.ranks_of((ids[:, :-1] * (self.pad + 1) + ids[:, 1:]).ravel()).reshape(n, wide - 1)
+        cells = np.arange(n * wide)
+        after, before, gone = cells + 1, cells - 1, np.zeros(n * wide, bool)
+        ids, flat = ids.ravel(), rank.ravel()
+        rows = np.arange(n)
+        while True:
+            at = rows * wide + (rank if len(rows) == n else rank[rows]).argmin(axis=1)
+            r = flat[at]
+            go = np.flatnonzero(r != NONE)
+            if not len(go):
+                break
+            rows, at, r = rows[go], at[go], r[go].astype(np.int64)
+            absorbed, left = after[at], before[at]
+            right = after[absorbed]
+            ids[at], gone[absorbed], flat[absorbed] = r, True, NONE
+            after[at], before[right] = right, at
+            found = self.ranks_of(np.concatenate([r * (self.pad + 1) + ids[right], ids[left] * (self.pad + 1) + r]))
+            flat[at], flat[left] = found[: len(at)], found[len(at) :]
+        stay = (ids != self.pad) & ~gone
+        return ids[stay], np.cumsum(stay.reshape(n, wide).sum(axis=1))
 
     def merged(self, word: bytes) -> list[int]:
         """Merges the adjacent pair of lowest rank, leftmost first, until none is left."""
@@ -129,6 +212,8 @@ EDGE = re.compile(r"(?<=\S) (?=\S)")
 PROBES = ("a", "Z", "é", "你", "ǅ", "ʰ", "1", "٣", "Ⅷ", "²", "'s", "'", "’ll", "'re", ".", "...", "!?", "-", "_", "\u0301", "\u200d", "🎉", "$", "+", "/", "<|x|>", "\ufffd", "a1", "1a", "a.b", "(x")
 #: Distinct runs and pre-tokens that an encoder remembers, and characters of them all: some 60 MB in a worker.
 RUNS, PARTS, REMEMBERED = 200_000, 100_000, 4 << 20
+#: Characters of the texts whose new runs are resolved at once.
+AHEAD = 1 << 17
 #: Token ids of one batch that goes back to Spark.
 IDS = 1 << 19
 
@@ -140,7 +225,7 @@ def parts_at_edges(pattern: regex.Pattern) -> bool:
 
 
 class Encoder:
-    """Encodes texts one after another; while the memo lasts, each distinct run between lone spaces is resolved once.
+    """Encodes texts; while the memo lasts, each distinct run between lone spaces is resolved once.
 
     With a pattern whose matches reach across lone spaces, each whole text is split by the pattern instead.
     """
@@ -172,14 +257,15 @@ class Encoder:
         """Resolves pre-tokens: those of the vocabulary by the perfect hash, the others by merges."""
         raw = [w.encode() for w in words]
         slots = self.words.whole.find(raw)
-        for word, raw_word, slot, rank in zip(words, raw, slots.tolist(), self.words.rank_in_slot[slots].tolist()):
-            self.parts[word] = [rank] if slot >= 0 else self.words.merged(raw_word)
-            self.held += len(word)
+        self.parts.update(zip(words, ([rank] for rank in self.words.rank_in_slot[slots].tolist())))
+        strange = np.flatnonzero(slots < 0).tolist()
+        self.parts.update(zip([words[i] for i in strange], self.words.merged_all([raw[i] for i in strange])))
+        self.held += sum(map(len, words))
 
-    def resolve(self) -> None:
-        """Ids of the new runs, each with the space before it."""
+    def resolve(self, heads: list[list[str]]) -> None:
+        """Ids of the new runs, each with the space before it, and of the pre-tokens of ``heads``."""
         split = [self.split(" " + run) for run in self.new]
-        self.known(list({w for ws in split for w in ws}.difference(self.parts)))
+        self.known(list(set(chain.from_iterable(split)).union(*heads).difference(self.parts)))
         found = [[x for w in ws for x in self.parts[w]] for ws in split]
         self.new.clear()
         flat = [x for f in found for x in f]
@@ -192,23 +278,39 @@ class Encoder:
         self.ids[start : start + len(flat)] = flat
         self.resolved = n
 
-    def __call__(self, text: str) -> np.ndarray:
-        first, *runs = self.edges(text)
-        head = self.split(first)
-        self.known([w for w in dict.fromkeys(head) if w not in self.parts])
-        head = np.array([x for w in head for x in self.parts[w]], np.uint32)
-        places = np.fromiter(map(self.place.__getitem__, runs), np.int64, len(runs))
-        if self.new:
-            self.resolve()
-        starts = self.ends[places]
-        sizes = self.ends[places + 1] - starts
-        total = np.cumsum(sizes)
-        out = np.concatenate([head, self.ids[np.repeat(starts - total + sizes, sizes) + np.arange(total[-1] if len(total) else 0)]])
+    def together(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text; all their new runs are resolved at once."""
+        heads, places = [], []
+        for text in texts:
+            first, *runs = self.edges(text)
+            heads.append(self.split(first))
+            places.append(np.fromiter(map(self.place.__getitem__, runs), np.int64, len(runs)))
+        self.resolve(heads)
+        for head, at in zip(heads, places):
+            starts = self.ends[at]
+            sizes = self.ends[at + 1] - starts
+            total = np.cumsum(sizes)
+            yield np.concatenate([np.array([x for w in head for x in self.parts[w]], np.uint32), self.ids[np.repeat(starts - total + sizes, sizes) + np.arange(total[-1] if len(total) else 0)]])
         if len(self.place) > self.most or self.held > REMEMBERED:
             self.clear()
         elif len(self.parts) > PARTS:
             self.parts.clear()
-        return out
+
+    def each(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, taken together up to about AHEAD characters."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size > AHEAD:
+                yield from self.together(some)
+                some, size = [], 0
+        if some:
+            yield from self.together(some)
+
+    def __call__(self, text: str) -> np.ndarray:
+        (ids,) = self.each([text])
+        return ids
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(self.token[ids].tolist())
@@ -219,7 +321,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
 
     Null text counts as empty: no ids. Repeated rows and keys that are null or repeated give a row each. Other
     columns are not read, whatever their names. An empty table gives no rows. A worker holds one text's ids at a time, and those of a batch
-    of about IDS that goes back if they are asked for.
+    of about IDS that goes back if they are asked for; and the runs of texts of about AHEAD characters, or of one longer text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path, pattern))
     kind = docs.select(key).schema[0].dataType.simpleString()
@@ -239,8 +341,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
                     out["decoded"] = backs
                 return out
 
-            for i, body in enumerate(bodies):
-                ids = encoder(body.as_py() or "").astype("<u4", copy=False)
+            for i, ids in enumerate(encoder.each(body.as_py() or "" for body in bodies)):
+                ids = ids.astype("<u4", copy=False)
                 back = encoder.decode(ids)
                 rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
                 if with_ids:

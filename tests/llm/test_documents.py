@@ -190,6 +190,36 @@ def test_long_words_and_special_strings(library, encoder):
         assert encoder(text).tolist() == library.encode_ordinary(text)
 
 
+def test_short_words_are_merged_together(encoder, library, monkeypatch):
+    """Bytes of all values and few letters, up to the bound; the heap gives the same and is left for longer words."""
+    rng, words = np.random.default_rng(4), encoder.words
+    few = [bytes(rng.choice(list(letters), n).tolist()) for n in range(1, bpe.SHORT + 9) for letters in (b"theanorsti", b"aa", b"\0 \xc3\xa9", bytes(range(256))) for _ in range(20)]
+    want = [words.merged(w) for w in few]
+    heap, asked = words.merged, []
+    monkeypatch.setattr(words, "merged", lambda w: asked.append(w) or heap(w))
+    monkeypatch.setattr(bpe, "AT_ONCE", 300)
+    assert words.merged_all(few) == want and {len(w) for w in asked} == set(range(bpe.SHORT + 1, bpe.SHORT + 9))
+    asked.clear()
+    texts = [prose(k, 40).replace("e", "xq") + " zqxjk" * k for k in range(60)] + ["", "\n"]
+    assert [x.tolist() for x in encoder.each(texts)] == [library.encode_ordinary(t) for t in texts] and not asked
+
+
+def test_texts_taken_together_are_told_apart(encoder, library, monkeypatch):
+    monkeypatch.setattr(bpe, "AHEAD", 500)
+    monkeypatch.setattr(bpe, "REMEMBERED", 900)
+    texts = [prose(k, 1 + k * k % 90) * (k % 3) + "qzvx" * (k % 5) for k in range(80)]
+    assert [x.tolist() for x in encoder.each(iter(texts))] == [library.encode_ordinary(t) for t in texts]
+    assert list(encoder.each([])) == []
+
+
+def test_merges_where_bytes_lack_tokens():
+    words = bpe.Vocabulary({b"a": 7, b"b": 3, b"ab": 5, b"abab": 1, b"ba": 9}, "")
+    some = [b"abab", b"baab", b"ababa", b"bb", b"a"]
+    assert words.merged_all(some) == [words.merged(w) for w in some] == [[1], [9, 5], [1, 7], [3, 3], [7]]
+    every = bpe.Vocabulary({bytes([b]): 1000 - b for b in range(256)} | {b"ab": 5, b"abab": 1, b"ba": 9, b"aba": 2000}, "")
+    assert every.merged_all(some) == [every.merged(w) for w in some]
+
+
 def test_perfect_hash_is_minimal():
     keys = [f"k{i}".encode() for i in range(3000)]
     table = bpe.PerfectHash(keys)
