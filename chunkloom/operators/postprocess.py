@@ -44,8 +44,8 @@ def without_gaps(spans: Column, size: Column) -> Column:
 
 
 def pages_of(pages: Column, start: Column, end: Column) -> Column:
-    """Numbers, ascending, of pages that the span overlaps; an empty page inside it counts. ``pages``: as of ``page_starts``."""
-    hit = F.filter(pages, lambda p: ~((end <= p["start"]) | (start >= p["end"])))
+    """Numbers, ascending, of pages that the span overlaps; an empty page inside it or equal to it counts. ``pages``: as of ``page_starts``."""
+    hit = F.filter(pages, lambda p: ~((end <= p["start"]) | (start >= p["end"])) | ((start == p["start"]) & (end == p["end"])))
     return F.array_sort(F.transform(hit, lambda p: p["page"].cast("long")))
 
 

@@ -55,9 +55,9 @@ def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def from_table(documents: DataFrame, name: str = "doc_id", text: str = "text", pages: bool = True) -> DataFrame:
-    """Documents of a plain table: one page, a block a line, no titles. Null texts count as empty."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def from_table(documents: DataFrame, name: str = "doc_id", text: str = "text", pages: bool = True, nulls: bool = False) -> DataFrame:
+    """Documents of a plain table: one page, a block a line, no titles. Null texts count as empty, or with ``nulls`` stay null."""
+    body = F.col(text) if nulls else F.coalesce(F.col(text), F.lit(""))
     # line starts are the running lengths of the lines before
     lines = F.split(body, "(?<=\n)")
     points = F.aggregate(lines, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))

@@ -327,3 +327,34 @@ def test_adaptive_keeps_stages(spark, tmp_path):
     with pytest.raises(ValueError, match="missing"):
         conform(found.drop("chunk_text"), CHUNK)
     assert pipeline.split_documents(docs, methods, foreign=lambda t: True).count() == 0
+
+
+# odd and many inputs
+
+
+def odd_documents(spark, tmp_path, texts):
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def same_as_sql(spark, folder, name):
+    import duckdb
+
+    from chunkloom.plans import catalog
+
+    from . import compare
+
+    def connection(_):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+        return con
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(compare, "connection", connection)
+        return compare.differences(spark, folder, catalog.QUERIES[name], catalog.ORACLES[name])
+
+
+def test_page_chunks_of_empty_and_null_texts(spark, tmp_path):
+    folder = odd_documents(spark, tmp_path, ["", None, "a b", "\n"])
+    assert same_as_sql(spark, folder, "page_chunks") == ""
