@@ -31,15 +31,17 @@ def _pages(pages: list[dict] | None, text: str) -> list[Span]:
 
 
 def with_spans(docs: DataFrame, methods: dict[str, Splitter | None], count: Counter = count_words, post: Post | None = None) -> DataFrame:
-    """Adds ``found``, the spans of every method: one narrow pass over the texts. Without a splitter the pages are the chunks."""
+    """Adds ``found``, the spans of every method: one narrow pass over the texts. Without a splitter the pages are the chunks; a null text has no others."""
 
     def make():
         def work(text: str | None, pages: list[dict] | None):
-            text = text or ""
+            null, text = text is None, text or ""
             found = []
             for name, splitter in methods.items():
                 if splitter is None:
                     spans = _pages(pages, text)
+                elif null:
+                    spans = []
                 else:
                     spans = splitter.paged(text, _pages(pages, text)) if isinstance(splitter, PerPage) else splitter.spans(text)
                 for i, (a, b) in enumerate(post(text, spans) if post else spans):

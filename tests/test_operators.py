@@ -358,3 +358,8 @@ def same_as_sql(spark, folder, name):
 def test_page_chunks_of_empty_and_null_texts(spark, tmp_path):
     folder = odd_documents(spark, tmp_path, ["", None, "a b", "\n"])
     assert same_as_sql(spark, folder, "page_chunks") == ""
+
+
+def test_regex_chunks_keep_empty_pieces(spark, tmp_path):
+    folder = odd_documents(spark, tmp_path, ["", None, ". a", "a. ", ". ", ". . b", "a. b"])
+    assert same_as_sql(spark, folder, "regex_chunks") == ""
