@@ -6,6 +6,7 @@ import hashlib
 import random
 import time
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column
@@ -59,21 +60,36 @@ class _Hashes(dict):
 class HashingEmbedder:
     """The offline default: signed hashes of lower-case words and word pairs, L2-normalised. Deterministic."""
 
+    #: About so many words are hashed together.
+    TOGETHER = 100_000
+
     def __init__(self, size: int = 64) -> None:
         self.size, self.memo = size, _Hashes()
 
     def __getstate__(self):
         return {"size": self.size, "memo": _Hashes()}
 
-    def _one(self, text: str) -> np.ndarray:
-        words = text.lower().split()
-        h = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
-        pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93)
+    def _sums(self, words: list[list[str]]) -> np.ndarray:
+        """Signed counts of the words and pairs of some texts, all at once."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        h = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(words)), sizes)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        pairs = (h[inner] * np.uint64(0x9E3779B97F4A7C15) + h[inner + 1]) * np.uint64(0xD6E8FEB86659FD93)
         every = np.concatenate([h, pairs ^ (pairs >> np.uint64(32))])
-        return np.bincount((every % np.uint64(self.size)).astype(np.int64), np.where(every >> np.uint64(63), 1.0, -1.0), self.size)
+        place = np.concatenate([owner, owner[inner]]) * self.size + (every % np.uint64(self.size)).astype(np.int64)
+        return np.bincount(place, np.where(every >> np.uint64(63), 1.0, -1.0), len(words) * self.size).reshape(-1, self.size)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.array([self._one(t) for t in texts]).reshape(len(texts), self.size)
+        out = np.zeros((len(texts), self.size))
+        words: list[list[str]] = []
+        first = held = 0
+        for i, text in enumerate(texts):
+            words.append(text.lower().split())
+            held += len(words[-1]) + 1
+            if held >= self.TOGETHER or i + 1 == len(texts):
+                out[first : i + 1] = self._sums(words)
+                words, first, held = [], i + 1, 0
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(size > 0, size, 1)
 

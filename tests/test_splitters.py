@@ -163,3 +163,28 @@ def test_per_page_never_crosses_pages():
     spans = S.PerPage(make(2)).paged(text, [(0, 8), (8, 8), (8, len(text))])
     assert "".join(text[a:b] for a, b in spans) == text and not any(a < 8 < b for a, b in spans)
     assert S.PerPage(make(2)).split_text(text) == make(2).split_text(text)
+
+
+def test_long_context_embeds_each_word_of_a_text_once():
+    from chunkloom.functions.vectors import HashingEmbedder
+
+    asked: list[str] = []
+
+    def embed(words):
+        asked.extend(words)
+        return HashingEmbedder(8)(words)
+
+    text = " ".join(f"The fox number {i % 7} ran home. A whale sang." for i in range(60))
+    spans = S.LongContextSplitter(embed_words=embed, max_chunk_tokens=40, max_context_tokens=100).spans(text)
+    assert len(asked) == len(set(asked)) == len(set(text.split()))
+    assert "".join(text[a:b] for a, b in spans) == text and max(len(text[a:b].split()) for a, b in spans) <= 40
+
+
+def test_embedding_many_texts_equals_one_by_one(monkeypatch):
+    from chunkloom.functions.vectors import HashingEmbedder
+
+    texts = ["", "a b a", "x", "", "b a the Fox", "a"]
+    one = [HashingEmbedder(16)([t])[0].tolist() for t in texts]
+    assert HashingEmbedder(16)(texts).tolist() == one
+    monkeypatch.setattr(HashingEmbedder, "TOGETHER", 3)
+    assert HashingEmbedder(16)(texts).tolist() == one and HashingEmbedder(16)([]).shape == (0, 16)
