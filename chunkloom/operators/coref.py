@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ PRONOUNS = (
     "one", "oneself",
 )
 TOKEN = re.compile(r"\w+|[^\w\s]")
+PIECE = re.compile("[ \n]")
 
 
 def is_pronoun(word: str) -> bool:
@@ -141,6 +143,37 @@ def mention_rows(mentions: DataFrame) -> DataFrame:
     return rows.select("doc_name", "cluster", F.get("m", F.lit(0)).cast("int").alias("mention_start"), F.get("m", F.lit(1)).cast("int").alias("mention_end"))
 
 
+def lexicon(docs: DataFrame) -> DataFrame:
+    """(doc_name, pairs, names) of documents (doc_name, full_text): ``lexicon_pairs`` and the capitalised words, as arrays, in one narrow pass.
+
+    Words are pieces between single spaces and line breaks. Nothing is sorted or shuffled: a document's words are read in order.
+    """
+
+    def make():
+        pronouns = frozenset(PRONOUNS)
+
+        def work(text: str | None):
+            pairs, names, at, last = [], [], 0, None
+            for word in PIECE.split(text or ""):
+                if word:
+                    low, end = word.lower(), at + len(word) - 1
+                    capital = unicodedata.category(word[0]) == "Lu"
+                    if capital:
+                        names.append({"cluster": low, "mention_start": at, "mention_end": end})
+                    if low in pronouns:
+                        if last:
+                            pairs.append({"entity_start": last[0], "entity_end": last[1], "pronoun_start": at, "pronoun_end": end})
+                    elif capital:
+                        last = at, end
+                at += len(word) + 1
+            return pairs, names
+
+        return work
+
+    shape = "pairs array<struct<entity_start:int,entity_end:int,pronoun_start:int,pronoun_end:int>>, names array<struct<cluster:string,mention_start:int,mention_end:int>>"
+    return add_columns(docs, [F.col("full_text")], shape, make, ["doc_name"])
+
+
 def lexicon_pairs(words: DataFrame) -> DataFrame:
     """Pairs without a model, by DataFrame functions: each pronoun with the last capitalised word before it in the document.
 

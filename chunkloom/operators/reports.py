@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import domain_of
 from ..session import stored
-from .select import TIE, best_methods, weight_of, weighted_scores
+from .select import TIE, best_methods, weight_of, weighted
 
 
 def metametrics(chunks: DataFrame, metrics: DataFrame | None = None, weights: dict[str, float] | None = None, methods: list[str] | None = None) -> DataFrame:
     """Mean, largest, smallest, population deviation and number of chunk lengths of each method, and of the best method of each document."""
-    rows = chunks if methods is None else chunks.filter(F.col("method").isin(*methods))
-    rows = rows.select("doc_name", "method", "chunk_len")
+    rows = chunks.select("doc_name", "method", "chunk_len")
+    own = F.array(F.when(F.lit(methods is None) | F.col("method").isin(*(methods or [])), F.col("method")))
     if metrics is not None and weights:
-        best = best_methods(metrics, weights).select("doc_name", "method")
-        rows = rows.unionByName(chunks.join(best, ["doc_name", "method"]).select("doc_name", F.lit("best").alias("method"), "chunk_len"))
+        # a chunk counts for its method and, if that is its document's best, once more: chunks are read once
+        best = best_methods(metrics, weights).select("doc_name", F.col("method").alias("best"))
+        rows = rows.join(best, "doc_name", "left")
+        own = F.concat(own, F.array(F.when(F.col("method") == F.col("best"), "best")))
+    rows = rows.select(F.explode(F.array_compact(own)).alias("method"), "chunk_len")
     n = F.col("chunk_len")
     return rows.groupBy("method").agg(F.avg(n).alias("mean"), F.max(n).alias("max"), F.min(n).alias("min"), F.stddev_pop(n).alias("std"), F.count("*").alias("count"))
 
@@ -34,9 +37,11 @@ def overall_report(metrics: DataFrame, weights: dict[str, float], methods: list[
     rows = metrics.filter(F.col("metric_name").isin(*weights))
     if methods is not None:
         rows = rows.filter(F.col("chunking_method").isin(*methods))
-    rows = rows.select("doc_name", F.col("chunking_method").alias("method"), "metric_name", "score")
-    best = best_methods(rows.withColumnRenamed("method", "chunking_method"), weights).select("doc_name", "method")
-    rows = rows.unionByName(rows.join(best, ["doc_name", "method"]).withColumn("method", F.lit("best")))
+    # the metrics of a document and method meet once; those of its best method count once more
+    own = rows.groupBy("doc_name", F.col("chunking_method").alias("method")).agg(weighted(weights).alias("all"), F.collect_list(F.struct("metric_name", "score")).alias("found"))
+    rank = F.row_number().over(Window.partitionBy("doc_name").orderBy(F.round("all", TIE).desc_nulls_last(), "method"))
+    names = F.array_compact(F.array("method", F.when((F.col("rank") == 1) & F.col("all").isNotNull(), "best")))
+    rows = own.withColumn("rank", rank).select(F.explode(names).alias("method"), "found").select("method", F.inline("found"))
     each = rows.groupBy("metric_name", "method").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"))
     w = weight_of(weights, F.col("metric_name"))
     score = F.coalesce("mean", F.lit(0.0)) if missing_as_zero else F.col("mean")
@@ -48,9 +53,9 @@ def overall_report(metrics: DataFrame, weights: dict[str, float], methods: list[
 def per_document(metrics: DataFrame, weights: dict[str, float], methods: list[str] | None = None) -> DataFrame:
     """(doc_name, method, a column a metric, weighted_score, is_best)."""
     rows = metrics if methods is None else metrics.filter(F.col("chunking_method").isin(*methods))
-    scores = weighted_scores(rows, weights).withColumnRenamed("score", "weighted_score")
+    means = [F.avg(F.when(F.col("metric_name") == n, F.col("score"))).alias(n) for n in weights]
     rank = F.row_number().over(Window.partitionBy("doc_name").orderBy(F.round("weighted_score", TIE).desc_nulls_last(), "method"))
-    out = pivoted(rows, list(weights)).join(scores, ["doc_name", "method"], "left")
+    out = rows.groupBy("doc_name", F.col("chunking_method").alias("method")).agg(*means, weighted(weights).alias("weighted_score"))
     return out.withColumn("is_best", (rank == 1) & F.col("weighted_score").isNotNull())
 
 

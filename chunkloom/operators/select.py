@@ -14,11 +14,16 @@ def weight_of(weights: dict[str, float], metric: Column) -> Column:
     return F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])[metric]
 
 
+def weighted(weights: dict[str, float]) -> Column:
+    """Aggregate: mean of the metrics with a weight, over those that aren't null; null if none is."""
+    w = F.when(F.col("score").isNotNull() & ~F.isnan("score"), weight_of(weights, F.col("metric_name")))
+    return F.sum(w * F.col("score")) / F.sum(w)
+
+
 def weighted_scores(metrics: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(doc_name, method, score): mean of the metrics with a weight, over those that aren't null; null if none is."""
+    """(doc_name, method, score): ``weighted`` of each document and method."""
     known = metrics.filter(F.col("metric_name").isin(*weights))
-    w = F.when(F.col("score").isNotNull() & ~F.isnan("score"), weight_of(weights, F.col("metric_name")))
-    return known.groupBy("doc_name", F.col("chunking_method").alias("method")).agg((F.sum(w * F.col("score")) / F.sum(w)).alias("score"))
+    return known.groupBy("doc_name", F.col("chunking_method").alias("method")).agg(weighted(weights).alias("score"))
 
 
 def best_methods(metrics: DataFrame, weights: dict[str, float], candidates: list[str] | None = None) -> DataFrame:
@@ -33,13 +38,16 @@ def best_methods(metrics: DataFrame, weights: dict[str, float], candidates: list
 
 
 def chosen_methods(metrics: DataFrame, weights: dict[str, float], default: str = "page") -> DataFrame:
-    """As ``best_methods``, and for documents without a score the default method if they have it, else their first."""
-    repeated = metrics.groupBy("doc_name", "chunking_method", "metric_name").count().filter("count > 1")
-    own = metrics.groupBy("doc_name").agg(F.min(F.struct(F.col("chunking_method") != default, "chunking_method"))["chunking_method"].alias("spare"))
-    checked = own.join(repeated.select("doc_name").distinct().withColumn("twice", F.lit(True)), "doc_name", "left")
-    checked = checked.filter(F.when(F.col("twice"), F.raise_error(F.concat(F.lit("a metric stands twice for "), F.col("doc_name")))).otherwise(F.lit(True)).cast("boolean"))
-    best = best_methods(metrics, weights).drop("score")
-    return checked.join(best, "doc_name", "left").select("doc_name", F.coalesce("method", "spare").alias("method"))
+    """As ``best_methods``, and for documents without a score the default method if they have it, else their first. The metrics are read once."""
+    if not weights:
+        raise ValueError("weights are needed")
+    names = F.collect_list(F.struct("metric_name"))
+    each = metrics.groupBy("doc_name", "chunking_method").agg(weighted(weights).alias("score"), (F.size(names) > F.size(F.array_distinct(names))).alias("twice"))
+    best = F.min(F.when(F.col("score").isNotNull(), F.struct((-F.round("score", TIE)).alias("rank"), "chunking_method")))["chunking_method"]
+    spare = F.min(F.struct((F.col("chunking_method") != default).alias("other"), "chunking_method"))["chunking_method"]
+    own = each.groupBy("doc_name").agg(F.max("twice").alias("twice"), F.coalesce(best, spare).alias("method"))
+    checked = own.filter(F.when(F.col("twice"), F.raise_error(F.concat(F.lit("a metric stands twice for "), F.col("doc_name")))).otherwise(F.lit(True)).cast("boolean"))
+    return checked.select("doc_name", "method")
 
 
 def packed_chunks(chunks: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.text import Counter, count_words, page_starts
 from ..functions.vectors import Embedder, HashingEmbedder
 from ..operators import coref, metrics, postprocess, select
 from ..operators.splitters import METHODS, PAPER_SEPARATORS, PerPage, RecursiveSplitter, Span, Splitter
+from ..session import stored
 from ..sources import parsers, readers
 
 #: The five metrics that choose a method weigh the same.
@@ -23,18 +24,21 @@ Post = Callable[[str, list[Span]], list[Span]]
 FOUND = "found array<struct<method:string,chunk_index:bigint,start:int,end:int,chunk_len:bigint>>"
 
 
-def _pages(pages: list[dict] | None, text: str) -> list[Span]:
+def _pages(pages: list[int] | None, text: str) -> list[Span]:
     out, at = [], 0
-    for p in pages or ():
-        out.append((at, at := at + len(p["text"] or "")))
+    for n in pages or ():
+        out.append((at, at := at + n))
     return out or ([(0, len(text))] if text else [])
 
 
-def with_spans(docs: DataFrame, methods: dict[str, Splitter | None], count: Counter = count_words, post: Post | None = None) -> DataFrame:
-    """Adds ``found``, the spans of every method: one narrow pass over the texts. Without a splitter the pages are the chunks; a null text has no others."""
+def with_spans(docs: DataFrame, methods: dict[str, Splitter | None], count: Counter = count_words, post: Post | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Adds ``found``, the spans of every method: one narrow pass over the texts. Without a splitter the pages are the chunks; a null text has no others.
+
+    Of pages only the sizes are sent. With ``keep`` only these columns of the documents pass through.
+    """
 
     def make():
-        def work(text: str | None, pages: list[dict] | None):
+        def work(text: str | None, pages: list[int] | None):
             null, text = text is None, text or ""
             found = []
             for name, splitter in methods.items():
@@ -50,12 +54,19 @@ def with_spans(docs: DataFrame, methods: dict[str, Splitter | None], count: Coun
 
         return work
 
-    return add_columns(docs, [F.col("full_text"), F.col("pages")], FOUND, make)
+    sizes = F.transform("pages", lambda p: F.length(F.coalesce(p["text"], F.lit(""))))
+    return add_columns(docs, [F.col("full_text"), sizes], FOUND, make, keep)
+
+
+def span_rows(docs: DataFrame, methods: dict[str, Splitter | None] | None = None, count: Counter = count_words, post: Post | None = None) -> DataFrame:
+    """(doc_name, method, chunk_index, start, end, chunk_len): chunks without their texts, for metrics. No text leaves the worker."""
+    return with_spans(docs, METHODS if methods is None else methods, count, post, ["doc_name"]).select("doc_name", F.explode("found").alias("s")).select("doc_name", "s.*")
 
 
 def chunk_rows(spanned: DataFrame, kind: str = schemas.RAW) -> DataFrame:
     """Chunks, one a row, with pages and titles from their own document's row: no join, no shuffle."""
-    rows = spanned.withColumn("page_starts", page_starts(F.col("pages"))).select("doc_name", "full_text", "titles", "page_starts", F.explode("found").alias("s"))
+    starts = F.col("page_starts") if "page_starts" in spanned.columns else page_starts(F.col("pages"))
+    rows = spanned.withColumn("page_starts", starts).select("doc_name", "full_text", "titles", "page_starts", F.explode("found").alias("s"))
     rows = rows.select("doc_name", "titles", "page_starts", "s.*", F.substring("full_text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("chunk_text"))
     return rows.select(
         "doc_name", "method", F.lit(kind).alias("type"), "chunk_index", "chunk_text", postprocess.pages_of(F.col("page_starts"), F.col("start"), F.col("end")).alias("chunk_pages"),
@@ -67,7 +78,8 @@ def split_documents(docs: DataFrame, methods: dict[str, Splitter | None] | None
     """Chunks of every method, from one reading. With ``foreign`` documents in another language are left out; with ``post`` spans are regularised first."""
     if foreign is not None:
         docs = add_columns(docs, [F.col("full_text")], "is_foreign boolean", lambda: lambda text: (bool(text) and foreign(text),)).filter("not is_foreign").drop("is_foreign")
-    return chunk_rows(with_spans(docs, METHODS if methods is None else methods, count, post), schemas.NO_SMALL if post else schemas.RAW)
+    docs = docs.withColumn("page_starts", page_starts(F.col("pages")))
+    return chunk_rows(with_spans(docs, METHODS if methods is None else methods, count, post, ["doc_name", "full_text", "titles", "page_starts"]), schemas.NO_SMALL if post else schemas.RAW)
 
 
 def postprocess_chunks(chunks: DataFrame, docs: DataFrame, post: Post, methods: list[str] | None = None, count: Counter = count_words, kind: str = schemas.NO_SMALL) -> DataFrame:
@@ -110,13 +122,18 @@ def score(docs: DataFrame, chunks: DataFrame, make_embedder: Callable[[], Embedd
 
 
 def adaptive(docs: DataFrame, methods: dict[str, Splitter | None] | None = None, weights: dict[str, float] | None = None, count: Counter = count_words, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, metrics, best): every method, scored, and each document's best one. With ``folder`` chunks and metrics are stored between."""
-    spark = docs.sparkSession
-    chunks = split_documents(docs, methods, count, postprocess.Postprocessor(count=count))
+    """(chunks, metrics, best): every method, scored, and each document's best one. With ``folder`` chunks and metrics are stored between.
+
+    Without one the spans alone are stored, as several metrics read them.
+    """
+    spark, post = docs.sparkSession, postprocess.Postprocessor(count=count)
+    chunks = split_documents(docs, methods, count, post)
     if folder:
         chunks.write.mode("overwrite").partitionBy("method").parquet(f"{folder}/chunks")
-        chunks = spark.read.parquet(f"{folder}/chunks")
-    scores = score(docs, chunks, count=count)
+        spans = chunks = spark.read.parquet(f"{folder}/chunks")
+    else:
+        spans = stored(span_rows(docs, methods, count, post))
+    scores = score(docs, spans, count=count)
     if folder:
         scores.write.mode("overwrite").parquet(f"{folder}/metrics")
         scores = spark.read.parquet(f"{folder}/metrics")

@@ -58,12 +58,11 @@ def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def from_table(documents: DataFrame, name: str = "doc_id", text: str = "text", pages: bool = True, nulls: bool = False) -> DataFrame:
     """Documents of a plain table: one page, a block a line, no titles. Null texts count as empty, or with ``nulls`` stay null."""
     body = F.col(text) if nulls else F.coalesce(F.col(text), F.lit(""))
-    # line starts are the running lengths of the lines before
-    lines = F.split(body, "(?<=\n)")
-    points = F.aggregate(lines, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-    inner = F.filter(points, lambda p: (p > 0) & (p < F.length(body)))
+    # line starts are the running lengths of the lines before; the last one is a line break behind the text's end
+    inside = lambda a: F.filter(a, lambda p: (p > 0) & (p < F.element_at(a, -1) - 1))
+    inner = F.aggregate(F.split(body, "\n"), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)), inside)
     page = F.array(F.struct(F.lit(1).alias("page"), body.alias("text")))
-    return documents.select(F.col(name).cast("string").alias("doc_name"), F.col(name).cast("string").alias("document_name"), page.alias("pages"), body.alias("full_text"), F.array_distinct(inner).alias("split_points"), F.expr(EMPTY_TITLES).alias("titles"))
+    return documents.select(F.col(name).cast("string").alias("doc_name"), F.col(name).cast("string").alias("document_name"), page.alias("pages"), body.alias("full_text"), inner.alias("split_points"), F.expr(EMPTY_TITLES).alias("titles"))
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str, done: DataFrame | None = None) -> DataFrame:

@@ -445,3 +445,24 @@ def test_dense_part_of_hybrid_carries_no_texts(spark, sf_dir):
 
     plan = exchanges(catalog.QUERIES["hybrid_retrieval"](spark, sf_dir))[0]
     assert "struct(chunk_id, chunk_id#" in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("name, most", [("best_method", 2), ("pivot_scores", 2), ("metametrics", 3), ("best_chunks", 3), ("published_table", 4), ("references_completeness", 3), ("missing_references", 3), ("adaptive_best_method", 4)])
+def test_texts_are_split_once_for_all_scores(spark, sf_dir, name, most):
+    from chunkloom.plans import catalog
+
+    plan = exchanges(catalog.QUERIES[name](spark, sf_dir))[0]
+    assert plan.count("MapInArrow") <= most
+    assert "posexplode" not in plan, "words or blocks, a row each"
+
+
+def test_python_holds_few_texts_at_once():
+    import pyarrow as pa
+
+    from chunkloom.functions.batches import BYTES, ROWS, pieces
+
+    texts = ["x" * n for n in (1 << 20, 3 << 20, 9 << 20, 1, 2 << 20, 2 << 20, 5)] + ["y"] * (ROWS + 3)
+    part = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"])
+    found = [p.column(1).to_pylist() for p in pieces(iter([part.slice(0, 4), part.slice(4)]), [1])]
+    assert [t for p in found for t in p] == texts
+    assert all(len(p) == 1 or (len(p) <= ROWS and sum(map(len, p)) <= BYTES) for p in found)
