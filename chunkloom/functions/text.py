@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 Counter = Callable[[str], int]
 
 
+#: Runs of letters, digits and underscores: terms of lower-cased texts.
+TERM = re.compile(r"\w+")
+
+
 def count_words(text: str) -> int:
     """The default token counter: words between white space."""
     return len(text.split())

@@ -466,3 +466,22 @@ def test_python_holds_few_texts_at_once():
     found = [p.column(1).to_pylist() for p in pieces(iter([part.slice(0, 4), part.slice(4)]), [1])]
     assert [t for p in found for t in p] == texts
     assert all(len(p) == 1 or (len(p) <= ROWS and sum(map(len, p)) <= BYTES) for p in found)
+
+
+def test_lexical_dissimilarity_shuffles_no_terms(spark, sf_dir):
+    from chunkloom.plans import catalog
+
+    plan = exchanges(catalog.QUERIES["lexical_dissimilarity"](spark, sf_dir))[0]
+    assert not any(x in plan for x in ("Join", "Window", "Aggregate", "explode"))
+    texts = ["red fox runs", "", "the fox runs on", "blue whale", "red red whale sings"]
+    rows = [("d", 2 * i, len(t) * 10 + 60, t) for i, t in enumerate(texts)] + [("e", 0, 7, "one")]
+    df = spark.createDataFrame(rows, "doc string, chunk_index long, chunk_len long, chunk_text string")
+    got = {r["doc"]: r["score"] for r in metrics.lexical_dissimilarity(df, ["doc"]).collect()}
+    tf = metrics.tfidf(df, ["doc"]).filter("doc = 'd'").collect()
+    vectors = {}
+    for r in tf:
+        vectors.setdefault(r["chunk_index"], {})[r["term"]] = r["w"]
+    pairs = [(a, b) for a in rows[:5] for b in rows[:5] if 0 < b[1] - a[1] <= 5]
+    like = sum(a[2] * b[2] * sum(x * vectors.get(b[1], {}).get(t, 0) for t, x in vectors.get(a[1], {}).items()) for a, b in pairs) / sum(a[2] * b[2] for a, b in pairs)
+    few = sum(r[2] < 100 for r in rows[:5]) / 5
+    assert got["e"] is None and got["d"] == pytest.approx(min(1, max(0, 1 - like - few)), abs=1e-9)
