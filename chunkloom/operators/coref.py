@@ -144,33 +144,38 @@ def mention_rows(mentions: DataFrame) -> DataFrame:
 
 
 def lexicon(docs: DataFrame) -> DataFrame:
-    """(doc_name, pairs, names) of documents (doc_name, full_text): ``lexicon_pairs`` and the capitalised words, as arrays, in one narrow pass.
+    """(doc_name, pairs, low, high, mentions) of documents (doc_name, full_text), as arrays, in one narrow pass.
 
-    Words are pieces between single spaces and line breaks. Nothing is sorted or shuffled: a document's words are read in order.
+    ``pairs``: as of ``lexicon_pairs``. Capitalised words are mentions; ``low`` and ``high`` are the start of each and the end of the next of the same
+    lower-cased word, ``mentions`` their number. Words are pieces between single spaces and line breaks. Nothing is sorted or shuffled: a
+    document's words are read in order.
     """
 
     def make():
         pronouns = frozenset(PRONOUNS)
 
         def work(text: str | None):
-            pairs, names, at, last = [], [], 0, None
+            pairs, low_ends, high_ends, seen, n, at, last = [], [], [], {}, 0, 0, None
             for word in PIECE.split(text or ""):
                 if word:
                     low, end = word.lower(), at + len(word) - 1
                     capital = unicodedata.category(word[0]) == "Lu"
                     if capital:
-                        names.append({"cluster": low, "mention_start": at, "mention_end": end})
+                        if low in seen:
+                            low_ends.append(seen[low])
+                            high_ends.append(end)
+                        seen[low], n = at, n + 1
                     if low in pronouns:
                         if last:
                             pairs.append({"entity_start": last[0], "entity_end": last[1], "pronoun_start": at, "pronoun_end": end})
                     elif capital:
                         last = at, end
                 at += len(word) + 1
-            return pairs, names
+            return pairs, low_ends, high_ends, n
 
         return work
 
-    shape = "pairs array<struct<entity_start:int,entity_end:int,pronoun_start:int,pronoun_end:int>>, names array<struct<cluster:string,mention_start:int,mention_end:int>>"
+    shape = "pairs array<struct<entity_start:int,entity_end:int,pronoun_start:int,pronoun_end:int>>, low array<int>, high array<int>, mentions int"
     return add_columns(docs, [F.col("full_text")], shape, make, ["doc_name"])
 
 

@@ -485,3 +485,14 @@ def test_lexical_dissimilarity_shuffles_no_terms(spark, sf_dir):
     like = sum(a[2] * b[2] * sum(x * vectors.get(b[1], {}).get(t, 0) for t, x in vectors.get(a[1], {}).items()) for a, b in pairs) / sum(a[2] * b[2] for a, b in pairs)
     few = sum(r[2] < 100 for r in rows[:5]) / 5
     assert got["e"] is None and got["d"] == pytest.approx(min(1, max(0, 1 - like - few)), abs=1e-9)
+
+
+def test_missing_references_read_ends_alone(spark, sf_dir):
+    from chunkloom.plans import catalog
+
+    plan = exchanges(catalog.QUERIES["missing_references"](spark, sf_dir))[0]
+    assert "cluster" not in plan and "Window" not in plan
+    docs = spark.createDataFrame([("d", "Ann saw Bob. She met ann\nAnn  and it")], "doc_name string, full_text string")
+    got = coref.lexicon(docs).first()
+    assert [tuple(p) for p in got["pairs"]] == [(8, 11, 13, 15), (25, 27, 34, 35)]
+    assert (got["low"], got["high"], got["mentions"]) == ([0], [27], 4)
